@@ -41,14 +41,24 @@ def with_bounds(df: DataFrame, washout: int = 28, follow_up: int | None = None)
     )
 
 
+def has_priority(level: str, column: str = "priority") -> Column:
+    """Referral priority test, whatever the case of the label; null for no priority."""
+    return F.lower(column) == level.lower()
+
+
+def is_extreme(days: int = 356 * 2) -> Column:
+    """Extremely long waits."""
+    return F.col("wt") > days
+
+
 def exclude_priority(df: DataFrame, level: str, column: str = "priority", keep_only: bool = False) -> DataFrame:
     """Drop (or keep only) one referral priority; rows without a priority go too."""
-    same = F.lower(column) == level.lower()
+    same = has_priority(level, column)
     return df.filter(same if keep_only else ~same)
 
 
 def extreme_waiters(df: DataFrame, days: int = 356 * 2) -> DataFrame:
-    return df.filter(F.col("wt") > days)
+    return df.filter(is_extreme(days))
 
 
 def survived(df: DataFrame, exit_date: str = "exit_date", end: str = "follow_up_end") -> DataFrame:

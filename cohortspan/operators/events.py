@@ -8,24 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.flags import attendance_flags
+from cohortspan.operators.tables import quantile
 
 FLAGS = {"is_dna": "dna", "is_patient_canc": "patient_canc", "is_hospital_canc": "hospital_canc"}
 
 
 def time_to_first_event(
-    events: DataFrame, first: Column, start: str, date: str, keys: Sequence[str], accuracy: int = 10000
+    events: DataFrame, first: Column, start: str, date: str, keys: Sequence[str]
 ) -> DataFrame:
     """Days from clock start to the first contact: average, median, deviation, quartile range."""
     days = events.filter(first).withColumn("days_between", F.datediff(date, start))
-
-    def at(p: float) -> Column:
-        return F.percentile_approx("days_between", p, accuracy)
-
     return days.groupBy(*keys).agg(
         F.avg("days_between").alias("avg_days_between"),
-        at(0.5).alias("median_days_between"),
+        quantile("days_between", 0.5).cast("int").alias("median_days_between"),
         F.stddev_samp("days_between").alias("stddev_days_between"),
-        (at(0.75) - at(0.25)).alias("iqr_days_between"),
+        (quantile("days_between", 0.75) - quantile("days_between", 0.25)).cast("int").alias("iqr_days_between"),
         F.count("*").alias("n"),
     )
 
@@ -92,11 +89,11 @@ def cancellation_impact(flagged: DataFrame, keys: Sequence[str], digits: int = 2
     )
 
 
-def patient_starts(df: DataFrame, keys: Sequence[str], length: str = "wt", accuracy: int = 10000) -> DataFrame:
+def patient_starts(df: DataFrame, keys: Sequence[str], length: str = "wt") -> DataFrame:
     """Distinct clock starts and median wait per patient and keys."""
     return df.groupBy(*keys).agg(
         F.count_distinct("start_date").alias("distinct_count"),
-        F.percentile_approx(length, 0.5, accuracy).alias("median_wait_length"),
+        quantile(length, 0.5).alias("median_wait_length"),
     )
 
 

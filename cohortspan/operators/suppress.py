@@ -54,14 +54,15 @@ def suppress(
     return df.withColumns(out)
 
 
-def secondary_flag(df: DataFrame, row_keys: Sequence[str], n: str = "n", k: int = 5) -> DataFrame:
+def secondary_flag(df: DataFrame, row_keys: Sequence[str], n: str = "n", k: int = 5, tie: str | None = None) -> DataFrame:
     """Flag cells to hide so that a single small cell cannot be worked out.
 
     When exactly one cell of a row is small, the next smallest is flagged too.
-    ``df`` is a result table: a row has as many cells as there are bands.
+    ``df`` is a result table: a row has as many cells as there are bands. ``tie``
+    orders cells of equal size.
     """
     row = Window.partitionBy(*row_keys)
-    order = row.orderBy(n)
+    order = row.orderBy(*[c for c in (n, tie) if c])
     few = F.sum((F.col(n) < k).cast("int")).over(row)
     rank = F.row_number().over(order)
     return df.withColumn("suppressed", (F.col(n) < k) | ((few == 1) & (rank == 2)))

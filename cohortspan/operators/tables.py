@@ -99,20 +99,29 @@ def cross_distribution(df: DataFrame, pairs: Sequence[tuple[str, str]], band: st
     )
 
 
-def _length_aggregates(length: str, accuracy: int, digits: int) -> list[Column]:
-    def at(p: float) -> Column:
-        return F.percentile_approx(length, p, accuracy)
+def quantile(value: str, p: float, accuracy: int | None = None) -> Column:
+    """Smallest value with at least a share ``p`` of the rows at or below it.
 
+    The exact form (no ``accuracy``) keeps one count per distinct value, which
+    the calendar bounds for day counts; give an accuracy for money.
+    """
+    if accuracy is None:
+        return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
+    return F.percentile_approx(value, p, accuracy)
+
+
+def _length_aggregates(length: str, accuracy: int | None, digits: int) -> list[Column]:
+    spread = quantile(length, 0.75, accuracy) - quantile(length, 0.25, accuracy)
     return [
         F.round(F.avg(length), digits).alias("mean"),
-        F.round(at(0.5), digits).cast("double").alias("median"),
+        F.round(quantile(length, 0.5, accuracy), digits).cast("double").alias("median"),
         F.round(F.stddev_samp(length), digits).alias("sd"),
-        F.round(at(0.75) - at(0.25), digits).cast("double").alias("iqr"),
+        F.round(spread, digits).cast("double").alias("iqr"),
     ]
 
 
 def length_stats(
-    df: DataFrame, length: str, variables: Sequence[str], accuracy: int = 10000, digits: int = 2
+    df: DataFrame, length: str, variables: Sequence[str], accuracy: int | None = None, digits: int = 2
 ) -> DataFrame:
     """Mean, median, sample deviation and quartile range of the wait by value."""
     return (
@@ -123,7 +132,7 @@ def length_stats(
 
 
 def length_stats_by(
-    df: DataFrame, length: str, keys: Sequence[str], accuracy: int = 10000, digits: int = 2
+    df: DataFrame, length: str, keys: Sequence[str], accuracy: int | None = None, digits: int = 2
 ) -> DataFrame:
     """As :func:`length_stats` for a combination of keys."""
     named = df.select(length, *[null_to_unknown(k).alias(k) for k in keys])
@@ -131,8 +140,7 @@ def length_stats_by(
 
 
 def median_by(df: DataFrame, value: str, keys: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Median by keys. The exact form keeps a count per distinct value, which is
-    bounded for day counts; use the approximate form for money."""
+    """Median by keys, exact for day counts; use the approximate form for money."""
     middle = F.median(value) if exact else F.percentile_approx(value, 0.5, accuracy).cast("double")
     return df.groupBy(*keys).agg(middle.alias("median"), F.count(value).alias("n"))
 
