@@ -31,16 +31,19 @@ class Bands:
             raise ValueError("edges must increase")
 
 
-def band(value: Column | str, bands: Bands) -> Column:
-    """Label of the band that holds ``value``."""
-    value = F.col(value) if isinstance(value, str) else value
-    missing = value.isNull()
-    if bands.lower is not None:
-        missing = missing | (value < bands.lower)
-    out = F.when(missing, F.lit(bands.null_label))
-    for upper, label in zip(bands.uppers, bands.labels):
-        out = out.when(value <= upper, label)
-    return out.otherwise(bands.labels[-1])
+def _text(label: str | None) -> str:
+    return "NULL" if label is None else "'" + label.replace("'", "\\'") + "'"
+
+
+def band(value: str, bands: Bands) -> Column:
+    """Label of the band that holds ``value``, a column name or SQL expression.
+
+    One SQL expression instead of a chain of column calls keeps plan building
+    short: each call would be a round trip to the JVM.
+    """
+    missing = f"({value}) IS NULL" + ("" if bands.lower is None else f" OR ({value}) < {bands.lower}")
+    steps = " ".join(f"WHEN ({value}) <= {upper} THEN {_text(label)}" for upper, label in zip(bands.uppers, bands.labels))
+    return F.expr(f"CASE WHEN {missing} THEN {_text(bands.null_label)} {steps} ELSE {_text(bands.labels[-1])} END")
 
 
 def null_to_unknown(column: Column | str) -> Column:

@@ -132,12 +132,16 @@ def did_rates(totals: DataFrame) -> DataFrame:
     return out.withColumn("excess_per_100_month", F.col("total_excess") * 100 * MONTH_WEEKS)
 
 
-# the four cells of a comparison: (treated, period)
-_CELLS = ((0, 0), (0, 1), (1, 0), (1, 1))
-
-
-def _cell(name: str, treated: int, period: int) -> str:
-    return f"{name}{treated}{period}"
+# cells of a comparison: (treated, period)
+_CELLS = ("00", "01", "10", "11")
+# within-entity cross products of d = treated x period, p = period and y
+_WITHIN = {
+    "dd": "n11 - n11 * n11 / n",
+    "dp": "n11 - n11 * np / n",
+    "pp": "np - np * np / n",
+    "dy": "s11 - n11 * s / n",
+    "py": "sp - np * s / n",
+}
 
 
 def entity_cells(
@@ -148,45 +152,137 @@ def entity_cells(
     control: str = CONTROL,
     interventions: Sequence[str] = INTERVENTIONS,
 ) -> DataFrame:
-    """Per activity, comparison and entity: count, sum and sum of squares per cell.
+    """Per activity, comparison and entity: counts, days, use, sum and squares per cell.
 
-    These are all that the within estimator and its standard errors need, so no
-    row-level window and no join of means back to rows is used.
+    These are all that the totals, the within estimator and its standard errors
+    need: no row-level window, no join of means back to rows.
     """
-
-    def y(measure: str) -> Column:
-        total = F.col(measure).cast("double")
-        return total / F.col("max_time_covered") * 7 if outcome == "avg_weekly_use" else total
-
+    y = "cast({m} as double) / max_time_covered * 7" if outcome == "avg_weekly_use" else "cast({m} as double)"
     reduced = panel.groupBy(entity, "group", "time_period").agg(
-        F.count("*").alias("n"),
-        *[F.sum(y(m)).alias(f"s_{m}") for m in measures],
-        *[F.sum(y(m) * y(m)).alias(f"q_{m}") for m in measures],
-    )
-    cells = F.array(
-        *[
-            F.struct(F.lit(m).alias("activity"), F.col(f"s_{m}").alias("s"), F.col(f"q_{m}").alias("q"))
-            for m in measures
-        ]
+        F.expr("count(*) as n"),
+        F.expr("sum(max_time_covered) as days"),
+        *[F.expr(f"sum({m}) as u_{m}") for m in measures],
+        *[F.expr(f"sum({y.format(m=m)}) as s_{m}") for m in measures],
+        *[F.expr(f"sum(pow({y.format(m=m)}, 2)) as q_{m}") for m in measures],
     )
+    cells = ", ".join(f"named_struct('activity', '{m}', 'u', u_{m}, 's', s_{m}, 'q', q_{m})" for m in measures)
     long = reduced.select(
         F.col(entity).alias("entity"),
+        F.when(F.col("group") == control, "0").otherwise("1").alias("treated"),
         "time_period",
         "n",
-        F.when(F.col("group") == control, 0).otherwise(1).alias("treated"),
+        "days",
         F.explode(_comparisons("group", control, interventions)).alias("comparison"),
-        cells.alias("_c"),
-    ).select("entity", "time_period", "n", "treated", "comparison", F.inline("_c"))
+        F.expr(f"array({cells}) as _c"),
+    ).selectExpr("entity", "concat(treated, time_period) as cell", "n", "days", "comparison", "inline(_c)")
+    return long.groupBy("activity", "comparison", "entity").agg(
+        *[F.expr(f"sum(if(cell = '{c}', {v}, 0)) as {v}{c}") for v in ("n", "days", "u", "s", "q") for c in _CELLS]
+    )
 
-    def at(value: str, t: int, p: int) -> Column:
-        here = (F.col("treated") == t) & (F.col("time_period") == p)
-        return F.sum(F.when(here, F.col(value)).otherwise(0)).alias(_cell(value, t, p))
 
-    return long.groupBy("activity", "comparison", "entity").agg(
-        *[at(v, t, p) for v in ("n", "s", "q") for t, p in _CELLS]
+def _model_sums(cells: DataFrame) -> DataFrame:
+    """Totals, normal equations and score products per activity and comparison, in one pass."""
+    entities = cells.selectExpr(
+        "*", "n00 + n01 + n10 + n11 as n", "s00 + s01 + s10 + s11 as s", "q00 + q01 + q10 + q11 as q", "n01 + n11 as np", "s01 + s11 as sp"
+    ).selectExpr("*", "q - s * s / n as yy", *[f"{expr} as {name}" for name, expr in _WITHIN.items()])
+    names = list(_WITHIN)
+    products = [(a, c) for i, a in enumerate(names) for c in names[i:]]
+    return entities.groupBy("activity", "comparison").agg(
+        F.expr("sum(n) as n_obs"),
+        F.expr("count(*) as n_entities"),
+        F.expr("sum(yy) as t_yy"),
+        *[F.expr(f"sum({name}) as t_{name}") for name in names],
+        *[F.expr(f"sum({a} * {c}) as m_{a}_{c}") for a, c in products],
+        *[F.expr(f"sum({v}{c}) as {v}{c}") for v in ("u", "days") for c in _CELLS],
+        F.expr("count_if(n00 > 0) as control_patients"),
+        F.expr("count_if(n10 > 0) as treated_patients"),
+        F.expr("count_if(n01 > 0) as control_waiting"),
+        F.expr("count_if(n11 > 0) as treated_waiting"),
+    ).filter("control_patients + control_waiting > 0 AND treated_patients + treated_waiting > 0")
+
+
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Coefficient of d after partialling out p; ``slope`` takes p out of d."""
+    return (
+        sums.withColumn("coef", F.expr("try_divide(t_dy * t_pp - t_py * t_dp, t_dd * t_pp - t_dp * t_dp)"))
+        .withColumn("period_effect", F.expr("try_divide(t_py - coef * t_dp, t_pp)"))
+        .withColumn("slope", F.expr("try_divide(t_dp, t_pp)"))
+        .withColumn("d_d", F.expr("t_dd - slope * t_dp"))
+    )
+
+
+def _clustered(model: DataFrame) -> DataFrame:
+    """Meat of the clustered variance.
+
+    The score of an entity is linear in its cross products, with weights that
+    are known once the model is solved, so its square sums up from products.
+    """
+    weights = {
+        "dy": "1",
+        "dd": "-coef",
+        "dp": "(slope * coef - period_effect)",
+        "py": "-slope",
+        "pp": "(slope * period_effect)",
+    }
+    names = list(_WITHIN)
+    terms = [
+        f"{1 if a == c else 2} * {weights[a]} * {weights[c]} * m_{a}_{c}" for i, a in enumerate(names) for c in names[i:]
+    ]
+    return model.withColumns(
+        {
+            "meat": F.expr(" + ".join(terms)),
+            "factor": F.expr("try_divide(n_entities, n_entities - 1) * try_divide(n_obs - 1, n_obs - 3)"),
+            "dof": F.expr("cast(n_entities - 1 as double)"),
+        }
+    )
+
+
+def _robust(model: DataFrame, cells: DataFrame) -> DataFrame:
+    """Meat of the heteroscedasticity-robust variance, a second pass over the cells."""
+    # one row per activity and comparison on the small side
+    solved = F.broadcast(model.select("activity", "comparison", "coef", "period_effect", "slope"))
+    rows = cells.join(solved, ["activity", "comparison"]).selectExpr(
+        "*", "n00 + n01 + n10 + n11 as n", "s00 + s01 + s10 + s11 as s", "n01 + n11 as np"
+    )
+    parts = []
+    for cell in _CELLS:
+        t, p = int(cell[0]), int(cell[1])
+        d_in, p_in = f"({t * p} - n11 / n)", f"({p} - np / n)"
+        centre = f"(s / n + coef * {d_in} + period_effect * {p_in})"
+        parts.append(
+            f"pow({d_in} - slope * {p_in}, 2) * (q{cell} - 2 * {centre} * s{cell} + n{cell} * pow({centre}, 2))"
+        )
+    meat = rows.groupBy("activity", "comparison").agg(F.expr(f"sum({' + '.join(parts)}) as meat"))
+    return model.join(F.broadcast(meat), ["activity", "comparison"]).withColumns(
+        {
+            "factor": F.expr("try_divide(n_obs, n_obs - n_entities - 2)"),
+            "dof": F.expr("cast(n_obs - n_entities - 2 as double)"),
+        }
+    )
+
+
+def _solve(cells: DataFrame, vcov: str) -> DataFrame:
+    if vcov not in ("iid", "HC1", "CRV1"):
+        raise ValueError(f"unknown vcov {vcov!r}")
+    model = _estimate(_model_sums(cells))
+    if vcov == "iid":
+        rss = "t_yy - coef * t_dy - period_effect * t_py"
+        fitted = model.withColumn("dof", F.expr("cast(n_obs - n_entities - 2 as double)")).withColumn(
+            "variance", F.expr(f"try_divide({rss}, dof) / d_d")
+        )
+    else:
+        fitted = _clustered(model) if vcov == "CRV1" else _robust(model, cells)
+        fitted = fitted.withColumn("variance", F.expr("factor * greatest(meat, 0) / (d_d * d_d)"))
+    return (
+        fitted.withColumn("se", F.sqrt("variance"))
+        .withColumn("t_value", F.expr("try_divide(coef, se)"))
+        .withColumns({"ci_low": F.expr("coef - 1.96 * se"), "ci_high": F.expr("coef + 1.96 * se")})
     )
 
 
+_ESTIMATE = ("coef", "se", "t_value", "dof", "n_obs", "n_entities", "ci_low", "ci_high")
+
+
 def did_twfe(
     panel: DataFrame,
     measures: Sequence[str],
@@ -202,102 +298,35 @@ def did_twfe(
     iid sigma^2 with N - G - 2 degrees; HC1 N / (N - G - 2); CRV1
     G/(G-1) * (N-1)/(N-3), the entity effects being nested in the clusters.
     """
-    if vcov not in ("iid", "HC1", "CRV1"):
-        raise ValueError(f"unknown vcov {vcov!r}")
-    entities = entity_cells(panel, measures, outcome, entity, control, interventions)
-
-    def add(name: str, cells=_CELLS) -> Column:
-        total = F.lit(0)
-        for t, p in cells:
-            total = total + F.col(_cell(name, t, p))
-        return total
-
-    post = [(0, 1), (1, 1)]
-    both = [(1, 1)]
-    n, s = F.col("n"), F.col("s")
-    stats = (
-        entities.withColumns({"n": add("n"), "s": add("s"), "q": add("q"), "n_p": add("n", post), "s_p": add("s", post)})
-        .withColumns({"n_d": add("n", both), "s_d": add("s", both)})
-        .withColumns(
-            {
-                # within-entity cross products of d = treated x period, p = period, y
-                "dd": F.col("n_d") - F.col("n_d") * F.col("n_d") / n,
-                "dp": F.col("n_d") - F.col("n_d") * F.col("n_p") / n,
-                "pp": F.col("n_p") - F.col("n_p") * F.col("n_p") / n,
-                "dy": F.col("s_d") - F.col("n_d") * s / n,
-                "py": F.col("s_p") - F.col("n_p") * s / n,
-                "yy": F.col("q") - s * s / n,
-            }
-        )
-    )
-    products = ("dd", "dp", "pp", "dy", "py", "yy")
-    keys = ["activity", "comparison"]
-    sums = stats.groupBy(*keys).agg(
-        *[F.sum(c).alias(f"t_{c}") for c in products],
-        F.sum("n").alias("n_obs"),
-        F.count("*").alias("n_entities"),
-        F.max((F.col("n00") + F.col("n01")) > 0).alias("has_control"),
-        F.max((F.col("n10") + F.col("n11")) > 0).alias("has_treated"),
-    )
-    det = F.col("t_dd") * F.col("t_pp") - F.col("t_dp") * F.col("t_dp")
-    # partial out the period effect: d~ = d - (dp/pp) p
-    model = (
-        sums.filter(F.col("has_control") & F.col("has_treated"))
-        .withColumn("coef", F.try_divide(F.col("t_dy") * F.col("t_pp") - F.col("t_py") * F.col("t_dp"), det))
-        .withColumn("period_effect", F.try_divide(F.col("t_py") - F.col("coef") * F.col("t_dp"), F.col("t_pp")))
-        .withColumn("slope", F.try_divide(F.col("t_dp"), F.col("t_pp")))
-        .withColumn("d_d", F.col("t_dd") - F.col("slope") * F.col("t_dp"))
-        .withColumn("rss", F.col("t_yy") - F.col("coef") * F.col("t_dy") - F.col("period_effect") * F.col("t_py"))
-    )
-    big_n, big_g = F.col("n_obs"), F.col("n_entities")
-    if vcov == "iid":
-        fitted = model.withColumn("dof", (big_n - big_g - 2).cast("double"))
-        variance = F.try_divide(F.col("rss"), F.col("dof")) / F.col("d_d")
-    else:
-        # one row per activity and comparison on the small side
-        beta = F.broadcast(model.select(*keys, "coef", "period_effect", "slope"))
-        scored = stats.join(beta, keys)
-        if vcov == "CRV1":
-            # score of an entity: sum of (d~ - slope p~) * residual
-            score_d = F.col("dy") - F.col("coef") * F.col("dd") - F.col("period_effect") * F.col("dp")
-            score_p = F.col("py") - F.col("coef") * F.col("dp") - F.col("period_effect") * F.col("pp")
-            score = score_d - F.col("slope") * score_p
-            meat = scored.groupBy(*keys).agg(F.sum(score * score).alias("meat"))
-            factor = F.try_divide(big_g, big_g - 1) * F.try_divide(big_n - 1, big_n - 3)
-            dof = big_g - 1
-        else:
-            mean_d, mean_p, mean_y = F.col("n_d") / n, F.col("n_p") / n, s / n
-            total = F.lit(0.0)
-            for t, p in _CELLS:
-                d_in, p_in = F.lit(t * p) - mean_d, F.lit(p) - mean_p
-                centre = mean_y + F.col("coef") * d_in + F.col("period_effect") * p_in
-                count, summed, squares = (F.col(_cell(v, t, p)) for v in ("n", "s", "q"))
-                residual = squares - 2 * centre * summed + count * centre * centre
-                weight = d_in - F.col("slope") * p_in
-                total = total + weight * weight * residual
-            meat = scored.groupBy(*keys).agg(F.sum(total).alias("meat"))
-            factor = F.try_divide(big_n, big_n - big_g - 2)
-            dof = big_n - big_g - 2
-        fitted = model.join(F.broadcast(meat), keys).withColumn("dof", dof.cast("double"))
-        variance = factor * F.col("meat") / (F.col("d_d") * F.col("d_d"))
-    return (
-        fitted.withColumn("se", F.sqrt(variance))
-        .withColumn("t_value", F.try_divide(F.col("coef"), F.col("se")))
-        .select(*keys, "coef", "se", "t_value", "dof", "n_obs", "n_entities")
-        .withColumns({"ci_low": F.col("coef") - 1.96 * F.col("se"), "ci_high": F.col("coef") + 1.96 * F.col("se")})
-    )
+    cells = entity_cells(panel, measures, outcome, entity, control, interventions)
+    return _solve(cells, vcov).select("activity", "comparison", *_ESTIMATE)
+
+
+_TOTALS = {
+    "control_reference_use": "cast(u00 as double)",
+    "control_intervention_use": "cast(u01 as double)",
+    "treated_reference_use": "cast(u10 as double)",
+    "treated_intervention_use": "cast(u11 as double)",
+    "control_person_weeks": "days00 / 7",
+    "treated_person_weeks": "days10 / 7",
+}
 
 
 def did_results(
-    panel: DataFrame, measures: Sequence[str], outcome: str = "total_hc_use", p_values: bool = True, **options
+    panel: DataFrame, measures: Sequence[str], outcome: str = "total_hc_use", vcov: str = "CRV1", p_values: bool = True
 ) -> DataFrame:
-    """One row per activity and comparison: totals, estimate, standard error, p-value."""
-    totals = did_totals(panel, measures)
+    """One row per activity and comparison: totals (or rates), estimate, standard error, p-value.
+
+    Patients are the entities, so totals and estimates share one aggregation.
+    """
+    solved = _solve(entity_cells(panel, measures, outcome), vcov)
+    table = solved.selectExpr(
+        "activity", "comparison", "control_patients", "treated_patients", *[f"{e} as {n}" for n, e in _TOTALS.items()], *_ESTIMATE
+    ).withColumn("control_excess", F.expr("control_intervention_use - control_reference_use"))
+    table = table.withColumn("total_excess", F.expr("treated_intervention_use - treated_reference_use - control_excess"))
     if outcome == "avg_weekly_use":
-        totals = did_rates(totals)
-    model = did_twfe(panel, measures, outcome, **options)
-    out = totals.join(F.broadcast(model), ["activity", "comparison"])
-    return out.withColumn("p_value", t_p("t_value", "dof")) if p_values else out
+        table = did_rates(table)
+    return table.withColumn("p_value", t_p("t_value", "dof")) if p_values else table
 
 
 def result_matrix(results: DataFrame, value: str, columns: Sequence[str] = INTERVENTIONS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspan.functions import bands as b
+from cohortspan.sources.mapping import FRAILTY_LEVELS
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +70,6 @@ def unpivot_sql(table: str, variables: Sequence[str], keep: str = "") -> str:
     )
 
 
-FRAILTY_LEVELS = b.Bands((1, 3, 4), ("Fit", "Mild", "Moderate", "Severe"))
-
 CTES = {
     "spans": """spans AS (
   SELECT o_orderkey AS pathway_id, o_custkey AS pid, o_orderpriority AS tfc, o_orderpriority AS specialty,

@@ -14,6 +14,10 @@ RUNTIME_CONF = {
     # when that costs one more exchange above the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # call-site capture costs milliseconds per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files go when the frame that owns them does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

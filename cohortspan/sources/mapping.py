@@ -17,73 +17,80 @@ COSTS = ("cost_a", "cost_n", "cost_r")
 MEASURES = USES + COSTS
 CHARACTERISTICS = ("specialty", "sex", "age_band", "quintile", "region", "frailty", "ltc")
 PATHWAY_KEY = ("pid", "tfc", "start_date")
+FRAILTY_LEVELS = b.Bands((1, 3, 4), ("Fit", "Mild", "Moderate", "Severe"))
+
+
+# declared schemas: no footer is read to plan a query
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed pathways with dates and the columns the order itself carries."""
     stops = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("pathway_id"))
-        .agg(F.max("l_shipdate").cast("date").alias("stop_date"))
+        .groupBy("l_orderkey")
+        .agg(F.expr("cast(max(l_shipdate) as date) as stop_date"))
+        .withColumnRenamed("l_orderkey", "pathway_id")
     )
-    orders = table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    code = F.pmod(key, F.lit(9))
-    started = orders.select(
-        key.alias("pathway_id"),
-        F.col("o_custkey").alias("pid"),
-        F.col("o_orderpriority").alias("tfc"),
-        F.col("o_orderpriority").alias("specialty"),
-        F.col("o_orderdate").cast("date").alias("start_date"),
-        F.when(code < 7, code + 30).when(code == 7, 99).otherwise(40).cast("int").alias("status"),
-        F.when(F.col("o_orderstatus") == "F", "OPRT|IRTT").when(F.col("o_orderstatus") == "O", "OPRT").alias("change_type"),
-        F.when(key % 2 == 0, "rtt_end_date").otherwise("week_end_date").alias("end_type"),
-        F.when(F.col("o_orderstatus") == "F", "inpatient").otherwise("outpatient").alias("setting"),
-        F.when(F.col("o_totalprice") < 100000, "Urgent")
-        .when(F.col("o_totalprice") < 350000, "Routine")
-        .when(F.col("o_totalprice") < 450000, "Cancer")
-        .alias("priority"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("event"),
-    )
-    return (
-        started.join(stops, "pathway_id")
-        .filter(F.col("stop_date") > F.col("start_date"))
-        .withColumn("wt", F.datediff("stop_date", "start_date"))
+    started = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as pathway_id",
+        "o_custkey as pid",
+        "o_orderpriority as tfc",
+        "o_orderpriority as specialty",
+        "cast(o_orderdate as date) as start_date",
+        "cast(case when o_orderkey % 9 < 7 then 30 + o_orderkey % 9 when o_orderkey % 9 = 7 then 99 else 40 end as int) as status",
+        "case o_orderstatus when 'F' then 'OPRT|IRTT' when 'O' then 'OPRT' end as change_type",
+        "if(o_orderkey % 2 = 0, 'rtt_end_date', 'week_end_date') as end_type",
+        "if(o_orderstatus = 'F', 'inpatient', 'outpatient') as setting",
+        "case when o_totalprice < 100000 then 'Urgent' when o_totalprice < 350000 then 'Routine'"
+        " when o_totalprice < 450000 then 'Cancer' end as priority",
+        "cast(o_orderstatus = 'F' as int) as event",
     )
+    return started.join(stops, "pathway_id").filter("stop_date > start_date").withColumn("wt", F.datediff("stop_date", "start_date"))
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per patient with the characteristics of the report tables."""
-    customer = table(spark, sf_dir, "customer")
     # nation and region have a fixed number of rows
     places = (
         table(spark, sf_dir, "nation")
-        .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
+        .join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr("n_nationkey as c_nationkey", "r_name as region")
     )
-    key = F.col("c_custkey")
-    age = F.floor((F.col("c_acctbal") + 1000) / 110).cast("int")
-    raw = customer.join(F.broadcast(places), "c_nationkey").select(
-        key.alias("pid"),
-        F.col("c_mktsegment").alias("provider"),
-        F.col("c_acctbal").alias("balance"),
-        F.when(key % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.when(F.col("c_acctbal") >= -900, age).alias("age"),
-        (F.floor(F.col("c_nationkey") / 5) + 1).cast("string").alias("quintile"),
-        "region",
-        (key % 5).cast("int").alias("ltc_count"),
-        (key % 6).cast("int").alias("frailty_index"),
+    raw = (
+        table(spark, sf_dir, "customer")
+        .join(F.broadcast(places), "c_nationkey")
+        .selectExpr(
+            "c_custkey as pid",
+            "c_mktsegment as provider",
+            "c_acctbal as balance",
+            "if(c_custkey % 2 = 0, 'F', 'M') as sex",
+            "if(c_acctbal >= -900, cast(floor((c_acctbal + 1000) / 110) as int), null) as age",
+            "cast(c_nationkey div 5 + 1 as string) as quintile",
+            "region",
+            "cast(c_custkey % 5 as int) as ltc_count",
+            "cast(c_custkey % 6 as int) as frailty_index",
+        )
     )
-    frailty = b.Bands((1, 3, 4), ("Fit", "Mild", "Moderate", "Severe"))
     return raw.withColumns(
         {
             "age_band": b.band("age", b.AGE),
             "ltc": b.band("ltc_count", b.CONDITIONS),
-            "frailty": b.band("frailty_index", frailty),
+            "frailty": b.band("frailty_index", FRAILTY_LEVELS),
         }
     )
 
@@ -99,16 +106,15 @@ def pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with patient and day, before any grouping."""
-    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pid"))
+    owner = table(spark, sf_dir, "orders").selectExpr("o_orderkey as l_orderkey", "o_custkey as pid")
     return (
         table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_shipdate", "l_returnflag", "l_extendedprice")
         .join(owner, "l_orderkey")
-        .select(
+        .selectExpr(
             "pid",
-            F.col("l_shipdate").cast("date").alias("day"),
-            F.lower("l_returnflag").alias("kind"),
-            F.col("l_extendedprice").cast("decimal(15,2)").alias("price"),
+            "cast(l_shipdate as date) as day",
+            "lower(l_returnflag) as kind",
+            "cast(l_extendedprice as decimal(15, 2)) as price",
         )
     )
 
@@ -119,20 +125,14 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Costs are rounded to whole units per day.
     """
     kinds = ("a", "n", "r")
-    of = {k: F.col("kind") == k for k in kinds}
     return (
         line_activity(spark, sf_dir)
         .groupBy("pid", "day")
         .agg(
-            *[F.count_if(of[k]).alias(f"use_{k}") for k in kinds],
-            *[F.sum(F.when(of[k], F.col("price"))).alias(f"cost_{k}") for k in kinds],
-        )
-        .select(
-            "pid",
-            "day",
-            *USES,
-            *[F.coalesce(F.round(c), F.lit(0)).cast("long").alias(c) for c in COSTS],
+            *[F.expr(f"count_if(kind = '{k}') as use_{k}") for k in kinds],
+            *[F.expr(f"sum(if(kind = '{k}', price, null)) as cost_{k}") for k in kinds],
         )
+        .selectExpr("pid", "day", *USES, *[f"cast(coalesce(round({c}), 0) as bigint) as {c}" for c in COSTS])
     )
 
 
@@ -148,7 +148,7 @@ def observed_from(spark: SparkSession, sf_dir: str) -> Column:
 
 def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exit ("death") date: the last activity of customers with a negative balance."""
-    leavers = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("pid"))
+    leavers = table(spark, sf_dir, "customer").filter("c_acctbal < 0").selectExpr("c_custkey as pid")
     return (
         line_activity(spark, sf_dir)
         .join(leavers, "pid", "left_semi")
@@ -159,22 +159,16 @@ def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attendances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows read as attendances of a daily episode."""
-    status = (
-        F.when(F.col("event_type") == "error", "5 dna")
-        .when(F.col("event_type") == "signup", "2 cancel(pat)")
-        .when(F.col("event_type") == "purchase", "4 cancel(hos)")
-        .when(F.col("event_type") == "view", "attended")
-    )
-    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_mktsegment").alias("specialty"))
-    day = F.col("ts").cast("date")
+    owners = table(spark, sf_dir, "customer").selectExpr("c_custkey as pid", "c_mktsegment as specialty")
     return (
         table(spark, sf_dir, "events")
-        .select(
-            F.col("user_id").alias("pid"),
-            F.concat_ws("-", F.col("user_id"), F.date_format(day, "yyyyMMdd")).alias("pathway_id"),
-            F.when(F.col("event_type") == "click", "wlmds_other").otherwise("wlmds_sus").alias("event_source"),
-            status.alias("attendance_status"),
-            day.alias("attendance_date"),
+        .selectExpr(
+            "user_id as pid",
+            "concat_ws('-', user_id, date_format(cast(ts as date), 'yyyyMMdd')) as pathway_id",
+            "if(event_type = 'click', 'wlmds_other', 'wlmds_sus') as event_source",
+            "case event_type when 'error' then '5 dna' when 'signup' then '2 cancel(pat)'"
+            " when 'purchase' then '4 cancel(hos)' when 'view' then 'attended' end as attendance_status",
+            "cast(ts as date) as attendance_date",
             "value",
         )
         .join(owners, "pid")
