@@ -50,6 +50,13 @@ def gamma_tail(shape: float, x: float) -> float:
     return scale * h
 
 
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log of gamma(a + b) / gamma(a), without the cancellation of large terms."""
+    if a < 1e5 or b > 10:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+
+
 def beta_lower(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function I_x(a, b)."""
     if not 0 <= x <= 1:
@@ -58,9 +65,9 @@ def beta_lower(a: float, b: float, x: float) -> float:
         return float(x)
     if x > (a + 1) / (a + b + 2):
         return 1 - beta_lower(b, a, 1 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+    big, small = max(a, b), min(a, b)
+    log_beta = math.lgamma(small) - _log_gamma_ratio(big, small)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - log_beta) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or _TINY)
     h = d
     for m in range(1, 10000):

@@ -146,8 +146,8 @@ class Model:
                 b = float(fit.beta[position[c]])
                 se = float(math.sqrt(max(fit.cov[position[c], position[c]], 0.0)))
                 t = b / se if se > 0 else math.nan
-                p = normal_two_sided(t) if fit.robust else t_two_sided(t, fit.dof)
-                rows.append((key, name, b, se, t, p, b - 1.96 * se, b + 1.96 * se, False))
+                p = normal_two_sided(t) if fit.robust else t_two_sided(t, float(fit.dof))
+                rows.append((key, name, b, se, t, float(p), b - 1.96 * se, b + 1.96 * se, False))
         schema = (
             "model string, term string, estimate double, se double, t_value double, p_value double,"
             " ci_low double, ci_high double, dropped boolean"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspan.functions import bands as b
 from cohortspan.operators import association, cohort, did, periods, utilisation
 from cohortspan.plans.base import query, unpivot_sql, with_ctes
+from cohortspan.session import durable
 from cohortspan.sources import mapping as m
 
 SEVEN = m.CHARACTERISTICS
@@ -130,7 +131,9 @@ def sample(spark, sf_dir):
 
 
 def panel(spark, sf_dir, keep=did.PANEL_KEYS):
-    return did.did_panel(sample(spark, sf_dir), m.activity(spark, sf_dir), MEASURES, keep)
+    # the sample feeds both the days asked for and the rows that ask
+    chosen = durable(sample(spark, sf_dir).select(*keep, "periods"))
+    return did.did_panel(chosen, m.activity(spark, sf_dir), MEASURES, keep)
 
 
 @query(
