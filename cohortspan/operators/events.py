@@ -93,7 +93,7 @@ def patient_starts(df: DataFrame, keys: Sequence[str], length: str = "wt") -> Da
     """Distinct clock starts and median wait per patient and keys."""
     return df.groupBy(*keys).agg(
         F.count_distinct("start_date").alias("distinct_count"),
-        quantile(length, 0.5).alias("median_wait_length"),
+        quantile(length, 0.5).cast("int").alias("median_wait_length"),
     )
 
 

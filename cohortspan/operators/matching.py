@@ -69,19 +69,31 @@ def nearest_match(
         .groupBy(F.col(score).alias("_score"))
         .agg(F.min(F.when(flag, F.col(patient))).alias("_treated"), F.max((~flag).cast("int")).alias("_control"))
     )
-    cut = with_ranges(values, "_score", ranges)
     entry = F.when(F.col("_treated").isNotNull(), F.struct("_score", "_treated"))
-    ordered = Window.partitionBy("_range").orderBy("_score")
-    below = F.last(entry, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(entry, ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing))
-    # nearest treated score of the ranges before and after: one row per range
-    ends = cut.groupBy("_range").agg(F.max(entry).alias("_high"), F.min(entry).alias("_low"))
-    whole = Window.partitionBy(F.lit(1)).orderBy("_range")
-    carried = ends.select(
-        "_range",
-        F.last("_high", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_low", ignorenulls=True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
+    cut = with_ranges(values, "_score", ranges)
+    part = F.lit(1) if cut is None else F.col("_range")
+    ordered = Window.partitionBy(part).orderBy("_score")
+    sought = {
+        "_below": F.last(entry, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+        "_above": F.first(entry, ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
+    }
+    if cut is None:
+        found = values.withColumns(sought).filter(F.col("_control") == 1)
+    else:
+        # nearest treated score of the ranges before and after: one row per range
+        ends = cut.groupBy("_range").agg(F.max(entry).alias("_high"), F.min(entry).alias("_low"))
+        whole = Window.partitionBy(F.lit(1)).orderBy("_range")
+        carried = ends.select(
+            "_range",
+            F.last("_high", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_low", ignorenulls=True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        )
+        found = (
+            cut.withColumns(sought)
+            .filter(F.col("_control") == 1)
+            .join(F.broadcast(carried), "_range")
+            .withColumns({"_below": F.coalesce("_below", "_before"), "_above": F.coalesce("_above", "_after")})
+        )
 
     def candidate(column: str):
         distance = F.abs(F.col("_score") - F.col(f"{column}._score"))
@@ -89,12 +101,8 @@ def nearest_match(
             F.col(column).isNotNull(), F.struct(distance.alias("distance"), F.col(f"{column}._treated").alias("match"))
         )
 
-    neighbours = (
-        cut.withColumns({"_below": below, "_above": above})
-        .filter(F.col("_control") == 1)
-        .join(carried, "_range")
-        .withColumns({"_below": F.coalesce("_below", "_before"), "_above": F.coalesce("_above", "_after")})
-        .select("_score", F.array_min(F.array_compact(F.array(candidate("_below"), candidate("_above")))).alias("_best"))
+    neighbours = found.select(
+        "_score", F.array_min(F.array_compact(F.array(candidate("_below"), candidate("_above")))).alias("_best")
     )
     best = (
         scored.filter(~flag & F.col(score).isNotNull())

@@ -16,22 +16,21 @@ from pyspark.sql import functions as F
 ROWS_PER_RANGE = 500_000
 
 
-def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame | None:
     """Add ``_range``: increasing with ``order``; equal values share a range.
 
     The cut points come from approximate quantiles, so ranges are even however
-    the values cluster. Only the cut points reach the driver.
+    the values cluster. Only the cut points reach the driver. ``None`` when the
+    rows are few enough for one range.
     """
     if ranges is None:
         ranges = math.ceil(df.count() / ROWS_PER_RANGE)
-    cuts = []
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(df.select(F.col(order).cast("double").alias(order)).approxQuantile(order, steps, 1 / (4 * ranges))))
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    edges = [-math.inf, *cuts, math.inf]
-    cutter = Bucketizer(splits=edges, inputCol="_order", outputCol="_bucket")
+    if ranges <= 1:
+        return None
+    steps = [i / ranges for i in range(1, ranges)]
+    numbers = df.select(F.col(order).cast("double").alias("_order"))
+    cuts = sorted(set(numbers.approxQuantile("_order", steps, 1 / (4 * ranges))))
+    cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol="_bucket")
     return (
         cutter.transform(df.withColumn("_order", F.col(order).cast("double")))
         .withColumn("_range", F.col("_bucket").cast("int"))
@@ -42,6 +41,9 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
 def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None, name: str = "before") -> DataFrame:
     """Sum of ``n`` over all rows with a smaller ``order`` (one row per value)."""
     cut = with_ranges(df, order, ranges)
+    if cut is None:
+        before = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(n).over(before), F.lit(0)))
     # one row per range
     whole = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -52,7 +54,7 @@ def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None,
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(offsets, "_range")
+        .join(F.broadcast(offsets), "_range")
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset", "_range")
     )

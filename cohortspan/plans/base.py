@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspan.functions import bands as b
+from cohortspan.session import adapt
 from cohortspan.sources.mapping import FRAILTY_LEVELS
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     def add(run: Runner) -> Runner:
         if name in REGISTRY:
             raise ValueError(f"query {name!r} is registered twice")
-        REGISTRY[name] = Query(lambda spark, sf_dir: plain(run(spark, sf_dir)), sql)
+        REGISTRY[name] = Query(lambda spark, sf_dir: plain(run(adapt(spark), sf_dir)), sql)
         return run
 
     return add

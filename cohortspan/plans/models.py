@@ -277,7 +277,7 @@ def _units(spark, sf_dir):
 @query("propensity")
 def propensity(spark, sf_dir):
     """Score per pathway, reduced to the distinct covariate cells."""
-    scored = matching.propensity(durable(_units(spark, sf_dir)), "treated", [*COVARIATES, "quintile"])
+    scored = matching.propensity(_units(spark, sf_dir), "treated", [*COVARIATES, "quintile"])
     return scored.groupBy(*COVARIATES, "quintile").agg(
         F.max("propensity_score").alias("propensity_score"), F.count("*").alias("n"), F.sum("treated").alias("treated")
     )
@@ -318,7 +318,7 @@ scored AS (SELECT units.pid, treated, score FROM units JOIN (
 )
 def psm_match_cells(spark, sf_dir):
     """Nearest match on the treated share of the covariate cell, with many ties."""
-    units = durable(_units(spark, sf_dir))
+    units = _units(spark, sf_dir)
     cells = [*COVARIATES, "quintile"]
     shares = units.groupBy(*cells).agg((F.sum("treated") / F.count("*")).alias("propensity_score"))
     return matching.nearest_match(units.join(shares, cells))
@@ -327,7 +327,7 @@ def psm_match_cells(spark, sf_dir):
 @query("matched_did")
 def matched_did(spark, sf_dir):
     """Propensity score, match, matched cohort, HC3 regression without influential rows."""
-    units = durable(_units(spark, sf_dir))
+    units = _units(spark, sf_dir)
     matches = durable(matching.nearest_match(matching.propensity(units, "treated", [*COVARIATES, "quintile"])))
     rows = durable(matching.matched_cohort(_ols_rows(spark, sf_dir), matches))
     return _refit(rows)[2].table()

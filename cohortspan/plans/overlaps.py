@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.operators import overlap, tables
 from cohortspan.plans.base import query, unpivot_sql, with_ctes
+from cohortspan.session import durable
 from cohortspan.sources import mapping as m
 
 SIX = m.CHARACTERISTICS[1:]
@@ -19,16 +20,21 @@ _OVERLAPPING = f"overlapping AS (SELECT DISTINCT {', '.join(COLUMNS)} FROM pathw
 _NON = f"""non_overlapping AS (SELECT {', '.join(COLUMNS)} FROM pathways WHERE pid NOT IN (SELECT pid FROM overlapping))"""
 
 
+def _rows(spark, sf_dir, *extra):
+    # the rows are read as events, as days asked for and as the rows that ask
+    return durable(m.spans(spark, sf_dir).select("pathway_id", "pid", "tfc", "start_date", "stop_date", *extra))
+
+
 @query(
     "overlap_same_specialty",
     with_ctes("spans", f"SELECT DISTINCT pid FROM spans a WHERE {_OVERLAP.format(same='AND b.tfc = a.tfc')}"),
 )
 def overlap_same_specialty(spark, sf_dir):
-    return overlap.overlapping(m.spans(spark, sf_dir).select("pathway_id", "pid", "tfc", "start_date", "stop_date"), ["pid", "tfc"], ["pid"], unique=True)
+    return overlap.overlapping(_rows(spark, sf_dir), ["pid", "tfc"], ["pid"], unique=True)
 
 
 def _both(spark, sf_dir):
-    pw = m.pathways(spark, sf_dir).select("pathway_id", "start_date", "stop_date", *COLUMNS)
+    pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "start_date", "stop_date", *COLUMNS))
     yes = overlap.overlapping(pw, ["pid"], COLUMNS, unique=True)
     return yes, overlap.non_overlapping(pw, yes, COLUMNS)
 
@@ -49,7 +55,7 @@ GROUP BY 1""",
 )
 def overlap_counts(spark, sf_dir):
     """Number of overlapping pathways of the same patient, per pathway."""
-    rows = m.spans(spark, sf_dir).select("pathway_id", "pid", "start_date", "stop_date")
+    rows = _rows(spark, sf_dir).drop("tfc")
     return overlap.with_overlaps(rows, ["pid"]).select("pathway_id", "overlaps")
 
 
@@ -73,7 +79,7 @@ def non_overlap(spark, sf_dir):
 )
 def overlap_treated(spark, sf_dir):
     """Patients with overlaps within the treated and within the untreated pathways."""
-    rows = m.spans(spark, sf_dir).select("pathway_id", "pid", "start_date", "stop_date", (F.col("status") == 30).alias("status_group"))
+    rows = _rows(spark, sf_dir, (F.col("status") == 30).alias("status_group"))
     found = overlap.overlapping(rows, ["pid", "status_group"], ["pid", "status_group"], unique=True)
     return found.groupBy("status_group").agg(F.count("*").alias("patients"))
 
@@ -116,7 +122,7 @@ WHERE a.tfc = '{INDEX}' AND b.tfc <> '{INDEX}' GROUP BY 1""",
     ),
 )
 def overlap_cross_cohort(spark, sf_dir):
-    rows = m.spans(spark, sf_dir).select("pid", "tfc", "start_date", "stop_date")
+    rows = _rows(spark, sf_dir)
     index, others = rows.filter(F.col("tfc") == INDEX), rows.filter(F.col("tfc") != INDEX)
     return overlap.overlap_pairs_by(others, index, ["tfc"])
 
@@ -133,5 +139,5 @@ FROM (SELECT a.pid, count(*) AS n, bool_or(EXISTS (SELECT 1 FROM spans b WHERE b
     ),
 )
 def patient_pathway_mix(spark, sf_dir):
-    rows = m.spans(spark, sf_dir).select("pid", "tfc", "start_date", "stop_date")
+    rows = _rows(spark, sf_dir)
     return overlap.patient_pathway_mix(rows.filter(F.col("tfc") == INDEX), rows.filter(F.col("tfc") != INDEX))

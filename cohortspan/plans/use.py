@@ -33,7 +33,8 @@ WIDE_KEEP = ("pathway_id", "pid", "start_date", "stop_date", "wt", "group", *SEV
 
 
 def wide(spark, sf_dir):
-    return utilisation.wide_utilisation(m.pathways(spark, sf_dir), m.activity(spark, sf_dir), MEASURES, WIDE_KEEP)
+    pw = durable(m.pathways(spark, sf_dir).select(*WIDE_KEEP))
+    return utilisation.wide_utilisation(pw, m.activity(spark, sf_dir), MEASURES, WIDE_KEEP)
 
 
 @query(
@@ -233,7 +234,8 @@ def did_sample_fixed(spark, sf_dir):
     }
     specs["stop_date"] = periods.stop_date_cut(210, 28, 168)
     specs["inclusive"] = periods.own_wait_inclusive(28)
-    pw, act, until = m.pathways(spark, sf_dir), m.activity(spark, sf_dir), m.observed_until(spark, sf_dir)
+    pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "pid", "start_date", "stop_date", "wt", "group"))
+    act, until = m.activity(spark, sf_dir), m.observed_until(spark, sf_dir)
     rows = None
     for name, spec in specs.items():
         part = periods.explode_periods(did.did_sample(pw, spec, until), ["pathway_id", "pid"]).withColumn("design", F.lit(name))
@@ -252,7 +254,8 @@ _OVER = """over AS (SELECT pathways.* EXCLUDE ("group"), CASE WHEN wt <= 126 THE
 def threshold_sample(spark, sf_dir, follow_up=360):
     pw = m.pathways(spark, sf_dir).filter("wt > 84").withColumn("group", b.band("wt", b.WAIT_2))
     spec = periods.threshold(85, follow_up, complete="pathway")
-    return did.did_sample(pw, spec, m.observed_until(spark, sf_dir), (did.CONTROL, "> 18 weeks"))
+    chosen = did.did_sample(pw, spec, m.observed_until(spark, sf_dir), (did.CONTROL, "> 18 weeks"))
+    return durable(chosen.select("pathway_id", "pid", "group", "wt", "sex", "region", "ltc", "quintile", "balance", "periods"))
 
 
 @query(
@@ -437,7 +440,7 @@ def did_binary(spark, sf_dir):
     spec = periods.own_wait(follow_up=180)
     waits = cohort.with_bounds(m.pathways(spark, sf_dir).filter("wt > 72"), follow_up=180)
     kept = cohort.survived(waits.join(m.exits(spark, sf_dir), "pid", "left")).drop("washout_end", "follow_up_end", "exit_date")
-    chosen = did.did_sample(kept, spec, m.observed_until(spark, sf_dir))
+    chosen = durable(did.did_sample(kept, spec, m.observed_until(spark, sf_dir)).select(*did.PANEL_KEYS, "periods"))
     rows = did.did_panel(chosen, did.binarise(m.activity(spark, sf_dir), m.USES), m.USES)
     return did.did_totals(rows, m.USES)
 
@@ -471,6 +474,7 @@ def did_binary(spark, sf_dir):
 )
 def excess_usage(spark, sf_dir):
     chosen = did.did_sample(m.pathways(spark, sf_dir), periods.own_wait_inclusive(), m.observed_until(spark, sf_dir))
+    chosen = durable(chosen.select(*did.PANEL_KEYS, "periods"))
     return did.excess_usage(did.did_panel(chosen, m.activity(spark, sf_dir), MEASURES), MEASURES)
 
 
@@ -485,7 +489,8 @@ _HISTORY = f"""history AS (SELECT s."group", s.pid, s.period, s.pathway_id, CAST
 
 def history(spark, sf_dir):
     seen = (m.observed_from(spark, sf_dir), m.observed_until(spark, sf_dir))
-    return utilisation.history_totals(m.pathways(spark, sf_dir), m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid", "group"], seen)
+    pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "pid", "group", "start_date", "stop_date", "wt"))
+    return utilisation.history_totals(pw, m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid", "group"], seen)
 
 
 @query(
@@ -526,7 +531,8 @@ def person_week_rates(spark, sf_dir):
     ),
 )
 def baseline_use(spark, sf_dir):
-    return utilisation.baseline_use(m.spans(spark, sf_dir), m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid"])
+    rows = durable(m.spans(spark, sf_dir).select("pathway_id", "pid", "start_date"))
+    return utilisation.baseline_use(rows, m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid"])
 
 
 @query(
@@ -540,7 +546,8 @@ LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN start_date AND stop_date
 )
 def binned_activity(spark, sf_dir):
     """Use during the wait in bins of 30 days."""
-    return utilisation.binned_activity(m.pathways(spark, sf_dir), m.activity(spark, sf_dir), "use_a", 30, F.col("stop_date"))
+    pw = durable(m.pathways(spark, sf_dir).select("pid", "group", "start_date", "stop_date"))
+    return utilisation.binned_activity(pw, m.activity(spark, sf_dir), "use_a", 30, F.col("stop_date"))
 
 
 @query(
@@ -558,6 +565,7 @@ JOIN (SELECT pathway_id, pid, "group", max_time_covered FROM sample) USING (path
 )
 def placebo_panel(spark, sf_dir):
     chosen = did.did_sample(alive(spark, sf_dir), periods.placebo(), m.observed_until(spark, sf_dir))
+    chosen = durable(chosen.select("pid", "group", "max_time_covered", "periods"))
     return did.placebo_panel(chosen, m.activity(spark, sf_dir), MEASURES)
 
 
@@ -571,7 +579,7 @@ labelled AS (SELECT *, CASE WHEN weekly_use >= (SELECT quantile_disc(weekly_use,
 def labelled_users(spark, sf_dir):
     """Weekly use over wait, washout and after period; the top tenth labelled."""
     keep = [*FIVE, "pid", "tfc", "start_date", "wt"]
-    rows = sample(spark, sf_dir).withColumn("lo", F.col("start_date")).select(*keep, "lo", F.col("follow_up_end").alias("hi"))
+    rows = durable(sample(spark, sf_dir).select(*keep, F.col("start_date").alias("lo"), F.col("follow_up_end").alias("hi")))
     totals = periods.interval_totals(rows, m.activity(spark, sf_dir), ["pid"], "lo", "hi", ["use_a"])
     return association.high_users(association.weekly_use(totals, "use_a", [k for k in keep if k != "wt"]), accuracy=1_000_000)
 

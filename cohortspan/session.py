@@ -6,13 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-RUNTIME_CONF = {
+ADAPTIVE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # one patient may hold a third of all rows: split such join partitions even
     # when that costs one more exchange above the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SESSION_CONF = {
+    **ADAPTIVE_CONF,
     "spark.sql.session.timeZone": "UTC",
     # call-site capture costs milliseconds per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -30,13 +33,21 @@ def local_session(app: str = "cohortspan", cpus: int | str = "*", memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def adapt(spark: SparkSession) -> SparkSession:
+    """Turn on skew handling in a session that was made elsewhere."""
+    for key, value in ADAPTIVE_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives lost executors.
 
