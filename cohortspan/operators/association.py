@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspan.functions.tails import chi2_p
 from cohortspan.operators.ordered import running_count
 from cohortspan.operators.tables import unpivot_variables
+from cohortspan.session import durable
 
 TOP, REST = "Top 10%", "Bottom 90%"
 
@@ -103,7 +104,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     The pairs are first counted, ranks belong to distinct values, and the
     correlation is weighted by the counts.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+    counted = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+    # both rankings, the total and the sums read the counts
+    pairs = durable(counted)
 
     def ranks(column: str, name: str) -> DataFrame:
         values = pairs.groupBy(column).agg(F.sum("n").alias("_n"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 500_000
+ROWS_PER_RANGE = 2_000_000
 
 
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame | None:

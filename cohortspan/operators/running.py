@@ -10,20 +10,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def running_totals(events: DataFrame, at: DataFrame, keys: Sequence[str], day: str, measures: Sequence[str]) -> DataFrame:
-    """Inclusive running totals per key on every event day and every day of ``at``."""
+    """Inclusive running totals per key on every day of ``at``."""
     daily = (
-        events.select(*keys, day, *measures)
-        .unionByName(at.select(*keys, day), allowMissingColumns=True)
+        events.select(*keys, day, *measures, F.lit(False).alias("_asked"))
+        .unionByName(at.select(*keys, day, F.lit(True).alias("_asked")), allowMissingColumns=True)
         .groupBy(*keys, day)
-        .agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+        .agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures], F.max("_asked").alias("_asked"))
     )
     upto = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return daily.select(*keys, day, *[F.sum(m).over(upto).alias(m) for m in measures])
+    return daily.select(*keys, day, *[F.sum(m).over(upto).alias(m) for m in measures], "_asked").filter("_asked").drop("_asked")
+
+
+def totals_at(
+    df: DataFrame, events: DataFrame, keys: Sequence[str], days: dict[str, Column], measures: Sequence[str], day: str = "day"
+) -> DataFrame:
+    """Add ``{measure}@{name}``: the running total on each named day of the row.
+
+    The rows are read twice, for the days they ask about and for the lookups;
+    store or checkpoint them first when they are expensive to derive.
+    """
+    keys = list(keys)
+    dated = df.withColumns({f"_day_{name}": date for name, date in days.items()})
+    names = [f"_day_{name}" for name in days]
+    at = dated.select(*keys, F.explode(F.array(*names)).alias(day)).filter(F.col(day).isNotNull())
+    totals = running_totals(events, at, keys, day, measures)
+    out = dated
+    for name in days:
+        # the same table each time, so its exchange is made once
+        lookup = totals.select(*keys, F.col(day).alias(f"_day_{name}"), *[F.col(m).alias(f"{m}@{name}") for m in measures])
+        out = out.join(lookup, [*keys, f"_day_{name}"], "left")
+    return out.select(*df.columns, *[f"`{m}@{name}`" for name in days for m in measures])
+
+
+def between(measure: str, before: str, upto: str) -> Column:
+    """Total after the day named ``before`` and up to the day named ``upto``."""
+    return F.coalesce(F.col(f"`{measure}@{upto}`") - F.col(f"`{measure}@{before}`"), F.lit(0))
 
 
 def interval_totals(
@@ -36,17 +62,5 @@ def interval_totals(
     day: str = "day",
 ) -> DataFrame:
     """Add the event totals of the closed date interval ``[lo, hi]`` to each row."""
-    keys = list(keys)
-    bounded = intervals.withColumn("_before", F.date_sub(lo, 1))
-    at = bounded.select(*keys, F.explode(F.array("_before", hi)).alias(day)).filter(F.col(day).isNotNull())
-    totals = running_totals(events, at, keys, day, measures)
-    upper = totals.select(*keys, F.col(day).alias(hi), *[F.col(m).alias(f"_hi_{m}") for m in measures])
-    lower = totals.select(*keys, F.col(day).alias("_before"), *[F.col(m).alias(f"_lo_{m}") for m in measures])
-    return (
-        bounded.join(upper, [*keys, hi], "left")
-        .join(lower, [*keys, "_before"], "left")
-        .select(
-            *intervals.columns,
-            *[F.coalesce(F.col(f"_hi_{m}") - F.col(f"_lo_{m}"), F.lit(0)).alias(m) for m in measures],
-        )
-    )
+    found = totals_at(intervals, events, keys, {"before": F.date_sub(lo, 1), "upto": F.col(hi)}, measures, day)
+    return found.select(*intervals.columns, *[between(m, "before", "upto").alias(m) for m in measures])

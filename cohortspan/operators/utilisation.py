@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions.bands import null_to_unknown
-from cohortspan.operators.running import interval_totals
+from cohortspan.operators.running import between, interval_totals, totals_at
 from cohortspan.operators.tables import unpivot_variables
 
 QUARTER_DAYS = 7 * 13
@@ -17,23 +17,15 @@ SUFFIXES = {"3m_before": "3m_before", "while_waiting": "waiting_time", "3m_after
 
 def wide_utilisation(pathways: DataFrame, activity: DataFrame, measures: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``{measure}_{period}`` columns for the 13 weeks before, the wait and the 13 weeks after."""
-    out = pathways.select(*keep)
-    windows = {
-        "3m_before": (F.date_sub("start_date", QUARTER_DAYS), F.date_sub("start_date", 1)),
-        "waiting_time": (F.col("start_date"), F.col("stop_date")),
-        "3m_after": (F.date_add("stop_date", 1), F.date_add("stop_date", QUARTER_DAYS)),
+    days = {
+        "early": F.date_sub("start_date", QUARTER_DAYS + 1),
+        "start": F.date_sub("start_date", 1),
+        "stop": F.col("stop_date"),
+        "late": F.date_add("stop_date", QUARTER_DAYS),
     }
-    periods = F.array(*[F.struct(F.lit(p).alias("_period"), lo.alias("_lo"), hi.alias("_hi")) for p, (lo, hi) in windows.items()])
-    rows = out.select(*keep, F.inline(periods))
-    totals = interval_totals(rows, activity, ["pid"], "_lo", "_hi", measures)
-    # back to one row per pathway: each column is filled by one period
-    return totals.groupBy(*keep).agg(
-        *[
-            F.max(F.when(F.col("_period") == p, F.col(m))).alias(f"{m}_{p}")
-            for p in windows
-            for m in measures
-        ]
-    )
+    windows = {"3m_before": ("early", "start"), "waiting_time": ("start", "stop"), "3m_after": ("stop", "late")}
+    found = totals_at(pathways.select(*keep), activity, ["pid"], days, measures)
+    return found.select(*keep, *[between(m, *window).alias(f"{m}_{p}") for p, window in windows.items() for m in measures])
 
 
 def period_stats(
@@ -52,6 +44,7 @@ def period_stats(
             if label == "while_waiting"
             else (F.count(c) * 13).cast("double")
         )
+        quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
         aggregates.append(
             F.struct(
                 F.lit(m).alias("utilisation_type"),
@@ -59,9 +52,9 @@ def period_stats(
                 F.count(c).alias("pathway_count"),
                 F.sum(c).alias("sum"),
                 F.round(F.avg(c), 2).alias("mean"),
-                F.percentile_approx(c, 0.5, accuracy).alias("median"),
+                quartiles[1].alias("median"),
                 F.round(F.stddev_samp(c), 2).alias("stddev"),
-                (F.percentile_approx(c, 0.75, accuracy) - F.percentile_approx(c, 0.25, accuracy)).alias("iqr"),
+                (quartiles[2] - quartiles[0]).alias("iqr"),
                 weeks.alias("pathway_weeks"),
             ).alias(f"_{m}_{label}")
         )

@@ -68,7 +68,7 @@ FROM ("""
     ),
 )
 def period_stats(spark, sf_dir):
-    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=1_000_000)
+    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=100_000)
 
 
 _RATE_LABELS = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}
@@ -581,7 +581,7 @@ def labelled_users(spark, sf_dir):
     keep = [*FIVE, "pid", "tfc", "start_date", "wt"]
     rows = durable(sample(spark, sf_dir).select(*keep, F.col("start_date").alias("lo"), F.col("follow_up_end").alias("hi")))
     totals = periods.interval_totals(rows, m.activity(spark, sf_dir), ["pid"], "lo", "hi", ["use_a"])
-    return association.high_users(association.weekly_use(totals, "use_a", [k for k in keep if k != "wt"]), accuracy=1_000_000)
+    return association.high_users(association.weekly_use(totals, "use_a", [k for k in keep if k != "wt"]), accuracy=100_000)
 
 
 @query(

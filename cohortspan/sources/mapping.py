@@ -114,7 +114,8 @@ def line_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
             "pid",
             "cast(l_shipdate as date) as day",
             "lower(l_returnflag) as kind",
-            "cast(l_extendedprice as decimal(15, 2)) as price",
+            # whole hundredths add up exactly and cheaply
+            "cast(round(l_extendedprice * 100) as bigint) as cents",
         )
     )
 
@@ -130,9 +131,9 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("pid", "day")
         .agg(
             *[F.expr(f"count_if(kind = '{k}') as use_{k}") for k in kinds],
-            *[F.expr(f"sum(if(kind = '{k}', price, null)) as cost_{k}") for k in kinds],
+            *[F.expr(f"sum(if(kind = '{k}', cents, 0)) as cost_{k}") for k in kinds],
         )
-        .selectExpr("pid", "day", *USES, *[f"cast(coalesce(round({c}), 0) as bigint) as {c}" for c in COSTS])
+        .selectExpr("pid", "day", *USES, *[f"({c} + 50) div 100 as {c}" for c in COSTS])
     )
 
 
