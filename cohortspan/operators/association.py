@@ -80,7 +80,7 @@ def chi_square(
         )
         # an empty column is no column of the contingency table
         .filter(F.col("column_total") > 0)
-        .withColumn("expected", F.col("row_total") * F.col("column_total") / F.col("total"))
+        .withColumn("expected", F.col("row_total").cast("double") * F.col("column_total") / F.col("total"))
     )
     sizes = table.groupBy("variable").agg(
         F.count_distinct("value").alias("rows"), F.count_distinct("group").alias("columns")

@@ -66,15 +66,14 @@ def survived(df: DataFrame, exit_date: str = "exit_date", end: str = "follow_up_
     return df.filter(F.col(exit_date).isNull() | (F.col(exit_date) > F.col(end)))
 
 
-def exit_exclusion(df: DataFrame, group: str = "group", exit_date: str = "exit_date", end: str = "follow_up_end") -> DataFrame:
-    """Per group: patients excluded for an exit in follow-up, pathways kept."""
-    gone = F.col(exit_date) <= F.col(end)
-    # one row per patient and group first: the distinct counts then add up
-    per_patient = df.groupBy(group, "pid").agg(
-        F.max(F.coalesce(gone, F.lit(False)).cast("int")).alias("excluded"),
-        F.count_if(~F.coalesce(gone, F.lit(False))).alias("kept"),
-    )
-    return per_patient.groupBy(group).agg(
+def exit_exclusion(
+    df: DataFrame, keys: Sequence[str] = ("group",), exit_date: str = "exit_date", end: str = "follow_up_end"
+) -> DataFrame:
+    """Patients excluded for an exit in follow-up and pathways kept, by keys or (no keys) in total."""
+    gone = F.coalesce(F.col(exit_date) <= F.col(end), F.lit(False))
+    # one row per patient and key first: the distinct counts then add up
+    per_patient = df.groupBy(*keys, "pid").agg(F.max(gone.cast("int")).alias("excluded"), F.count_if(~gone).alias("kept"))
+    return per_patient.groupBy(*keys).agg(
         F.sum("excluded").alias("excluded_patients"),
         F.sum("kept").alias("kept_pathways"),
         F.count("*").alias("patients"),

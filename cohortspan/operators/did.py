@@ -26,6 +26,11 @@ def binarise(activity: DataFrame, measures: Sequence[str]) -> DataFrame:
     return activity.withColumns({m: F.when(F.col(m) > 0, 1).otherwise(0) for m in measures})
 
 
+def whole_units(activity: DataFrame, costs: Sequence[str]) -> DataFrame:
+    """Costs rounded half up to whole units."""
+    return activity.withColumns({c: F.round(c).cast("long") for c in costs})
+
+
 def did_sample(
     pathways: DataFrame,
     spec: PeriodSpec,
@@ -136,10 +141,10 @@ def did_rates(totals: DataFrame) -> DataFrame:
 _CELLS = ("00", "01", "10", "11")
 # within-entity cross products of d = treated x period, p = period and y
 _WITHIN = {
-    "dd": "n11 - n11 * n11 / n",
-    "dp": "n11 - n11 * np / n",
+    "dd": "nd - nd * nd / n",
+    "dp": "nd - nd * np / n",
     "pp": "np - np * np / n",
-    "dy": "s11 - n11 * s / n",
+    "dy": "s11 - nd * s / n",
     "py": "sp - np * s / n",
 }
 
@@ -182,13 +187,20 @@ def entity_cells(
 
 def _model_sums(cells: DataFrame) -> DataFrame:
     """Totals, normal equations and score products per activity and comparison, in one pass."""
+    # counts as doubles: their products may pass the range of a long
     entities = cells.selectExpr(
-        "*", "n00 + n01 + n10 + n11 as n", "s00 + s01 + s10 + s11 as s", "q00 + q01 + q10 + q11 as q", "n01 + n11 as np", "s01 + s11 as sp"
+        "*",
+        "cast(n00 + n01 + n10 + n11 as double) as n",
+        "cast(n01 + n11 as double) as np",
+        "cast(n11 as double) as nd",
+        "s00 + s01 + s10 + s11 as s",
+        "q00 + q01 + q10 + q11 as q",
+        "s01 + s11 as sp",
     ).selectExpr("*", "q - s * s / n as yy", *[f"{expr} as {name}" for name, expr in _WITHIN.items()])
     names = list(_WITHIN)
     products = [(a, c) for i, a in enumerate(names) for c in names[i:]]
     return entities.groupBy("activity", "comparison").agg(
-        F.expr("sum(n) as n_obs"),
+        F.expr("cast(sum(n) as bigint) as n_obs"),
         F.expr("count(*) as n_entities"),
         F.expr("sum(yy) as t_yy"),
         *[F.expr(f"sum({name}) as t_{name}") for name in names],
@@ -242,12 +254,16 @@ def _robust(model: DataFrame, cells: DataFrame) -> DataFrame:
     # one row per activity and comparison on the small side
     solved = F.broadcast(model.select("activity", "comparison", "coef", "period_effect", "slope"))
     rows = cells.join(solved, ["activity", "comparison"]).selectExpr(
-        "*", "n00 + n01 + n10 + n11 as n", "s00 + s01 + s10 + s11 as s", "n01 + n11 as np"
+        "*",
+        "cast(n00 + n01 + n10 + n11 as double) as n",
+        "cast(n01 + n11 as double) as np",
+        "cast(n11 as double) as nd",
+        "s00 + s01 + s10 + s11 as s",
     )
     parts = []
     for cell in _CELLS:
         t, p = int(cell[0]), int(cell[1])
-        d_in, p_in = f"({t * p} - n11 / n)", f"({p} - np / n)"
+        d_in, p_in = f"({t * p} - nd / n)", f"({p} - np / n)"
         centre = f"(s / n + coef * {d_in} + period_effect * {p_in})"
         parts.append(
             f"pow({d_in} - slope * {p_in}, 2) * (q{cell} - 2 * {centre} * s{cell} + n{cell} * pow({centre}, 2))"
@@ -313,13 +329,19 @@ _TOTALS = {
 
 
 def did_results(
-    panel: DataFrame, measures: Sequence[str], outcome: str = "total_hc_use", vcov: str = "CRV1", p_values: bool = True
+    panel: DataFrame,
+    measures: Sequence[str],
+    outcome: str = "total_hc_use",
+    vcov: str = "CRV1",
+    p_values: bool = True,
+    control: str = CONTROL,
+    interventions: Sequence[str] = INTERVENTIONS,
 ) -> DataFrame:
     """One row per activity and comparison: totals (or rates), estimate, standard error, p-value.
 
     Patients are the entities, so totals and estimates share one aggregation.
     """
-    solved = _solve(entity_cells(panel, measures, outcome), vcov)
+    solved = _solve(entity_cells(panel, measures, outcome, "pid", control, interventions), vcov)
     table = solved.selectExpr(
         "activity", "comparison", "control_patients", "treated_patients", *[f"{e} as {n}" for n, e in _TOTALS.items()], *_ESTIMATE
     ).withColumn("control_excess", F.expr("control_intervention_use - control_reference_use"))

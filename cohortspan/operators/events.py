@@ -37,11 +37,14 @@ def exit_rate(pathways: DataFrame, keys: Sequence[str], exit_date: str = "exit_d
 
 
 def time_to_exit_stats(exited: DataFrame, keys: Sequence[str], exit_date: str = "exit_date") -> DataFrame:
-    """Mean, exact median, deviation and range of days from clock start to exit."""
+    """Mean, exact quartiles, deviation and range of days from clock start to exit."""
     days = exited.withColumn("time_to_exit", F.datediff(exit_date, "start_date"))
+    quartiles = F.percentile("time_to_exit", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return days.groupBy(*keys).agg(
         F.avg("time_to_exit").alias("mean_time_to_exit"),
-        F.percentile("time_to_exit", 0.5).alias("median_time_to_exit"),
+        quartiles[0].alias("lower_quartile"),
+        quartiles[1].alias("median_time_to_exit"),
+        quartiles[2].alias("upper_quartile"),
         F.stddev_samp("time_to_exit").alias("stddev_time_to_exit"),
         F.min("time_to_exit").alias("min_time_to_exit"),
         F.max("time_to_exit").alias("max_time_to_exit"),

@@ -114,7 +114,7 @@ CTES = {
   WHERE c_acctbal < 0 GROUP BY 1)""",
     "attendances": """attendances AS (
   SELECT user_id AS pid, user_id || '-' || strftime(CAST(ts AS DATE), '%Y%m%d') AS pathway_id,
-    CASE WHEN event_type = 'click' THEN 'wlmds_other' ELSE 'wlmds_sus' END AS event_source,
+    CASE WHEN event_type = 'click' THEN 'other_contact' ELSE 'hospital_contact' END AS event_source,
     CAST(event_type = 'error' AS INTEGER) AS is_dna, CAST(event_type = 'signup' AS INTEGER) AS is_patient_canc,
     CAST(event_type = 'purchase' AS INTEGER) AS is_hospital_canc, CAST(ts AS DATE) AS attendance_date, value,
     c_mktsegment AS specialty, event_type

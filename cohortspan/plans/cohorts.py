@@ -115,11 +115,11 @@ def outcome_reason(spark, sf_dir):
         "attendances",
         """SELECT specialty, event_source, count(*) AS n, CAST(sum(is_dna) AS BIGINT) AS is_dna,
   CAST(sum(is_patient_canc) AS BIGINT) AS is_patient_canc, CAST(sum(is_hospital_canc) AS BIGINT) AS is_hospital_canc
-FROM attendances WHERE event_source LIKE 'wlmds\\_sus%' ESCAPE '\\' GROUP BY 1, 2""",
+FROM attendances WHERE event_source LIKE 'hospital\\_%' ESCAPE '\\' GROUP BY 1, 2""",
     ),
 )
 def attendance_flags(spark, sf_dir):
-    flagged = events.with_attendance_flags(m.attendances(spark, sf_dir).filter(F.col("event_source").startswith("wlmds_sus")))
+    flagged = events.with_attendance_flags(m.attendances(spark, sf_dir).filter(F.col("event_source").startswith("hospital_contact")))
     return flagged.groupBy("specialty", "event_source").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(c) for c in events.FLAGS]
     )

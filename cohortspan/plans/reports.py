@@ -303,6 +303,7 @@ def exit_share(spark, sf_dir):
     with_ctes(
         "spans exits",
         """SELECT specialty, round(avg(days), 6) AS mean_time_to_exit, median(days) AS median_time_to_exit,
+  round(quantile_cont(days, 0.25), 6) AS lower_quartile, round(quantile_cont(days, 0.75), 6) AS upper_quartile,
   round(stddev_samp(days), 6) AS stddev_time_to_exit, min(days) AS min_time_to_exit, max(days) AS max_time_to_exit, count(*) AS n
 FROM (SELECT specialty, CAST(exit_date - start_date AS INTEGER) AS days FROM spans JOIN exits ON exits.pid = spans.pid
       WHERE exit_date BETWEEN start_date AND stop_date) GROUP BY 1""",

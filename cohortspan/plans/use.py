@@ -445,6 +445,61 @@ def did_binary(spark, sf_dir):
     return did.did_totals(rows, m.USES)
 
 
+_TWO = """two AS (SELECT panel.* EXCLUDE ("group"), CASE WHEN max_time_covered <= 2 * 126 + 28 THEN '<= 18 weeks' ELSE '> 18 weeks' END AS "group"
+  FROM panel)"""
+_TWO_PARTS = (
+    _PANEL.replace("compared AS", "compared_three AS")
+    + ",\n"
+    + _TWO
+    + f""",
+compared AS (SELECT '> 18 weeks' AS comparison, activity, pid, max_time_covered, time_period, CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated,
+    v AS total_hc_use, v / CAST(max_time_covered AS DOUBLE) * 7 AS avg_weekly_use
+  FROM (UNPIVOT two ON {', '.join(MEASURES)} INTO NAME activity VALUE v)),
+"""
+    + _TWFE.format(y="avg_weekly_use")
+    + f",\ntotals AS ({_totals_sql(True)})"
+)
+
+
+@query(
+    "did_results_two_groups",
+    with_ctes(
+        PANEL_PARTS,
+        """SELECT activity, comparison, control_patients, treated_patients, control_person_weeks, treated_person_weeks, total_excess,
+  excess_per_100_month, round(coef, 5) AS coef, round(se, 5) AS se FROM totals JOIN twfe USING (activity, comparison)""",
+        _TWO_PARTS,
+    ),
+)
+def did_results_two_groups(spark, sf_dir):
+    """Up to against over 18 weeks, weekly use."""
+    pw = alive(spark, sf_dir).withColumn("group", b.band("wt", b.WAIT_2))
+    chosen = did.did_sample(pw, periods.own_wait(), m.observed_until(spark, sf_dir), groups=None)
+    rows = did.did_panel(durable(chosen.select(*did.PANEL_KEYS, "periods")), m.activity(spark, sf_dir), MEASURES)
+    results = did.did_results(rows, MEASURES, "avg_weekly_use", p_values=False, interventions=("> 18 weeks",))
+    return results.select(
+        "activity", "comparison", "control_patients", "treated_patients", "control_person_weeks", "treated_person_weeks", "total_excess",
+        "excess_per_100_month", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"),
+    )
+
+
+@query(
+    "did_ols_panel_pathway",
+    with_ctes(
+        "pathways activity observed",
+        f"""SELECT pathway_id, "group", sex, region, CAST(time_period AS INTEGER) AS time_period, activity, v AS total_hc_use,
+  CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated, round(v / CASE WHEN time_period = 0 THEN 85.0::DOUBLE ELSE 600.0::DOUBLE END * 7, 6) AS avg_weekly_use
+FROM (UNPIVOT ({_long_periods(_THRESHOLD_SPEC.replace("360", "600"))}) ON {', '.join(MEASURES)} INTO NAME activity VALUE v)
+JOIN (SELECT pathway_id, "group", sex, region FROM over) USING (pathway_id)""",
+        _OVER.replace("360", "600"),
+    ),
+)
+def did_ols_panel_pathway(spark, sf_dir):
+    """Pathway grain, 600 days after the threshold, each period over its own days."""
+    return did.did_ols_panel(
+        threshold_sample(spark, sf_dir, 600), m.activity(spark, sf_dir), MEASURES, ["sex", "region"], (85, 600), grain=["pathway_id"]
+    )
+
+
 @query(
     "excess_usage",
     with_ctes(

@@ -166,7 +166,7 @@ def attendances(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "user_id as pid",
             "concat_ws('-', user_id, date_format(cast(ts as date), 'yyyyMMdd')) as pathway_id",
-            "if(event_type = 'click', 'wlmds_other', 'wlmds_sus') as event_source",
+            "if(event_type = 'click', 'other_contact', 'hospital_contact') as event_source",
             "case event_type when 'error' then '5 dna' when 'signup' then '2 cancel(pat)'"
             " when 'purchase' then '4 cancel(hos)' when 'view' then 'attended' end as attendance_status",
             "cast(ts as date) as attendance_date",

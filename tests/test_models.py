@@ -88,7 +88,9 @@ def test_missing_group_gives_no_comparison(spark):
     assert did.did_totals(only, MEASURES).count() == 0
 
 
-def test_binarise(spark):
+def test_binarise_and_whole_units(spark):
+    costs = did.whole_units(spark.createDataFrame([(2.5, 1.2), (-0.4, None)], "a double, b double"), ["a", "b"])
+    assert [tuple(r) for r in costs.collect()] == [(3, 1), (0, None)]
     out = did.binarise(spark.createDataFrame([(3, 0), (0, 7)], "a int, b int"), ["a"]).collect()
     assert [tuple(r) for r in out] == [(1, 0), (0, 7)]
 

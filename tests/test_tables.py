@@ -81,6 +81,8 @@ def test_exclusions_and_sizes(spark):
     out = {r["group"]: r for r in cohort.exit_exclusion(bounded).collect()}
     assert (out["g"]["excluded_patients"], out["g"]["kept_pathways"], out["g"]["patients"]) == (1, 2, 2)
     assert (out["h"]["excluded_patients"], out["h"]["kept_pathways"]) == (0, 1)
+    total = cohort.exit_exclusion(bounded, ()).first()
+    assert (total["excluded_patients"], total["kept_pathways"], total["patients"]) == (1, 3, 3)
     assert [r["pid"] for r in cohort.exit_during_wait(df).collect()] == [2]
     sizes = {r["group"]: (r["pathways"], r["patients"]) for r in cohort.cohort_sizes(df, ["group"]).collect()}
     assert sizes == {"g": (3, 2), "h": (1, 1)}
