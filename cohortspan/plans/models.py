@@ -331,3 +331,137 @@ def matched_did(spark, sf_dir):
     matches = durable(matching.nearest_match(matching.propensity(units, "treated", [*COVARIATES, "quintile"])))
     rows = durable(matching.matched_cohort(_ols_rows(spark, sf_dir), matches))
     return _refit(rows)[2].table()
+
+
+# --- special cases with a closed form, so that SQL can check the solvers ------------
+
+
+@query(
+    "cox_ph_two_groups",
+    with_ctes(
+        "pathways",
+        """SELECT 'M' AS level, round(max_by(beta, step), 5) AS coef, round(1 / sqrt(max_by(information, step)), 5) AS se FROM newton""",
+        """risk AS (SELECT wt, sum(event)::INTEGER AS d, coalesce(sum(event) FILTER (sex = 'M'), 0)::DOUBLE AS d1,
+    sum(count(*)) OVER (ORDER BY wt DESC)::DOUBLE AS n, sum(count(*) FILTER (sex = 'M')) OVER (ORDER BY wt DESC)::DOUBLE AS n1
+  FROM pathways GROUP BY wt),
+ties AS (SELECT wt, d1 / d AS x, n - n1 - j / d * (d - d1) AS w0, n1 - j / d * d1 AS w1
+  FROM (SELECT *, unnest(range(d)) AS j FROM risk WHERE d > 0)),
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS beta, 1.0::DOUBLE AS information
+  UNION ALL
+  SELECT step + 1, beta + gradient / info, info FROM (
+    SELECT any_value(step) AS step, any_value(beta) AS beta, sum(x - share) AS gradient, sum(share * (1 - share)) AS info
+    FROM (SELECT step, beta, x, w1 * exp(beta) / (w0 + w1 * exp(beta)) AS share FROM ties, newton WHERE step < 8)
+    HAVING count(*) > 0))""",
+    ).replace("WITH spans", "WITH RECURSIVE spans"),
+)
+def cox_ph_two_groups(spark, sf_dir):
+    rows = m.pathways(spark, sf_dir).select("wt", "event", "sex")
+    fit = survival.cox_ph(rows, "wt", "event", "sex", ("F", "M"))
+    return fit.select("level", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"))
+
+
+@query(
+    "propensity_one_factor",
+    with_ctes(
+        "pathways observed",
+        """SELECT region, round(avg(CAST("group" <> '<= 18 weeks' AS INTEGER)), 3) AS propensity_score, count(*) AS n FROM over GROUP BY 1""",
+        use._OVER,
+    ),
+)
+def propensity_one_factor(spark, sf_dir):
+    """With one encoded factor the fitted score is the treated share of its level."""
+    scored = matching.propensity(_units(spark, sf_dir), "treated", ["region"], one_hot=True)
+    return scored.groupBy("region").agg(
+        F.round(F.max("propensity_score"), 3).alias("propensity_score"), F.count("*").alias("n")
+    )
+
+
+_CELL_ERRORS = """cells AS (SELECT activity, "group", time_period, count(*) AS n, avg(avg_weekly_use) AS mean FROM ols_panel GROUP BY 1, 2, 3),
+errors AS (SELECT p.activity, p."group", p.time_period, c.n, avg_weekly_use - mean AS e, 1 / c.n AS h
+  FROM ols_panel p JOIN cells c ON c.activity = p.activity AND c."group" = p."group" AND c.time_period = p.time_period)"""
+
+
+@query(
+    "did_ols_hc3_base",
+    with_ctes(
+        "pathways activity observed",
+        """SELECT activity AS model, term, round(sqrt(sum(v)), 6) AS se FROM (
+  SELECT activity, "group" <> '<= 18 weeks' AS g, time_period = 1 AS t, sum(pow(e / (1 - h), 2)) / pow(any_value(n), 2) AS v
+  FROM errors GROUP BY 1, 2, 3)
+JOIN (VALUES ('Intercept', false, false), ('group[> 18 weeks]', true, false), ('time_period[1]', false, true),
+  ('group[> 18 weeks]:time_period[1]', true, true)) terms(term, of_group, of_time) ON (of_group OR NOT g) AND (of_time OR NOT t)
+GROUP BY 1, 2""",
+        use._OLS_PANEL + ",\n" + _CELL_ERRORS,
+    ),
+)
+def did_ols_hc3_base(spark, sf_dir):
+    """HC3 errors of the saturated group x period regression."""
+    rows = durable(_ols_rows(spark, sf_dir).select("activity", "group", "time_period", "avg_weekly_use"))
+    fit = regress.ols(
+        rows, "avg_weekly_use", ["group", "time_period"], interactions=[("group", "time_period")], by="activity", vcov="HC3"
+    )
+    return fit.table().select("model", "term", "se")
+
+
+@query(
+    "ols_influence_base",
+    with_ctes(
+        "pathways activity observed",
+        """SELECT activity AS model, count(*) AS n, count(*) FILTER (cooks > 4 / total) AS influential, round(max(cooks), 6) AS largest,
+  round(any_value(total) * (1 - sum(pow(e * e - cell_square, 2)) / sum(pow(e * e - all_square, 2))), 4) AS statistic, 3 AS dof
+FROM (SELECT *, count(*) OVER a AS total, e * e / (4 * (sum(e * e) OVER a / (count(*) OVER a - 4))) * h / pow(1 - h, 2) AS cooks,
+    avg(e * e) OVER (PARTITION BY activity, "group", time_period) AS cell_square, avg(e * e) OVER a AS all_square
+  FROM errors WINDOW a AS (PARTITION BY activity)) GROUP BY 1""",
+        use._OLS_PANEL + ",\n" + _CELL_ERRORS,
+    ),
+)
+def ols_influence_base(spark, sf_dir):
+    """Cook's distances and the Breusch-Pagan test of the saturated regression."""
+    rows = durable(_ols_rows(spark, sf_dir).select("activity", "group", "time_period", "avg_weekly_use"))
+    model = regress.ols(rows, "avg_weekly_use", ["group", "time_period"], interactions=[("group", "time_period")], by="activity")
+    marked = durable(regress.influence(model, rows))
+    kept = regress.drop_influential(model, marked).groupBy("activity").agg(F.count("*").alias("kept"))
+    counts = marked.groupBy("activity").agg(F.count("*").alias("n"), F.max("cooks_d").alias("largest")).join(kept, "activity")
+    tests = regress.breusch_pagan(model, marked).select("model", F.round("statistic", 4).alias("statistic"), "dof")
+    return tests.join(counts.withColumnRenamed("activity", "model"), "model").select(
+        "model", "n", (F.col("n") - F.col("kept")).alias("influential"), "largest", "statistic", "dof"
+    )
+
+
+@query(
+    "vif_pair",
+    with_ctes(
+        "pathways",
+        """SELECT variable, round(vif, 6) AS vif FROM (
+  SELECT count(*) AS n, sum(x)::DOUBLE AS sx, sum(wt)::DOUBLE AS sz, sum(x * x)::DOUBLE AS xx, sum(wt * wt)::DOUBLE AS zz, sum(x * wt)::DOUBLE AS xz,
+    1 / (1 - pow(corr(x, wt), 2)) AS v
+  FROM (SELECT CAST(sex = 'M' AS INTEGER) AS x, CAST(wt AS BIGINT) AS wt FROM pathways)),
+LATERAL (VALUES ('Intercept', n * (xx * zz - xz * xz) / (n * (xx * zz - xz * xz) - sx * (sx * zz - xz * sz) + sz * (sx * xz - xx * sz))),
+  ('sex[M]', v), ('wt', v)) t(variable, vif)""",
+    ),
+)
+def vif_pair(spark, sf_dir):
+    """Two regressors: one over one minus their squared correlation."""
+    rows = durable(m.pathways(spark, sf_dir).select("sex", "wt", "event"))
+    return regress.vif(regress.ols(rows, "event", ["sex"], ["wt"])).select("variable", "vif")
+
+
+def _solve_sql() -> str:
+    """Least squares of y on two dummies by Cramer's rule."""
+    det = "(n * (gg * ss - gs * gs) - sg * (sg * ss - gs * sm) + sm * (sg * gs - gg * sm))"
+    a = "(sy * (gg * ss - gs * gs) - sg * (gy * ss - gs * my) + sm * (gy * gs - gg * my))"
+    g = "(n * (gy * ss - gs * my) - sy * (sg * ss - gs * sm) + sm * (sg * my - gy * sm))"
+    s = "(n * (gg * my - gs * gy) - sg * (sg * my - gy * sm) + sy * (sg * gs - gg * sm))"
+    return f"""SELECT activity AS model, term, round(estimate, 6) AS estimate FROM (
+  SELECT activity, count(*)::DOUBLE AS n, sum(g) AS sg, sum(s) AS sm, sum(g * g) AS gg, sum(s * s) AS ss, sum(g * s) AS gs,
+    sum(y) AS sy, sum(g * y) AS gy, sum(s * y) AS my
+  FROM (SELECT activity, avg_weekly_use AS y, CAST("group" <> '<= 18 weeks' AS DOUBLE) AS g, CAST(sex = 'M' AS DOUBLE) AS s FROM ols_panel) GROUP BY 1),
+LATERAL (VALUES ('Intercept', {a} / {det}), ('group[> 18 weeks]', {g} / {det}), ('sex[M]', {s} / {det})) t(term, estimate)"""
+
+
+@query("ols_two_factors", with_ctes("pathways activity observed", _solve_sql(), use._OLS_PANEL))
+def ols_two_factors(spark, sf_dir):
+    """Additive regression on group and sex, not saturated."""
+    rows = durable(use.ols_panel(spark, sf_dir).select("activity", "group", "sex", "avg_weekly_use"))
+    return regress.ols(rows, "avg_weekly_use", ["group", "sex"], by="activity").table().select("model", "term", "estimate")
