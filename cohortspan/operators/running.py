@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 def running_totals(events: DataFrame, at: DataFrame, keys: Sequence[str], day: str, measures: Sequence[str]) -> DataFrame:
     """Inclusive running totals per key on every day of ``at``."""
-    daily = (
-        events.select(*keys, day, *measures, F.lit(False).alias("_asked"))
-        .unionByName(at.select(*keys, day, F.lit(True).alias("_asked")), allowMissingColumns=True)
-        .groupBy(*keys, day)
-        .agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures], F.max("_asked").alias("_asked"))
-    )
-    upto = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return daily.select(*keys, day, *[F.sum(m).over(upto).alias(m) for m in measures], "_asked").filter("_asked").drop("_asked")
+    # events that come grouped by key and day are not shuffled again for this
+    daily = events.groupBy(*keys, day).agg(*[F.sum(m).alias(m) for m in measures]).withColumn("_asked", F.lit(False))
+    asked = at.select(*keys, day).distinct().withColumn("_asked", F.lit(True))
+    # within a day the question sorts after the events
+    upto = Window.partitionBy(*keys).orderBy(day, "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = daily.unionByName(asked, allowMissingColumns=True)
+    totals = both.select(*keys, day, "_asked", *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in measures])
+    return totals.filter("_asked").drop("_asked")
 
 
 def totals_at(

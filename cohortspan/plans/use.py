@@ -68,7 +68,7 @@ FROM ("""
     ),
 )
 def period_stats(spark, sf_dir):
-    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=100_000)
+    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=50_000)
 
 
 _RATE_LABELS = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}
