@@ -71,6 +71,28 @@ def unpivot_sql(table: str, variables: Sequence[str], keep: str = "") -> str:
     )
 
 
+_STEPS = 4000
+_SIMPSON = f"CASE WHEN i = 0 OR i = {_STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _integral_sql(upper: str, value: str) -> str:
+    """Simpson's rule from 0 to ``upper``; ``{u}`` in ``value`` is the point."""
+    point = value.replace("{u}", f"(i * ({upper}) / {_STEPS})")
+    return f"(({upper}) / {3 * _STEPS}.0 * list_sum(list_transform(range({_STEPS + 1}), lambda i: ({_SIMPSON}) * {point})))"
+
+
+def chi2_p_sql(statistic: str, dof: str) -> str:
+    """Tail of a chi-square statistic by integration over its square root."""
+    density = f"pow({{u}}, {dof} - 1) * exp(-{{u}} * {{u}} / 2)"
+    return f"1 - exp((1 - {dof} / 2.0) * ln(2) - lgamma({dof} / 2.0)) * {_integral_sql(f'sqrt({statistic})', density)}"
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    """Two-sided tail of a t statistic by integration."""
+    factor = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi())"
+    return f"1 - 2 * {factor} * {_integral_sql(f'abs({t})', f'pow(1 + {{u}} * {{u}} / ({dof}), -({dof} + 1) / 2.0)')}"
+
+
 CTES = {
     "spans": """spans AS (
   SELECT o_orderkey AS pathway_id, o_custkey AS pid, o_orderpriority AS tfc, o_orderpriority AS specialty,

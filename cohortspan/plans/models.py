@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from cohortspan.functions import bands as b
 from cohortspan.operators import association, cohort, did, matching, regress, survival
 from cohortspan.plans import use
-from cohortspan.plans.base import case_sql, query, unpivot_sql, with_ctes
+from cohortspan.plans.base import case_sql, chi2_p_sql, query, unpivot_sql, with_ctes
 from cohortspan.session import durable
 from cohortspan.sources import mapping as m
 
 SIX = m.CHARACTERISTICS[1:]
 
 
+def _short_p(df):
+    return df.withColumn("p_value", F.round("p_value", 5))
+
+
 # --- chi-square and rank correlation -----------------------------------------
 
 _CHI = """SELECT variable, total, CAST(dof AS INTEGER) AS dof, n_0, n_1, round(sum(pow(gap - least(0.5 * CAST(dof = 1 AS INTEGER), gap), 2) / expected), 6) AS statistic
@@ -35,7 +39,7 @@ GROUP BY ALL"""
     "chi_square",
     with_ctes(
         "pathways",
-        _CHI.format(first="<= 18 weeks", second="> 42 weeks"),
+        f"SELECT *, round({chi2_p_sql('statistic', 'dof')}, 5) AS p_value FROM ({_CHI.format(first='<= 18 weeks', second='> 42 weeks')})",
         "cells AS (SELECT variable, value, kind, count(*) AS n FROM ("
         + unpivot_sql(
             f"(SELECT DISTINCT {', '.join(SIX)}, pid, \"group\" AS kind FROM pathways WHERE \"group\" IN ('<= 18 weeks', '> 42 weeks'))", SIX, "kind"
@@ -47,14 +51,14 @@ def chi_square(spark, sf_dir):
     """Characteristics against two wait groups, one row per patient and group."""
     groups = ("<= 18 weeks", "> 42 weeks")
     grain = m.pathways(spark, sf_dir).filter(F.col("group").isin(*groups)).groupBy(*SIX, "pid", "group").agg(F.count("*").alias("_rows"))
-    return association.chi_square(grain, SIX, "group", groups, p_values=False)
+    return _short_p(association.chi_square(grain, SIX, "group", groups))
 
 
 @query(
     "high_users_chi_square",
     with_ctes(
         use.PANEL_PARTS,
-        _CHI.format(first="Bottom 90%", second="Top 10%"),
+        f"SELECT *, round({chi2_p_sql('statistic', 'dof')}, 5) AS p_value FROM ({_CHI.format(first='Bottom 90%', second='Top 10%')})",
         use._SAMPLE + ",\n" + use._WEEKLY + ",\ncells AS (SELECT variable, value, kind, count(*) AS n FROM ("
         + unpivot_sql("(SELECT *, usage_group AS kind FROM labelled)", use.FIVE, "kind")
         + ") GROUP BY 1, 2, 3)",
@@ -62,7 +66,7 @@ def chi_square(spark, sf_dir):
 )
 def high_users_chi_square(spark, sf_dir):
     groups = (association.REST, association.TOP)
-    return association.chi_square(use.labelled_users(spark, sf_dir), use.FIVE, "usage_group", groups, p_values=False)
+    return _short_p(association.chi_square(use.labelled_users(spark, sf_dir), use.FIVE, "usage_group", groups))
 
 
 _EXITED = """exited AS (SELECT spans.*, CAST(exit_date - start_date AS INTEGER) AS time_to_exit
@@ -149,8 +153,8 @@ def kaplan_meier_overall(spark, sf_dir):
     "log_rank",
     with_ctes(
         "spans",
-        """SELECT observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round(pow(observed - expected, 2) / variance, 6) AS statistic,
-  1 AS dof FROM (
+        f"""SELECT observed, round(expected, 6) AS expected, round(variance, 6) AS variance, round(pow(observed - expected, 2) / variance, 6) AS statistic,
+  1 AS dof, round({chi2_p_sql("(pow(observed - expected, 2) / variance)", "1")}, 5) AS p_value FROM (
   SELECT sum(d1)::BIGINT AS observed, sum(d * n1 / n) AS expected,
     sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END) AS variance
   FROM (SELECT wt, sum(event)::DOUBLE AS d, sum(event) FILTER (priority = 'Urgent') AS d1,
@@ -161,7 +165,7 @@ def kaplan_meier_overall(spark, sf_dir):
 )
 def log_rank(spark, sf_dir):
     rows = m.spans(spark, sf_dir).select("wt", "event", "priority")
-    return survival.log_rank(rows, "wt", "event", "priority", ("Urgent", "Routine"), p_values=False)
+    return _short_p(survival.log_rank(rows, "wt", "event", "priority", ("Urgent", "Routine")))
 
 
 @query("cox_ph")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspan.functions import bands as b
+from cohortspan.functions.tails import t_p
 from cohortspan.operators import association, cohort, did, periods, utilisation
-from cohortspan.plans.base import query, unpivot_sql, with_ctes
+from cohortspan.plans.base import query, t_p_sql, unpivot_sql, with_ctes
 from cohortspan.session import durable
 from cohortspan.sources import mapping as m
 
@@ -376,13 +377,15 @@ twfe AS (SELECT activity, comparison, coef, sqrt(n_entities / (n_entities - 1) *
     with_ctes(
         PANEL_PARTS,
         """SELECT activity, comparison, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 4) AS t_value,
-  round(coef - 1.96 * se, 6) AS ci_low, round(coef + 1.96 * se, 6) AS ci_high, CAST(n_entities - 1 AS DOUBLE) AS dof, n_obs, n_entities FROM twfe""",
+  round(coef - 1.96 * se, 6) AS ci_low, round(coef + 1.96 * se, 6) AS ci_high, CAST(n_entities - 1 AS DOUBLE) AS dof, n_obs, n_entities,
+  round(""" + t_p_sql("coef / se", "(n_entities - 1)") + """, 5) AS p_value FROM twfe""",
         _PANEL + ",\n" + _TWFE.format(y="avg_weekly_use"),
     ),
 )
 def did_twfe(spark, sf_dir):
     """Weekly use on treated x period with patient and period effects, clustered by patient."""
-    return did.did_twfe(panel(spark, sf_dir), MEASURES).withColumn("t_value", F.round("t_value", 4))
+    fit = did.did_twfe(panel(spark, sf_dir), MEASURES).withColumn("p_value", t_p("t_value", "dof"))
+    return fit.withColumns({"t_value": F.round("t_value", 4), "p_value": F.round("p_value", 5)})
 
 
 @query(
@@ -391,18 +394,18 @@ def did_twfe(spark, sf_dir):
         PANEL_PARTS,
         """SELECT activity, comparison, control_patients, treated_patients, control_reference_use, treated_reference_use,
   control_intervention_use, treated_intervention_use, control_person_weeks, treated_person_weeks, total_excess,
-  round(coef, 4) AS coef, round(se, 4) AS se
+  round(coef, 4) AS coef, round(se, 4) AS se, round(""" + t_p_sql("coef / se", "(n_entities - 1)") + """, 5) AS p_value
 FROM totals JOIN twfe USING (activity, comparison)""",
         _PANEL + ",\n" + _TWFE.format(y="total_hc_use") + f",\ntotals AS ({_totals_sql(False)})",
     ),
 )
 def did_results(spark, sf_dir):
     """The flagship table: all activities and comparisons in one pass."""
-    results = did.did_results(panel(spark, sf_dir), MEASURES, p_values=False)
+    results = did.did_results(panel(spark, sf_dir), MEASURES)
     return results.select(
         "activity", "comparison", "control_patients", "treated_patients", "control_reference_use", "treated_reference_use",
         "control_intervention_use", "treated_intervention_use", "control_person_weeks", "treated_person_weeks", "total_excess",
-        F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"),
+        F.round("coef", 4).alias("coef"), F.round("se", 4).alias("se"), F.round("p_value", 5).alias("p_value"),
     )
 
 
