@@ -14,7 +14,7 @@ from cohortspan.sources import mapping as m
 SEVEN = m.CHARACTERISTICS
 FIVE = ("sex", "age_band", "quintile", "region", "ltc")
 MEASURES = m.MEASURES
-LONG = " UNION ALL ".join
+stack = " UNION ALL ".join
 FOUR = "('<= 18 weeks', '19-30 weeks', '31-42 weeks', '> 42 weeks')"
 PERIODS = {"3m_before": ("start_date - 91", "start_date - 1"), "waiting_time": ("start_date", "stop_date"), "3m_after": ("stop_date + 1", "stop_date + 91")}
 
@@ -43,7 +43,7 @@ def wide(spark, sf_dir):
     with_ctes("pathways activity", "SELECT pathway_id, " + ", ".join(f"{c}_{n}" for n in PERIODS for c in MEASURES) + " FROM wide", _WIDE),
 )
 def wide_utilisation(spark, sf_dir):
-    """Table-3 input: use in the 13 weeks before, the wait, the 13 weeks after."""
+    """Use in the 13 weeks before, the wait, the 13 weeks after."""
     return wide(spark, sf_dir).select("pathway_id", *[f"{c}_{n}" for n in PERIODS for c in MEASURES])
 
 
@@ -59,7 +59,7 @@ _LABELS = {"3m_before": "3m_before", "waiting_time": "while_waiting", "3m_after"
   quantile_disc(v, 0.75) - quantile_disc(v, 0.25) AS iqr,
   CASE WHEN time_period = 'while_waiting' THEN round(sum(wt) / 7, 2) ELSE CAST(count(v) * 13 AS DOUBLE) END AS pathway_weeks
 FROM ("""
-        + LONG(
+        + stack(
             f"SELECT variable, value, '{c}' AS utilisation_type, '{label}' AS time_period, {c}_{name} AS v, wt FROM long"
             for name, label in _LABELS.items()
             for c in MEASURES
@@ -73,7 +73,7 @@ def period_stats(spark, sf_dir):
 
 
 _RATE_LABELS = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}
-_LONG_USE = LONG(
+_LONG_USE = stack(
     f"""SELECT pathway_id, "group", wt, '{c}' AS delivery_point, '{label}' AS time_period, {c}_{name} AS healthcare_utilization FROM wide"""
     for name, label in _RATE_LABELS.items()
     for c in m.USES
