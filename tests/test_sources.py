@@ -1,6 +1,6 @@
 import pytest
 
-from cohortspan.session import durable
+from cohortspan.session import adapt, durable
 from cohortspan.sources import lookups, tables
 
 
@@ -45,3 +45,9 @@ def test_durable_cuts_lineage(spark):
     df = durable(spark.range(5).selectExpr("id * 2 as x"))
     assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert df.agg({"x": "sum"}).first()[0] == 20
+
+
+def test_adapt_sets_skew_handling(spark):
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    spark.conf.set(key, "false")
+    assert adapt(spark).conf.get(key) == "true"
