@@ -30,7 +30,9 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents that the models learn from, about; chosen by a hash.
 TRAIN_DOCS = 10_000
-SMOOTHING = 1.0
+#: Pairs that a row of the random model, and of the ordinary one, has seen beforehand, and the share of
+#: the random model that is any letter or digit alike, for alphabets the samples lack.
+RANDOM_PRIOR, ORDINARY_PRIOR, ANY = 62.0, 20.0, 0.5
 #: Log-likelihood ratio above which a candidate is a secret.
 THRESHOLD = 10.0
 
@@ -75,8 +77,8 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) ->
     """Log-likelihood ratio of every character pair, random over ordinary.
 
     Learns from about ``train_docs`` documents, chosen by a hash of the text: the distinct
-    values of 16 characters or more that the patterns find are random, the identifiers
-    outside of them ordinary. Without samples all ratios are 0.
+    values of 16 characters or more that the patterns find are random, the shorter identifiers
+    outside of them ordinary. Without samples all ratios are near 0.
     """
     rows = docs.select(quoted(text).alias("text")).where("text is not null")
     scale = 1 << 30
@@ -86,18 +88,31 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) ->
     found = [F.regexp_extract_all(t, F.lit(QUICK[kind]), F.lit(group)) for kind, _, group, _ in KINDS]
     random = F.filter(F.concat(*found), lambda v: F.length(v) >= 16)
     rest = F.regexp_replace(t, "|".join(QUICK.values()), " ")
+    # a string long enough to be judged is no sample of what is ordinary
+    words = F.regexp_extract_all(F.regexp_replace(rest, CANDIDATE, " "), F.lit(IDENTIFIER), F.lit(0))
     samples = rows.select(F.explode(random).alias("token")).distinct().select(F.lit(1).alias("random"), "token").unionAll(
-        rows.select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("token")).select(F.lit(0).alias("random"), "token")
+        rows.select(F.explode(words).alias("token")).select(F.lit(0).alias("random"), "token")
     )
     counted = samples.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
     counts = {(r["random"], r["pair"]): r["n"] for r in counted.collect()}
-    size = len(ALPHABET) + 1
-    out = []
+    return ratios(counts)
+
+
+def ratios(counts: dict[tuple[int, int], int]) -> list[float]:
+    """Ratios from the counts of (class, pair).
+
+    A row of the ordinary model backs off to how often its characters are used at all, a row of the
+    random model to all letters and digits alike. Characters that join words say nothing.
+    """
+    size, told = len(ALPHABET) + 1, len(ALPHABET.rstrip("+/_=-"))
+    rows = {k: [[counts.get((k, a * size + b), 0) for b in range(size)] for a in range(size)] for k in (0, 1)}
+    used = [sum(rows[0][a][b] for a in range(size)) + 0.5 for b in range(1, told + 1)]
+    out = [0.0] * (size * size)
     for a in range(size):
-        totals = [sum(counts.get((k, a * size + b), 0) for b in range(size)) + SMOOTHING * size for k in (0, 1)]
-        for b in range(size):
-            ordinary, random_ = ((counts.get((k, a * size + b), 0) + SMOOTHING) / totals[k] for k in (0, 1))
-            out.append(math.log(random_ / ordinary))
+        for b in range(1, told + 1):
+            ordinary = (rows[0][a][b] + ORDINARY_PRIOR * used[b - 1] / sum(used)) / (sum(rows[0][a]) + ORDINARY_PRIOR)
+            random = (rows[1][a][b] + RANDOM_PRIOR / told) / (sum(rows[1][a]) + RANDOM_PRIOR)
+            out[a * size + b] = math.log((ANY / told + (1 - ANY) * random) / ordinary)
     return out
 
 
@@ -108,7 +123,7 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tr
     empty texts have no spans, and the hash of the empty string. Repeated rows give equal results;
     other columns are ignored.
     """
-    ratios = F.split(F.lit(",".join(map(repr, train(docs, text, train_docs)))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(map(repr, train(docs, text, train_docs)))), ",").cast("array<double>")
     t = F.col("text")
     rows = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     names = [kind for kind, *_ in KINDS]
@@ -119,7 +134,7 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tr
     rows = rows.select("doc_id", *searched, judged)
 
     def ratio(token: Column) -> Column:
-        return F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.element_at(ratios, p + 1))
+        return F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.element_at(table, p + 1))
 
     def apart(span: Column) -> Column:
         return ~F.exists(F.concat(*names), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
