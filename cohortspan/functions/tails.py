@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 _TINY = 1e-300
 
 
+def _rounds(size: float) -> int:
+    """Rounds that a continued fraction may take; it settles in about the root of its size."""
+    return int(1000 + 20 * math.sqrt(size))
+
+
 def gamma_tail(shape: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(shape, x)."""
     if not (shape > 0 and x >= 0):
@@ -38,16 +43,16 @@ def gamma_tail(shape: float, x: float) -> float:
     b = x + 1 - shape
     c, d = 1 / _TINY, 1 / b
     h = d
-    for i in range(1, 10000):
+    for i in range(1, _rounds(shape)):
         a = -i * (i - shape)
         b += 2
         d = 1 / (a * d + b or _TINY)
         c = b + a / c or _TINY
         step = c * d
         h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return scale * h
+        if abs(step - 1) < 1e-15:
+            return scale * h
+    raise ArithmeticError(f"no convergence of Q({shape}, {x})")
 
 
 def _log_gamma_ratio(a: float, b: float) -> float:
@@ -57,20 +62,21 @@ def _log_gamma_ratio(a: float, b: float) -> float:
     return b * math.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
 
 
-def beta_lower(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
+def beta_lower(a: float, b: float, x: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function I_x(a, b); ``rest`` is 1 - x where that loses digits."""
     if not 0 <= x <= 1:
         return math.nan
-    if x in (0.0, 1.0):
-        return float(x)
+    rest = 1 - x if rest is None else rest
+    if x == 0 or rest == 0:
+        return float(x > 0)
     if x > (a + 1) / (a + b + 2):
-        return 1 - beta_lower(b, a, 1 - x)
+        return 1 - beta_lower(b, a, rest, x)
     big, small = max(a, b), min(a, b)
     log_beta = math.lgamma(small) - _log_gamma_ratio(big, small)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) - log_beta) / a
+    front = math.exp(a * math.log(x) + b * (math.log(rest) if rest < 0.5 else math.log1p(-x)) - log_beta) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or _TINY)
     h = d
-    for m in range(1, 10000):
+    for m in range(1, _rounds(a + b)):
         for numerator in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -79,9 +85,9 @@ def beta_lower(a: float, b: float, x: float) -> float:
             c = 1 + numerator / c or _TINY
             step = c * d
             h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return front * h
+        if abs(step - 1) < 1e-15:
+            return front * h
+    raise ArithmeticError(f"no convergence of I_{x}({a}, {b})")
 
 
 def chi2_tail(statistic: float, dof: float) -> float:
@@ -91,7 +97,7 @@ def chi2_tail(statistic: float, dof: float) -> float:
 def t_two_sided(t: float, dof: float) -> float:
     if math.isnan(t) or not dof > 0:
         return math.nan
-    return beta_lower(dof / 2, 0.5, dof / (dof + t * t))
+    return beta_lower(dof / 2, 0.5, dof / (dof + t * t), t * t / (dof + t * t)) if math.isfinite(t) else 0.0
 
 
 def normal_two_sided(z: float) -> float:

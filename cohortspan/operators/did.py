@@ -156,6 +156,7 @@ def entity_cells(
     entity: str = "pid",
     control: str = CONTROL,
     interventions: Sequence[str] = INTERVENTIONS,
+    centre: bool = False,
 ) -> DataFrame:
     """Per activity, comparison and entity: counts, days, use, sum and squares per cell.
 
@@ -163,12 +164,18 @@ def entity_cells(
     need: no row-level window, no join of means back to rows.
     """
     y = "cast({m} as double) / max_time_covered * 7" if outcome == "avg_weekly_use" else "cast({m} as double)"
+    if centre:
+        # the entity effects absorb a constant; without it the squares keep their digits
+        means = panel.agg(*[F.expr(f"coalesce(avg({y.format(m=m)}), 0) as `{m}`") for m in measures]).first()
+        y = {m: f"({y.format(m=m)} - {means[m]!r}D)" for m in measures}
+    else:
+        y = {m: y.format(m=m) for m in measures}
     reduced = panel.groupBy(entity, "group", "time_period").agg(
         F.expr("count(*) as n"),
         F.expr("sum(max_time_covered) as days"),
         *[F.expr(f"sum({m}) as u_{m}") for m in measures],
-        *[F.expr(f"sum({y.format(m=m)}) as s_{m}") for m in measures],
-        *[F.expr(f"sum(pow({y.format(m=m)}, 2)) as q_{m}") for m in measures],
+        *[F.expr(f"sum({y[m]}) as s_{m}") for m in measures],
+        *[F.expr(f"sum(pow({y[m]}, 2)) as q_{m}") for m in measures],
     )
     cells = ", ".join(f"named_struct('activity', '{m}', 'u', u_{m}, 's', s_{m}, 'q', q_{m})" for m in measures)
     long = reduced.select(
@@ -284,11 +291,11 @@ def _solve(cells: DataFrame, vcov: str) -> DataFrame:
     if vcov == "iid":
         rss = "t_yy - coef * t_dy - period_effect * t_py"
         fitted = model.withColumn("dof", F.expr("cast(n_obs - n_entities - 2 as double)")).withColumn(
-            "variance", F.expr(f"try_divide({rss}, dof) / d_d")
+            "variance", F.expr(f"try_divide(if({rss} >= 0, {rss}, null), dof) / d_d")
         )
     else:
         fitted = _clustered(model) if vcov == "CRV1" else _robust(model, cells)
-        fitted = fitted.withColumn("variance", F.expr("factor * greatest(meat, 0) / (d_d * d_d)"))
+        fitted = fitted.withColumn("variance", F.expr("factor * if(meat >= 0, meat, null) / (d_d * d_d)"))
     return (
         fitted.withColumn("se", F.sqrt("variance"))
         .withColumn("t_value", F.expr("try_divide(coef, se)"))
@@ -314,7 +321,7 @@ def did_twfe(
     iid sigma^2 with N - G - 2 degrees; HC1 N / (N - G - 2); CRV1
     G/(G-1) * (N-1)/(N-3), the entity effects being nested in the clusters.
     """
-    cells = entity_cells(panel, measures, outcome, entity, control, interventions)
+    cells = entity_cells(panel, measures, outcome, entity, control, interventions, centre=vcov != "CRV1")
     return _solve(cells, vcov).select("activity", "comparison", *_ESTIMATE)
 
 

@@ -61,39 +61,35 @@ def nearest_match(
     Treated patients may serve several controls. Equal distances go to the
     smallest patient number. Scores are matched as distinct values along the
     number line: the nearest treated score is either the last one at or below
-    or the first one above, so no pairs are formed.
+    or the first one above, so no pairs are formed. Null and NaN scores match nothing.
     """
     flag = F.col(treated) == 1
     values = (
-        scored.filter(F.col(score).isNotNull())
+        scored.filter(F.col(score).isNotNull() & ~F.isnan(score))
         .groupBy(F.col(score).alias("_score"))
         .agg(F.min(F.when(flag, F.col(patient))).alias("_treated"), F.max((~flag).cast("int")).alias("_control"))
     )
     entry = F.when(F.col("_treated").isNotNull(), F.struct("_score", "_treated"))
     cut = with_ranges(values, "_score", ranges)
-    part = F.lit(1) if cut is None else F.col("_range")
-    ordered = Window.partitionBy(part).orderBy("_score")
+    ordered = Window.partitionBy("_range").orderBy("_score")
     sought = {
         "_below": F.last(entry, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
         "_above": F.first(entry, ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
     }
-    if cut is None:
-        found = values.withColumns(sought).filter(F.col("_control") == 1)
-    else:
-        # nearest treated score of the ranges before and after: one row per range
-        ends = cut.groupBy("_range").agg(F.max(entry).alias("_high"), F.min(entry).alias("_low"))
-        whole = Window.partitionBy(F.lit(1)).orderBy("_range")
-        carried = ends.select(
-            "_range",
-            F.last("_high", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.first("_low", ignorenulls=True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-        )
-        found = (
-            cut.withColumns(sought)
-            .filter(F.col("_control") == 1)
-            .join(F.broadcast(carried), "_range")
-            .withColumns({"_below": F.coalesce("_below", "_before"), "_above": F.coalesce("_above", "_after")})
-        )
+    # nearest treated score of the ranges before and after: one row per range
+    ends = cut.groupBy("_range").agg(F.max(entry).alias("_high"), F.min(entry).alias("_low"))
+    whole = Window.partitionBy(F.lit(1)).orderBy("_range")
+    carried = ends.select(
+        "_range",
+        F.last("_high", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_low", ignorenulls=True).over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    found = (
+        cut.withColumns(sought)
+        .filter(F.col("_control") == 1)
+        .join(F.broadcast(carried), "_range")
+        .withColumns({"_below": F.coalesce("_below", "_before"), "_above": F.coalesce("_above", "_after")})
+    )
 
     def candidate(column: str):
         distance = F.abs(F.col("_score") - F.col(f"{column}._score"))
@@ -105,7 +101,7 @@ def nearest_match(
         "_score", F.array_min(F.array_compact(F.array(candidate("_below"), candidate("_above")))).alias("_best")
     )
     best = (
-        scored.filter(~flag & F.col(score).isNotNull())
+        scored.filter(~flag & F.col(score).isNotNull() & ~F.isnan(score))
         .select(F.col(patient).alias("control_pid"), F.col(score).alias("_score"))
         .distinct()
         .join(neighbours, "_score")

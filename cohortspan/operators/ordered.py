@@ -13,37 +13,30 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 2_000_000
 
-
-def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame | None:
+def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """Add ``_range``: increasing with ``order``; equal values share a range.
 
-    The cut points come from approximate quantiles, so ranges are even however
-    the values cluster. Only the cut points reach the driver. ``None`` when the
-    rows are few enough for one range.
+    The cut points are approximate quantiles found on the executors, so ranges are
+    even however the values cluster; there are as many as shuffle partitions, unless
+    given. NaN is larger than any number, as in Spark's order, and has the last range
+    to itself.
     """
     if ranges is None:
-        ranges = math.ceil(df.count() / ROWS_PER_RANGE)
-    if ranges <= 1:
-        return None
-    steps = [i / ranges for i in range(1, ranges)]
-    numbers = df.select(F.col(order).cast("double").alias("_order"))
-    cuts = sorted(set(numbers.approxQuantile("_order", steps, 1 / (4 * ranges))))
-    cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_order", outputCol="_bucket")
-    return (
-        cutter.transform(df.withColumn("_order", F.col(order).cast("double")))
-        .withColumn("_range", F.col("_bucket").cast("int"))
-        .drop("_order", "_bucket")
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = [i / ranges for i in range(1, ranges)] or [0.5]
+    numbers = df.withColumn("_order", F.col(order).cast("double"))
+    found = numbers.filter(~F.isnan("_order")).agg(F.percentile_approx("_order", steps, 4 * ranges)).first()[0] or []
+    cutter = Bucketizer(
+        splits=[-math.inf, *sorted({c for c in found if math.isfinite(c)}), math.inf],
+        inputCol="_order", outputCol="_bucket", handleInvalid="keep",
     )
+    return cutter.transform(numbers).withColumn("_range", F.col("_bucket").cast("int")).drop("_order", "_bucket")
 
 
 def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None, name: str = "before") -> DataFrame:
     """Sum of ``n`` over all rows with a smaller ``order`` (one row per value)."""
     cut = with_ranges(df, order, ranges)
-    if cut is None:
-        before = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum(n).over(before), F.lit(0)))
     # one row per range
     whole = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -1,8 +1,12 @@
 """Least squares from sufficient statistics.
 
-Rows are first counted per distinct combination of regressors, then every
-partition adds up its share of X'X and X'y. Only these p x p sums reach the
-driver, which solves them. Several outcomes (``by``) are fitted in one pass.
+Rows are first counted per distinct combination of regressors (a cell), then every
+partition adds up its share of X'X and X'y as one array per model, and the arrays
+are added in two steps. Only one p x p sum per model reaches the driver, which
+solves it. Several outcomes (``by``) are fitted in one pass.
+
+Numbers are centred and scaled and outcomes are centred before anything is squared,
+so that a large mean costs no digits; coefficients are turned back at the end.
 """
 
 from __future__ import annotations
@@ -16,12 +20,16 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from cohortspan.functions.tails import chi2_tail, normal_two_sided, t_two_sided
 from cohortspan.sources.tables import require_columns
 
-MAX_LEVELS = 200
+#: Default bound on the columns of X, whose square reaches the driver per model.
+MAX_COLUMNS = 1000
 _PIVOT = 1e-10
+#: Tasks that add up the partitions' arrays of a model before one adds theirs.
+_FAN_IN = 32
 
 
 @dataclass(frozen=True)
@@ -29,12 +37,14 @@ class Design:
     """Columns of X: an intercept, treatment-coded levels, numbers, interactions.
 
     A column is a product of factors (variable, level); level ``None`` is the
-    number itself. The first level in sort order is the reference.
+    number itself, less its mean and over its deviation (``scale``). The first level
+    in sort order is the reference.
     """
 
     levels: dict[str, tuple[str, ...]]
     numeric: tuple[str, ...] = ()
     interactions: tuple[tuple[str, ...], ...] = ()
+    scale: dict[str, tuple[float, float]] = field(default_factory=dict)
     columns: tuple[tuple[tuple[str, str | None], ...], ...] = field(init=False)
 
     def __post_init__(self):
@@ -73,27 +83,64 @@ class Design:
                 if factor not in known:
                     variable, level = factor
                     values = rows[variable]
-                    known[factor] = (values.to_numpy(float) if level is None else (values == level).to_numpy(float))
+                    if level is None:
+                        mean, deviation = self.scale.get(variable, (0.0, 1.0))
+                        known[factor] = (values.to_numpy(float) - mean) / deviation
+                    else:
+                        known[factor] = (values == level).to_numpy(float)
                 out[:, i] *= known[factor]
         return out
 
+    def scaled(self, scale: dict[str, tuple[float, float]]) -> Design:
+        """The design with centred and scaled numbers.
+
+        A product with a number expands into lower products when the number is moved;
+        where the design lacks one of them, that number is scaled but not moved.
+        """
+        have = {frozenset(c) for c in self.columns}
+        fixed = {
+            v: (mean if all(frozenset(f for f in c if f != (v, None)) in have for c in self.columns if (v, None) in c) else 0.0, deviation)
+            for v, (mean, deviation) in scale.items()
+        }
+        return Design(self.levels, self.numeric, self.interactions, fixed)
+
+    def expansion(self) -> np.ndarray:
+        """A with X = Z A: the plain columns in terms of the scaled ones."""
+        place = {frozenset(c): i for i, c in enumerate(self.columns)}
+        out = np.zeros((len(self.columns), len(self.columns)))
+        for j, column in enumerate(self.columns):
+            terms: dict[tuple, float] = {(): 1.0}
+            for factor in column:
+                mean, deviation = self.scale.get(factor[0], (0.0, 1.0)) if factor[1] is None else (0.0, 1.0)
+                grown: dict[tuple, float] = {}
+                for term, value in terms.items():
+                    grown[(*term, factor)] = value * deviation
+                    if mean:
+                        grown[term] = value * mean
+                terms = grown
+            for term, value in terms.items():
+                out[place[frozenset(term)], j] += value
+        return out
+
 
 def make_design(
     df: DataFrame,
     categorical: Sequence[str],
     numeric: Sequence[str] = (),
     interactions: Sequence[Sequence[str]] = (),
+    max_columns: int = MAX_COLUMNS,
 ) -> Design:
-    """Find the levels of the categorical variables; refuse identifiers."""
+    """Find the levels of the categorical variables; more than ``max_columns`` columns are refused."""
     require_columns(df, [*categorical, *numeric])
     found: dict[str, list[str]] = {v: [] for v in categorical}
     if categorical:
+        counts = df.agg(*[F.count_distinct(F.col(v).cast("string")).alias(v) for v in categorical]).first().asDict()
+        size = {**{v: max(0, n - 1) for v, n in counts.items()}, **{v: 1 for v in numeric}}
+        columns = 1 + sum(size.values()) + sum(math.prod(size[v] for v in group) for group in interactions)
+        if columns > max_columns:
+            raise ValueError(f"{columns} columns of regressors, more than {max_columns}; levels: {counts}")
         cells = ", ".join(f"'{v}', cast(`{v}` as string)" for v in categorical)
-        limit = MAX_LEVELS * len(found)
-        rows = df.select(F.expr(f"stack({len(found)}, {cells}) as (variable, level)")).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {MAX_LEVELS} levels per variable")
-        for row in rows:
+        for row in df.select(F.expr(f"stack({len(found)}, {cells}) as (variable, level)")).distinct().collect():
             if row["level"] is not None:
                 found[row["variable"]].append(row["level"])
     return Design(
@@ -105,12 +152,18 @@ def make_design(
 
 @dataclass(frozen=True)
 class Fit:
-    """One fitted outcome; dropped columns have no coefficient."""
+    """One fitted outcome; dropped columns have no coefficient.
+
+    Coefficients, inverse and covariance belong to the scaled columns and the outcome
+    less its ``mean``; ``plain`` turns scaled coefficients into those of plain columns.
+    """
 
     kept: tuple[int, ...]
     beta: np.ndarray
     inverse: np.ndarray
     cov: np.ndarray
+    plain: np.ndarray
+    mean: float
     n: float
     rss: float
     tss: float
@@ -125,6 +178,13 @@ class Fit:
     def r_squared(self) -> float:
         return 1 - self.rss / self.tss if self.tss > 0 else math.nan
 
+    def coefficients(self) -> np.ndarray:
+        """Of plain columns and the plain outcome."""
+        out = self.plain @ self.beta
+        if self.kept and self.kept[0] == 0:
+            out[0] += self.mean
+        return out
+
 
 @dataclass(frozen=True)
 class Model:
@@ -139,12 +199,13 @@ class Model:
         rows = []
         for key, fit in sorted(self.fits.items()):
             position = {c: i for i, c in enumerate(fit.kept)}
+            beta, cov = fit.coefficients(), fit.plain @ fit.cov @ fit.plain.T
             for c, name in enumerate(self.design.names):
                 if c not in position:
                     rows.append((key, name, None, None, None, None, None, None, True))
                     continue
-                b = float(fit.beta[position[c]])
-                se = float(math.sqrt(max(fit.cov[position[c], position[c]], 0.0)))
+                b = float(beta[position[c]])
+                se = float(math.sqrt(max(cov[position[c], position[c]], 0.0)))
                 t = b / se if se > 0 else math.nan
                 p = normal_two_sided(t) if fit.robust else t_two_sided(t, float(fit.dof))
                 rows.append((key, name, b, se, t, float(p), b - 1.96 * se, b + 1.96 * se, False))
@@ -154,6 +215,17 @@ class Model:
         )
         return self.spark.createDataFrame(rows, schema)
 
+    def summary(self) -> DataFrame:
+        """One row per model: observations, columns, degrees of freedom, R^2, adjusted R^2, residual error."""
+        rows = []
+        for key, fit in sorted(self.fits.items()):
+            dof = float(fit.dof)
+            adjusted = 1 - (1 - fit.r_squared) * (fit.n - 1) / dof if dof > 0 else math.nan
+            error = math.sqrt(fit.rss / dof) if dof > 0 else math.nan
+            rows.append((key, int(fit.n), len(fit.kept), int(dof), float(fit.r_squared), float(adjusted), float(error)))
+        schema = "model string, n bigint, terms int, dof bigint, r_squared double, adjusted_r_squared double, residual_error double"
+        return self.spark.createDataFrame(rows, schema)
+
 
 def _usable(df: DataFrame, design: Design, y: str, by: str | None) -> DataFrame:
     """Rows without nulls, categorical variables as text."""
@@ -164,22 +236,24 @@ def _usable(df: DataFrame, design: Design, y: str, by: str | None) -> DataFrame:
 
 
 def _summed(cells: DataFrame, partial) -> dict[str, np.ndarray]:
-    """Add up the vectors that ``partial`` returns per model and partition."""
+    """Add up the vectors that ``partial`` returns per model and partition; one row per model comes back."""
+    schema = "_model string, part int, v array<double>"
 
     def run(batches):
-        totals: dict[str, np.ndarray] = {}
+        part, totals = TaskContext.get().partitionId() % _FAN_IN, {}
         for batch in batches:
             for key, rows in batch.groupby("_model", sort=False):
                 vector = partial(key, rows)
                 totals[key] = totals[key] + vector if key in totals else vector
         for key, vector in totals.items():
-            yield pd.DataFrame({"_model": key, "i": np.arange(len(vector)), "v": vector})
+            yield pd.DataFrame({"_model": [key], "part": [part], "v": [vector.tolist()]})
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_model": [key[0]], "part": [0], "v": [np.sum(np.stack(rows["v"].to_list()), axis=0).tolist()]})
 
-    rows = cells.mapInPandas(run, "_model string, i int, v double").groupBy("_model", "i").agg(F.sum("v").alias("v"))
-    out: dict[str, dict[int, float]] = {}
-    for row in rows.collect():
-        out.setdefault(row["_model"], {})[row["i"]] = row["v"]
-    return {key: np.array([values[i] for i in range(len(values))]) for key, values in out.items()}
+    added = cells.mapInPandas(run, schema).groupBy("_model", "part").applyInPandas(add, schema)
+    added = added.groupBy("_model").applyInPandas(add, schema)
+    return {row["_model"]: np.array(row["v"]) for row in added.collect()}
 
 
 def independent_columns(gram: np.ndarray) -> list[int]:
@@ -210,8 +284,26 @@ def ols(
         raise ValueError(f"unknown vcov {vcov!r}")
     design = design or make_design(df, categorical, numeric, interactions)
     p = len(design.columns)
+    usable = _usable(df, design, y, by)
+    # one row per model, with the means of its outcome and of the numbers over all rows
+    moments = usable.groupBy("_model").agg(
+        F.avg("_y").alias("_y"), F.count("*").alias("_n"),
+        *[f(v).alias(f"{kind} {v}") for v in design.numeric for kind, f in (("mean", F.avg), ("deviation", F.stddev_pop))],
+    ).collect()
+    means = {r["_model"]: r["_y"] for r in moments}
+    rows_in_all = sum(r["_n"] for r in moments)
+    scale = {}
+    for v in design.numeric:
+        mean = sum(r["_n"] * r[f"mean {v}"] for r in moments) / max(1, rows_in_all)
+        spread = sum(r["_n"] * (r[f"deviation {v}"] ** 2 + (r[f"mean {v}"] - mean) ** 2) for r in moments) / max(1, rows_in_all)
+        scale[v] = (mean, math.sqrt(spread) or 1.0)
+    design = design.scaled(scale)
+    expansion = design.expansion()
+    centre = F.create_map(*[F.lit(x) for pair in means.items() for x in pair]) if means else None
+    if centre is not None:
+        usable = usable.withColumn("_y", F.col("_y") - centre[F.col("_model")])
     cells = (
-        _usable(df, design, y, by)
+        usable
         .groupBy("_model", *design.variables)
         .agg(
             F.count("*").cast("double").alias("_n"),
@@ -236,7 +328,9 @@ def ols(
             beta = inverse @ xy[kept]
             n = xx[0, 0]
             rss = max(yy - beta @ xy[kept], 0.0)
-            solved[key] = (kept, beta, inverse, n, rss, yy - xy[0] ** 2 / n, np.diag(xx) - xx[0] ** 2 / n)
+            centred = xx - np.outer(xx[0], xx[0]) / n
+            own = np.einsum("ij,ik,kj->j", expansion, centred, expansion)
+            solved[key] = (kept, beta, inverse, n, rss, yy - xy[0] ** 2 / n, own)
 
         def meat(key: str, rows: pd.DataFrame) -> np.ndarray:
             kept, beta, inverse = solved[key][:3]
@@ -259,50 +353,47 @@ def ols(
             cov = inverse @ meats[key].reshape(len(kept), len(kept)) @ inverse
         else:
             cov = inverse * (rss / (n - len(kept)) if n > len(kept) else math.nan)
-        fits[key] = Fit(tuple(kept), beta, inverse, cov, n, rss, tss, column_ss, vcov == "HC3")
+        plain = np.linalg.inv(expansion[np.ix_(kept, kept)])
+        fits[key] = Fit(tuple(kept), beta, inverse, cov, plain, means[key], n, rss, tss, column_ss, vcov == "HC3")
     return Model(df.sparkSession, design, y, by, fits)
 
 
 def influence(model: Model, df: DataFrame) -> DataFrame:
     """Add fitted value, residual, leverage and Cook's distance to each row.
 
-    Rows with a null outcome or regressor were not fitted and are left out.
+    Rows with a null outcome or regressor were not fitted and are left out. Fitted value and
+    leverage depend on the regressors alone: they are computed once per cell and joined back.
+    A row that is fitted exactly has a null distance.
     """
     design, y, by, fits = model.design, model.y, model.by, model.fits
     usable = df.na.drop(subset=[*design.variables, y] + ([by] if by else []))
-    added = "fitted double, residual double, leverage double, cooks_d double"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema.fields) + ", " + added
+    names = [f"_x{i}" for i in range(len(design.variables))]
+    text = {n: F.col(v).cast("string" if v in design.levels else "double") for n, v in zip(names, design.variables)}
+    keyed = usable.withColumns({"_model": F.col(by).cast("string") if by else F.lit(""), **text})
+    cells = keyed.select("_model", *names).distinct()
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            text = batch.copy()
-            for v in design.levels:
-                text[v] = text[v].astype(str)
-            keys = batch[by].astype(str) if by else pd.Series("", index=batch.index)
-            parts = []
-            for key, index in keys.groupby(keys).groups.items():
+            rows = batch.rename(columns=dict(zip(names, design.variables)))
+            for key, index in batch.groupby("_model", sort=False).groups.items():
                 fit = fits[key]
-                x = design.matrix(text.loc[index])[:, list(fit.kept)]
-                fitted = x @ fit.beta
-                residual = batch.loc[index, y].to_numpy(float) - fitted
+                x = design.matrix(rows.loc[index])[:, list(fit.kept)]
                 leverage = np.einsum("ij,jk,ik->i", x, fit.inverse, x)
-                scale = len(fit.kept) * fit.rss / fit.dof
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cooks = residual**2 / scale * leverage / (1 - leverage) ** 2
-                parts.append(
-                    batch.loc[index].assign(fitted=fitted, residual=residual, leverage=leverage, cooks_d=cooks)
-                )
-            yield pd.concat(parts)
+                yield batch.loc[index].assign(fitted=x @ fit.beta + fit.mean, leverage=leverage)
 
-    return usable.mapInPandas(run, schema)
+    schema = ", ".join(["_model string", *(f"{n} {keyed.schema[n].dataType.simpleString()}" for n in names), "fitted double", "leverage double"])
+    scale = F.create_map(*[F.lit(x) for key, fit in fits.items() for x in (key, float(len(fit.kept) * fit.rss / fit.dof) if fit.dof > 0 else math.nan)])
+    found = keyed.join(cells.mapInPandas(run, schema), ["_model", *names]).withColumn("residual", F.col(y).cast("double") - F.col("fitted"))
+    room = 1 - F.col("leverage")
+    cooks = F.when(room > 1e-12, F.try_divide(F.col("residual") * F.col("residual"), scale[F.col("_model")]) * F.col("leverage") / (room * room))
+    return found.select(*usable.columns, "fitted", "residual", "leverage", cooks.alias("cooks_d"))
 
 
 def breusch_pagan(model: Model, with_residuals: DataFrame) -> DataFrame:
     """Studentised test of constant variance: n R^2 of squared residuals on X."""
     squared = with_residuals.withColumn("_e2", F.col("residual") * F.col("residual"))
-    auxiliary = ols(squared, "_e2", (), by=model.by, design=model.design)
+    plain = Design(model.design.levels, model.design.numeric, model.design.interactions)
+    auxiliary = ols(squared, "_e2", (), by=model.by, design=plain)
     rows = []
     for key, fit in sorted(auxiliary.fits.items()):
         statistic, dof = fit.n * fit.r_squared, len(fit.kept) - 1
@@ -325,5 +416,6 @@ def vif(model: Model) -> DataFrame:
     for key, fit in sorted(model.fits.items()):
         for position, c in enumerate(fit.kept):
             own = fit.n if c == 0 else fit.column_ss[c]
-            rows.append((key, model.design.names[c], float(own * fit.inverse[position, position])))
+            inverse = fit.plain @ fit.inverse @ fit.plain.T
+            rows.append((key, model.design.names[c], float(own * inverse[position, position])))
     return model.spark.createDataFrame(rows, "model string, variable string, vif double")

@@ -61,6 +61,7 @@ def interval_totals(
     measures: Sequence[str],
     day: str = "day",
 ) -> DataFrame:
-    """Add the event totals of the closed date interval ``[lo, hi]`` to each row."""
+    """Add the event totals of the closed date interval ``[lo, hi]`` to each row; 0 if ``hi`` precedes ``lo``."""
     found = totals_at(intervals, events, keys, {"before": F.date_sub(lo, 1), "upto": F.col(hi)}, measures, day)
-    return found.select(*intervals.columns, *[between(m, "before", "upto").alias(m) for m in measures])
+    inverted = F.col(hi) < F.col(lo)
+    return found.select(*intervals.columns, *[F.when(inverted, 0).otherwise(between(m, "before", "upto")).alias(m) for m in measures])

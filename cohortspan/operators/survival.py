@@ -72,30 +72,29 @@ def log_rank(df: DataFrame, time: str, event: str, group: str, pair: tuple[str,
     return out.withColumn("p_value", chi2_p("statistic", "dof")) if p_values else out
 
 
+_DIRECT = 32
+
+
 def _harmonic(top: np.ndarray, count: np.ndarray, power: int) -> np.ndarray:
     """Sum of 1 / (top - j)^power for j = 0 .. count - 1, at any count.
 
-    Short sums are added up; long ones use the midpoint form of the integral
-    with its first two corrections, after the small denominators were added.
+    The smallest denominators are added one by one; the others, all above them,
+    follow from the midpoint form of the integral with its first corrections.
     """
-    out = np.zeros(len(top))
-    for i, (a, d) in enumerate(zip(top, count)):
-        d = int(d)
-        direct = min(d, 2000)
-        j = np.arange(d - direct, d)
-        out[i] = np.sum((a - j) ** -float(power))
-        rest = d - direct
-        if rest:
-            lo, hi = a - rest + 0.5, a + 0.5
-            if power == 1:
-                out[i] += math.log(hi / lo) - (lo**-2 - hi**-2) / 24 + 7 * (lo**-4 - hi**-4) / 960
-            else:
-                out[i] += 1 / lo - 1 / hi - (lo**-3 - hi**-3) / 12 + 7 * (lo**-5 - hi**-5) / 240
-    return out
-
-
-def _efron_terms(table: pd.DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient and information of the partial likelihood over risk-table rows."""
+    direct = np.minimum(count, _DIRECT)
+    j = np.arange(_DIRECT)
+    small = (top - count + 1)[:, None] + j
+    out = np.where(j < direct[:, None], np.where(j < direct[:, None], small, 1.0) ** -float(power), 0.0).sum(axis=1)
+    rest = count - direct
+    lo = np.where(rest > 0, top - count + 0.5 + direct, 1.0)
+    hi = lo + rest
+    if power == 1:
+        return out + np.log1p(rest / lo) - (lo**-2 - hi**-2) / 24 + 7 * (lo**-4 - hi**-4) / 960 - 31 * (lo**-6 - hi**-6) / 8064
+    return out + rest / (lo * hi) - (lo**-3 - hi**-3) / 12 + 7 * (lo**-5 - hi**-5) / 240 - 31 * (lo**-7 - hi**-7) / 1344
+
+
+def _efron_terms(table: pd.DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log, gradient and information of the partial likelihood over risk-table rows."""
     levels = len(beta) + 1
     weight = np.exp(np.concatenate([[0.0], beta]))
     risk = table[[f"n{i}" for i in range(levels)]].to_numpy(float) * weight
@@ -117,7 +116,10 @@ def _efron_terms(table: pd.DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.
     diagonal = np.diag((r * inverse[:, None] - e * j_inverse[:, None]).sum(axis=0))
     cross = (r * inverse2[:, None]).T @ r - (r * j_inverse2[:, None]).T @ e
     cross += -(e * j_inverse2[:, None]).T @ r + (e * jj_inverse2[:, None]).T @ e
-    return gradient, diagonal - cross
+    # the product of all phi_j of a time is (d0 / d)^d times a falling factorial
+    falling = [math.lgamma(t + 1) - math.lgamma(t - n + 1) for t, n in zip(top.tolist(), d.tolist())]
+    value = float((dead_counts[:, 1:] @ beta - d * np.log(d0 / d) - falling).sum())
+    return value, gradient, diagonal - cross
 
 
 def cox_ph(
@@ -126,53 +128,69 @@ def cox_ph(
     """Proportional hazards for one factor, Efron ties; the first level is the reference.
 
     The risk table has one row per event time and is checkpointed. Each Newton
-    step is a Spark job over it; only the gradient and the information matrix
-    of (levels - 1) entries come back.
+    step is a Spark job over it; only the likelihood, its gradient and the information
+    matrix of (levels - 1) entries come back. A step that lowers the likelihood is halved.
+
+    A level without events has no finite estimate, and in the limit its rows leave the
+    estimates of the others alone: it is listed as dropped and its rows are left out. The
+    reference must have events.
     """
     label = null_to_unknown(factor)
-    chosen = df.filter(label.isin(*levels) & F.col(time).isNotNull())
+    found = df.filter(label.isin(*levels) & F.col(time).isNotNull()).groupBy(label.alias("level")).agg(F.sum(F.col(event).cast("long")).alias("events")).collect()
+    events = {r["level"]: r["events"] or 0 for r in found}
+    if not events.get(levels[0]):
+        raise ValueError(f"the reference {levels[0]!r} has no events")
+    kept = [level for level in levels if events.get(level)]
+    chosen = df.filter(label.isin(*kept) & F.col(time).isNotNull())
     counted = chosen.groupBy(F.col(time).alias("time")).agg(
-        *[F.count_if(label == level).alias(f"n{i}") for i, level in enumerate(levels)],
+        *[F.count_if(label == level).alias(f"n{i}") for i, level in enumerate(kept)],
         *[
             F.sum(F.when(label == level, F.col(event).cast("long")).otherwise(0)).alias(f"d{i}")
-            for i, level in enumerate(levels)
+            for i, level in enumerate(kept)
         ],
     )
     later = Window.partitionBy(F.lit(1)).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    died = " + ".join(f"d{i}" for i in range(len(levels)))
+    died = " + ".join(f"d{i}" for i in range(len(kept)))
     table = durable(
-        counted.withColumns({f"n{i}": F.sum(f"n{i}").over(later) for i in range(len(levels))}).filter(f"{died} > 0")
+        counted.withColumns({f"n{i}": F.sum(f"n{i}").over(later) for i in range(len(kept))}).filter(f"{died} > 0")
     )
-    p = len(levels) - 1
+    p = len(kept) - 1
     beta = np.zeros(p)
 
-    def newton_sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def newton_sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def partial(batches):
             for batch in batches:
                 if len(batch):
-                    gradient, information = _efron_terms(batch, at)
-                    values = np.concatenate([gradient, information.ravel()])
+                    value, gradient, information = _efron_terms(batch, at)
+                    values = np.concatenate([[value], gradient, information.ravel()])
                     yield pd.DataFrame({"i": np.arange(len(values)), "v": values})
 
         rows = table.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        flat = np.zeros(p + p * p)
+        flat = np.zeros(1 + p + p * p)
         for row in rows:
             flat[row["i"]] = row["v"]
-        return flat[:p], flat[p:].reshape(p, p)
+        return flat[0], flat[1:1 + p], flat[1 + p:].reshape(p, p)
 
-    for _ in range(rounds):
-        gradient, information = newton_sums(beta)
+    value, gradient, information = newton_sums(beta)
+    for _ in range(rounds if p else 0):
         step = np.linalg.lstsq(information, gradient, rcond=None)[0]
-        beta = beta + step
-        if np.max(np.abs(step)) < tolerance:
+        # settled before the last digits of the sums decide
+        small = np.max(np.abs(step)) < tolerance
+        new = newton_sums(beta + step)
+        while not small and not new[0] >= value - 1e-9 * abs(value):
+            step = step / 2
+            new = newton_sums(beta + step)
+        beta, (value, gradient, information) = beta + step, new
+        if small:
             break
     else:
-        raise ArithmeticError("the partial likelihood did not converge")
-    _, information = newton_sums(beta)
+        if p:
+            raise ArithmeticError("the partial likelihood did not converge")
     se = np.sqrt(np.diag(np.linalg.pinv(information)))
-    rows = [
-        (level, float(b), float(math.exp(b)), float(s), float(b / s), normal_two_sided(b / s), float(math.exp(b - 1.96 * s)), float(math.exp(b + 1.96 * s)))
-        for level, b, s in zip(list(levels)[1:], beta, se)
-    ]
-    schema = "level string, coef double, hazard_ratio double, se double, z double, p_value double, hr_low double, hr_high double"
+    estimates = {
+        level: (float(b), float(math.exp(b)), float(s), float(b / s), normal_two_sided(b / s), float(math.exp(b - 1.96 * s)), float(math.exp(b + 1.96 * s)), False)
+        for level, b, s in zip(kept[1:], beta, se)
+    }
+    rows = [(level, *estimates.get(level, (None,) * 7 + (True,))) for level in list(levels)[1:]]
+    schema = "level string, coef double, hazard_ratio double, se double, z double, p_value double, hr_low double, hr_high double, dropped boolean"
     return df.sparkSession.createDataFrame(rows, schema)

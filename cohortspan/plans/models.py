@@ -250,18 +250,19 @@ def vif(spark, sf_dir):
 
 
 def _refit(rows):
-    """Fit, drop influential rows, fit again: estimate, error and p-value of one model."""
+    """Fit, drop influential rows, fit again: the first model with its residuals, the second with its rows."""
     first = _interacted(rows)
-    kept = durable(regress.drop_influential(first, regress.influence(first, rows)).drop("fitted", "residual", "leverage", "cooks_d"))
-    return first, kept, _interacted(kept)
+    marked = durable(regress.influence(first, rows))
+    kept = durable(regress.drop_influential(first, marked).drop("fitted", "residual", "leverage", "cooks_d"))
+    return first, marked, kept, _interacted(kept)
 
 
 @query("ols_influence")
 def ols_influence(spark, sf_dir):
     """Breusch-Pagan test before and after dropping rows with a large Cook's distance."""
     rows = durable(_ols_rows(spark, sf_dir))
-    first, kept, second = _refit(rows)
-    before = regress.breusch_pagan(first, regress.influence(first, rows)).withColumn("stage", F.lit("all rows"))
+    first, marked, kept, second = _refit(rows)
+    before = regress.breusch_pagan(first, marked).withColumn("stage", F.lit("all rows"))
     after = regress.breusch_pagan(second, regress.influence(second, kept)).withColumn("stage", F.lit("without influential"))
     sizes = {"all rows": first, "without influential": second}
     counts = spark.createDataFrame([(s, k, int(f.n)) for s, mod in sizes.items() for k, f in mod.fits.items()], "stage string, model string, n bigint")
@@ -334,7 +335,7 @@ def matched_did(spark, sf_dir):
     units = _units(spark, sf_dir)
     matches = durable(matching.nearest_match(matching.propensity(units, "treated", [*COVARIATES, "quintile"])))
     rows = durable(matching.matched_cohort(_ols_rows(spark, sf_dir), matches))
-    return _refit(rows)[2].table()
+    return _refit(rows)[3].table()
 
 
 # --- special cases with a closed form, so that SQL can check the solvers ------------

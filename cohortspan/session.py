@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ADAPTIVE_CONF = {
@@ -63,4 +64,18 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="cohortspan-checkpoint-")
         context.setCheckpointDir(folder)
+    _delete_at_exit(context)
     return df.checkpoint(eager=True)
+
+
+def _delete_at_exit(context: SparkContext) -> None:
+    """Let the application's own checkpoint folder go when it ends, whatever the session's settings.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` frees files earlier, but can only be
+    set before a session starts.
+    """
+    folder = context.getCheckpointDir()
+    if getattr(context, "_cohortspan_cleans", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._cohortspan_cleans = folder
