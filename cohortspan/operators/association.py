@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.tails import chi2_p
-from cohortspan.operators.ordered import running_count
+from cohortspan.operators.ordered import join_values, running_count
 from cohortspan.operators.tables import unpivot_variables
 from cohortspan.session import durable
 
@@ -24,9 +24,21 @@ def weekly_use(totals: DataFrame, measure: str, keys: Sequence[str], days: str =
     )
 
 
-def high_users(weekly: DataFrame, share: float = 0.9, accuracy: int = 10000, name: str = "usage_group") -> DataFrame:
-    """Label the units at or above the quantile of weekly use."""
-    cut = weekly.agg(F.percentile_approx("weekly_use", share, accuracy)).scalar()
+def high_users(weekly: DataFrame, share: float = 0.9, accuracy: int | None = None, name: str = "usage_group") -> DataFrame:
+    """Label the units at or above the quantile of weekly use.
+
+    The threshold is exact, from counts of distinct values along ranges, or with
+    ``accuracy`` a sketch of that size.
+    """
+    if accuracy is None:
+        weekly = durable(weekly)
+        values = weekly.filter(F.col("weekly_use").isNotNull()).groupBy("weekly_use").agg(F.count("*").alias("_n"))
+        upto = running_count(values, "weekly_use", "_n", name="_before").filter(
+            F.col("_before") + F.col("_n") >= F.ceil(values.agg(F.sum("_n")).scalar() * share)
+        )
+        cut = upto.agg(F.min("weekly_use")).scalar()
+    else:
+        cut = weekly.agg(F.percentile_approx("weekly_use", share, accuracy)).scalar()
     return weekly.withColumn(name, F.when(F.col("weekly_use") >= cut, TOP).otherwise(REST))
 
 
@@ -113,7 +125,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         before = running_count(values, column, "_n", name="_before")
         return before.select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
-    ranked = pairs.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y)
+    ranked = join_values(join_values(pairs, ranks(x, "_rx"), x), ranks(y, "_ry"), y)
     n = F.col("n")
     # ranks centre on (N + 1) / 2; centring first keeps the sums small
     total = pairs.agg(F.sum("n")).scalar()

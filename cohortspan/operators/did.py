@@ -51,14 +51,22 @@ def did_panel(
 ) -> DataFrame:
     """One row per pathway and period, a total per activity, treated 0/1."""
     totals = period_totals(sample, activity, measures, keep, (WAITING, AFTER))
-    return totals.drop("lo", "hi").withColumn("treated", F.when(F.col("group") == control, 0).otherwise(1))
+    totals = totals.withColumn("period_days", F.datediff("hi", "lo") + 1).drop("lo", "hi")
+    return totals.withColumn("treated", F.when(F.col("group") == control, 0).otherwise(1))
 
 
-def long_panel(panel: DataFrame, measures: Sequence[str], keep: Sequence[str] = PANEL_KEYS, days: str = "max_time_covered") -> DataFrame:
+def long_panel(
+    panel: DataFrame, measures: Sequence[str], keep: Sequence[str] = PANEL_KEYS, days: str = "max_time_covered", denominator: str = "covered"
+) -> DataFrame:
     """Long form with total and weekly use per activity.
 
-    Both periods are divided by the whole follow-up by default.
+    ``denominator``: "covered" divides both periods by the whole follow-up, the column
+    ``days``; "period" divides each by its own days, the column ``period_days``.
     """
+    if denominator not in ("covered", "period"):
+        raise ValueError(f"unknown denominator {denominator!r}")
+    if denominator == "period":
+        days = "period_days"
     cells = F.array(*[F.struct(F.lit(m).alias("activity"), F.col(m).alias("total_hc_use")) for m in measures])
     return panel.select(*dict.fromkeys([*keep, "time_period", "treated", days]), F.inline(cells)).withColumn(
         "avg_weekly_use", F.col("total_hc_use") / F.col(days).cast("double") * 7
@@ -178,8 +186,10 @@ def entity_cells(
         *[F.expr(f"sum(pow({y[m]}, 2)) as q_{m}") for m in measures],
     )
     cells = ", ".join(f"named_struct('activity', '{m}', 'u', u_{m}, 's', s_{m}, 'q', q_{m})" for m in measures)
-    long = reduced.select(
-        F.col(entity).alias("entity"),
+    # dealt out by entity before it grows by activity and comparison: the long rows of an
+    # entity are made and added up in one place, and only sums of models move after that
+    long = reduced.withColumnRenamed(entity, "entity").repartition("entity").select(
+        "entity",
         F.when(F.col("group") == control, "0").otherwise("1").alias("treated"),
         "time_period",
         "n",

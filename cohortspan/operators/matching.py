@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.bands import null_to_unknown
-from cohortspan.operators.ordered import with_ranges
+from cohortspan.operators.ordered import join_values, with_ranges
 
 
 def propensity(
@@ -21,13 +21,19 @@ def propensity(
     covariates: Sequence[str],
     one_hot: bool = False,
     name: str = "propensity_score",
+    max_levels: int = 10_000,
 ) -> DataFrame:
     """Logistic probability of treatment from categorical covariates.
 
     The level indices (most frequent first) enter as numbers unless ``one_hot``
     is set. The model is fitted on counted covariate cells with weights, so an
-    iteration costs a pass over cells, not over rows.
+    iteration costs a pass over cells, not over rows, and cells are scored and joined
+    back. The labels of all levels pass through the driver: more than ``max_levels``
+    per covariate are refused.
     """
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in covariates]).first().asDict()
+    if max(counts.values(), default=0) > max_levels:
+        raise ValueError(f"more than {max_levels} levels of a covariate: {counts}")
     named = df.withColumns({c: null_to_unknown(c) for c in covariates})
     indexer = StringIndexer(inputCols=list(covariates), outputCols=[f"_{c}_index" for c in covariates]).fit(named)
     features = [f"_{c}_index" for c in covariates]
@@ -38,14 +44,17 @@ def propensity(
         features = encoded
     stages.append(VectorAssembler(inputCols=features, outputCol="_features"))
     stages.append(
-        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability")
+        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability", tol=1e-12, maxIter=500)
     )
     cells = indexer.transform(
         named.groupBy(*covariates, F.col(treated).cast("double").alias("_label")).agg(F.count("*").cast("double").alias("_weight"))
     )
     model = Pipeline(stages=stages).fit(cells)
-    scored = model.transform(indexer.transform(named).withColumns({"_label": F.lit(0.0), "_weight": F.lit(1.0)}))
-    return scored.select(*df.columns, vector_to_array("_probability")[1].alias(name))
+    distinct = named.select(*covariates).distinct()
+    scored = model.transform(indexer.transform(distinct).withColumns({"_label": F.lit(0.0), "_weight": F.lit(1.0)}))
+    scores = scored.select(*[F.col(c).alias(f"_cell_{c}") for c in covariates], vector_to_array("_probability")[1].alias(name))
+    cells = df.withColumns({f"_cell_{c}": null_to_unknown(c) for c in covariates})
+    return cells.join(scores, [f"_cell_{c}" for c in covariates]).select(*df.columns, name)
 
 
 def nearest_match(
@@ -100,11 +109,13 @@ def nearest_match(
     neighbours = found.select(
         "_score", F.array_min(F.array_compact(F.array(candidate("_below"), candidate("_above")))).alias("_best")
     )
-    best = (
+    controls = (
         scored.filter(~flag & F.col(score).isNotNull() & ~F.isnan(score))
         .select(F.col(patient).alias("control_pid"), F.col(score).alias("_score"))
         .distinct()
-        .join(neighbours, "_score")
+    )
+    best = (
+        join_values(controls, neighbours, "_score")
         .groupBy("control_pid")
         .agg(F.min("_best").alias("_best"))
         .filter(F.col("_best").isNotNull())

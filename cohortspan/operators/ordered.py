@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspan.session import durable
+
 
 def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """Add ``_range``: increasing with ``order``; equal values share a range.
@@ -51,3 +53,23 @@ def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None,
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_inside", "_offset", "_range")
     )
+
+
+#: Most rows of a table of values that is sent to every executor.
+BROADCAST_VALUES = 200_000
+#: Copies of a value's row when the table is larger, so that a hot value is dealt out.
+SALTS = 16
+
+
+def join_values(df: DataFrame, values: DataFrame, on: str) -> DataFrame:
+    """Join rows with a table of one row per value; a few values may hold most rows.
+
+    The table is counted: up to BROADCAST_VALUES rows are broadcast, a larger one is joined
+    on the value and a salt. Either way the result is the same.
+    """
+    values = durable(values)
+    if values.count() <= BROADCAST_VALUES:
+        return df.join(F.broadcast(values), on)
+    salted = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [on, "_salt"]).drop("_salt")

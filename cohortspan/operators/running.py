@@ -27,14 +27,30 @@ def running_totals(events: DataFrame, at: DataFrame, keys: Sequence[str], day: s
 
 
 def totals_at(
-    df: DataFrame, events: DataFrame, keys: Sequence[str], days: dict[str, Column], measures: Sequence[str], day: str = "day"
+    df: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    days: dict[str, Column],
+    measures: Sequence[str],
+    day: str = "day",
+    row: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``{measure}@{name}``: the running total on each named day of the row.
 
     The rows are read twice, for the days they ask about and for the lookups;
-    store or checkpoint them first when they are expensive to derive.
+    store or checkpoint them first when they are expensive to derive. With a unique
+    ``row`` key all days are looked up in one join of narrow rows, which are folded by
+    that key and joined back; without one, each day is a join of the rows themselves.
     """
     keys = list(keys)
+    if row:
+        asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), date.alias(day)) for name, date in days.items()]))
+        slim = df.select(*dict.fromkeys([*row, *keys]), asked.alias("_asked")).select("*", "_asked.*").drop("_asked")
+        totals = running_totals(events, slim.filter(F.col(day).isNotNull()), keys, day, measures)
+        folded = slim.join(totals, [*keys, day], "left").groupBy(*row).agg(
+            *[F.max(F.when(F.col("_name") == name, F.col(m))).alias(f"{m}@{name}") for name in days for m in measures]
+        )
+        return df.join(folded, list(row)).select(*df.columns, *[f"`{m}@{name}`" for name in days for m in measures])
     dated = df.withColumns({f"_day_{name}": date for name, date in days.items()})
     names = [f"_day_{name}" for name in days]
     at = dated.select(*keys, F.explode(F.array(*names)).alias(day)).filter(F.col(day).isNotNull())

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspan.functions.bands import null_to_unknown
 from cohortspan.operators.running import between, interval_totals, totals_at
 from cohortspan.operators.tables import unpivot_variables
 
@@ -15,8 +14,13 @@ QUARTER_DAYS = 7 * 13
 SUFFIXES = {"3m_before": "3m_before", "while_waiting": "waiting_time", "3m_after": "3m_after"}
 
 
-def wide_utilisation(pathways: DataFrame, activity: DataFrame, measures: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """``{measure}_{period}`` columns for the 13 weeks before, the wait and the 13 weeks after."""
+def wide_utilisation(
+    pathways: DataFrame, activity: DataFrame, measures: Sequence[str], keep: Sequence[str], row: Sequence[str] = ("pathway_id",)
+) -> DataFrame:
+    """``{measure}_{period}`` columns for the 13 weeks before, the wait and the 13 weeks after.
+
+    ``row`` identifies a pathway. A clock that stops before it starts has no use while waiting.
+    """
     days = {
         "early": F.date_sub("start_date", QUARTER_DAYS + 1),
         "start": F.date_sub("start_date", 1),
@@ -24,27 +28,87 @@ def wide_utilisation(pathways: DataFrame, activity: DataFrame, measures: Sequenc
         "late": F.date_add("stop_date", QUARTER_DAYS),
     }
     windows = {"3m_before": ("early", "start"), "waiting_time": ("start", "stop"), "3m_after": ("stop", "late")}
-    found = totals_at(pathways.select(*keep), activity, ["pid"], days, measures)
-    return found.select(*keep, *[between(m, *window).alias(f"{m}_{p}") for p, window in windows.items() for m in measures])
+    found = totals_at(pathways.select(*keep), activity, ["pid"], days, measures, row=row)
+    inverted = F.col("stop_date") < F.col("start_date")
+
+    def use(m: str, p: str) -> Column:
+        total = between(m, *windows[p])
+        return F.when(inverted, 0).otherwise(total) if p == "waiting_time" else total
+
+    return found.select(*keep, *[use(m, p).alias(f"{m}_{p}") for p in windows for m in measures])
 
 
 def period_stats(
-    wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str = "wt", accuracy: int = 10000
+    wide: DataFrame,
+    variables: Sequence[str],
+    measures: Sequence[str],
+    length: str = "wt",
+    accuracy: int = 10000,
+    counted: Sequence[str] | None = None,
 ) -> DataFrame:
     """Utilisation statistics by characteristic value, measure and period.
 
-    Every measure-period column is aggregated side by side; only the small
-    result is unpivoted.
+    The measures named in ``counted`` (all, by default) take few distinct values: their rows
+    are reduced to counts per value, from which every statistic, quartiles included, comes
+    exactly. The others are aggregated side by side with quantile sketches of ``accuracy``.
     """
+    counted = list(measures if counted is None else counted)
+    parts = []
+    if counted:
+        parts.append(_counted_stats(wide, variables, counted, length))
+    if rest := [m for m in measures if m not in counted]:
+        parts.append(_sketched_stats(wide, variables, rest, length, accuracy))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _weeks(label: Column, days: Column, n: Column) -> Column:
+    return F.when(label == "while_waiting", F.round(days / 7, 2)).otherwise((n * 13).cast("double"))
+
+
+def _counted_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str) -> DataFrame:
+    cells = F.array(
+        *[
+            F.struct(F.lit(m).alias("utilisation_type"), F.lit(label).alias("time_period"), F.col(f"{m}_{suffix}").alias("v"))
+            for m in measures
+            for label, suffix in SUFFIXES.items()
+        ]
+    )
+    group = ["variable", "value", "utilisation_type", "time_period"]
+    # first per combination of all characteristics, where the map side already merges most rows
+    values = wide.select(*variables, length, F.inline(cells)).filter(F.col("v").isNotNull())
+    merged = values.groupBy(*variables, "utilisation_type", "time_period", "v").agg(F.count("*").alias("_n"), F.sum(length).alias("_days"))
+    long = unpivot_variables(merged, variables, ["utilisation_type", "time_period", "v", "_n", "_days"])
+    counts = long.groupBy(*group, "v").agg(F.sum("_n").alias("_n"), F.sum("_days").alias("_days"))
+    # from here on one row per distinct value of a cell
+    upto = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole), "_mean": F.sum(F.col("v") * F.col("_n")).over(whole) / F.sum("_n").over(whole)})
+
+    def quantile(share: float) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * share), F.col("v")))
+
+    n = F.sum("_n")
+    square = F.sum(F.col("_n") * F.pow(F.col("v") - F.col("_mean"), 2))
+    return ranked.groupBy(*group).agg(
+        n.alias("pathway_count"),
+        F.sum(F.col("v") * F.col("_n")).alias("sum"),
+        F.round(F.sum(F.col("v") * F.col("_n")) / n, 2).alias("mean"),
+        quantile(0.5).alias("median"),
+        F.round(F.sqrt(F.try_divide(square, n - 1)), 2).alias("stddev"),
+        (quantile(0.75) - quantile(0.25)).alias("iqr"),
+        F.sum("_days").alias("_days"),
+    ).select(
+        *group, "pathway_count", "sum", "mean", "median", "stddev", "iqr",
+        _weeks(F.col("time_period"), F.col("_days"), F.col("pathway_count")).alias("pathway_weeks"),
+    )
+
+
+def _sketched_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str, accuracy: int) -> DataFrame:
     columns = {(m, label): f"{m}_{suffix}" for m in measures for label, suffix in SUFFIXES.items()}
     aggregates: list[Column] = []
     for (m, label), c in columns.items():
-        weeks = (
-            F.round(F.sum(F.when(F.col(c).isNotNull(), F.col(length))) / 7, 2)
-            if label == "while_waiting"
-            else (F.count(c) * 13).cast("double")
-        )
         quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
+        days = F.sum(F.when(F.col(c).isNotNull(), F.col(length)))
         aggregates.append(
             F.struct(
                 F.lit(m).alias("utilisation_type"),
@@ -55,7 +119,7 @@ def period_stats(
                 quartiles[1].alias("median"),
                 F.round(F.stddev_samp(c), 2).alias("stddev"),
                 (quartiles[2] - quartiles[0]).alias("iqr"),
-                weeks.alias("pathway_weeks"),
+                _weeks(F.lit(label), days, F.count(c)).alias("pathway_weeks"),
             ).alias(f"_{m}_{label}")
         )
     stats = unpivot_variables(wide, variables, [length, *columns.values()]).groupBy("variable", "value").agg(*aggregates)
@@ -80,17 +144,32 @@ def unpivot_utilisation(wide: DataFrame, measures: Sequence[str], keep: Sequence
     return wide.select(*keep, F.inline(cells))
 
 
-def utilisation_rate(long: DataFrame, keys: Sequence[str], length: str = "wt") -> DataFrame:
-    """Totals and rate per 1,000 person-weeks; fixed periods count 13 weeks each."""
-    days = F.when(F.col("time_period") == "during waiting", F.col(length)).otherwise(QUARTER_DAYS)
-    return (
-        long.groupBy("delivery_point", "time_period", *keys)
-        .agg(
-            F.sum("healthcare_utilization").alias("utilisation"),
-            F.sum(days).alias("person_days"),
-            F.count("healthcare_utilization").alias("n"),
-        )
-        .withColumn("rate_per_1000", F.try_divide(F.col("utilisation"), F.col("person_days") / 7) * 1000)
+def utilisation_rate(
+    wide: DataFrame, measures: Sequence[str], keys: Sequence[str], length: str = "wt", names: dict[str, str] | None = None
+) -> DataFrame:
+    """Totals and rate per 1,000 person-weeks; fixed periods count 13 weeks each.
+
+    Every measure and period is summed side by side, and only the small result is unpivoted.
+    """
+    labels = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}
+    sums = [F.sum(f"{m}_{p}").alias(f"sum {m}_{p}") for p in labels for m in measures]
+    counts = [F.count(f"{m}_{p}").alias(f"n {m}_{p}") for p in labels for m in measures]
+    summed = wide.groupBy(*keys).agg(*sums, *counts, F.sum(length).alias("_waited"), F.count("*").alias("_rows"))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit((names or {}).get(m, m)).alias("delivery_point"),
+                F.lit(label).alias("time_period"),
+                F.col(f"sum {m}_{p}").alias("utilisation"),
+                (F.col("_waited") if p == "waiting_time" else F.col("_rows") * QUARTER_DAYS).cast("long").alias("person_days"),
+                F.col(f"n {m}_{p}").alias("n"),
+            )
+            for p, label in labels.items()
+            for m in measures
+        ]
+    )
+    return summed.select(*keys, F.inline(cells)).withColumn(
+        "rate_per_1000", F.try_divide(F.col("utilisation"), F.col("person_days") / 7) * 1000
     )
 
 
@@ -175,20 +254,17 @@ def binned_activity(
         .groupBy("pid", group, "start_date", "_last")
         .agg(F.count("*").alias("_n"))
     )
-    bins = F.expr(f"sequence(0, cast(datediff(_last, start_date) div {width} as int))")
-    rows = collapsed.withColumn("bin", F.explode(bins)).withColumns(
-        {
-            "_lo": F.expr(f"date_add(start_date, bin * {width})"),
-            "_hi": F.least(F.expr(f"date_add(start_date, bin * {width} + {width - 1})"), F.col("_last")),
-        }
+    # neighbouring bins share an edge: it is asked about once, and totals are differences along the edges
+    edges = F.expr(f"sequence(-1, cast(datediff(_last, start_date) div {width} as int))")
+    asked = collapsed.withColumn("bin", F.explode(edges)).withColumn(
+        "_edge", F.least(F.expr(f"date_add(start_date, (bin + 1) * {width} - 1)"), F.col("_last"))
     )
+    pathway = Window.partitionBy("pid", group, "start_date", "_last").orderBy("bin")
+    found = totals_at(asked, activity, ["pid"], {"edge": F.when(F.col("bin") < 0, F.date_sub("start_date", 1)).otherwise(F.col("_edge"))}, [measure])
+    upto = F.col(f"`{measure}@edge`")
     return (
-        interval_totals(rows, activity, ["pid"], "_lo", "_hi", [measure])
+        found.withColumn("_use", upto - F.lag(upto).over(pathway))
+        .filter(F.col("bin") >= 0)
         .groupBy(group, "bin")
-        .agg(F.sum(F.col(measure) * F.col("_n")).alias("total_use"))
+        .agg(F.sum(F.coalesce("_use", F.lit(0)) * F.col("_n")).alias("total_use"))
     )
-
-
-def characteristics_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Null characteristics named "unknown" in place."""
-    return df.withColumns({c: null_to_unknown(c) for c in columns})

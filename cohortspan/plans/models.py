@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions import bands as b
 from cohortspan.operators import association, cohort, did, matching, regress, survival
-from cohortspan.plans import use
+from cohortspan.plans import solve, use
 from cohortspan.plans.base import case_sql, chi2_p_sql, query, unpivot_sql, with_ctes
 from cohortspan.session import durable
 from cohortspan.sources import mapping as m
@@ -168,11 +168,23 @@ def log_rank(spark, sf_dir):
     return _short_p(survival.log_rank(rows, "wt", "event", "priority", ("Urgent", "Routine")))
 
 
-@query("cox_ph")
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query(
+    "cox_ph",
+    with_ctes(
+        "pathways",
+        f"""SELECT level, round(beta, 5) AS coef, round(exp(beta), 5) AS hazard_ratio, round(se, 5) AS se, round(beta / se, 3) AS z,
+  round({chi2_p_sql("pow(beta / se, 2)", "1")}, 4) AS p_value, round(exp(beta - 1.96 * se), 5) AS hr_low, round(exp(beta + 1.96 * se), 5) AS hr_high, false AS dropped
+FROM (SELECT *, sqrt(variance) AS se FROM cox_beta) JOIN (VALUES {", ".join(f"({i}, '{r}')" for i, r in enumerate(_REGIONS[1:]))}) t(i, level) USING (i)""",
+        solve.cox("cox", "pathways", "wt", "event", "region", _REGIONS),
+    ),
+)
 def cox_ph(spark, sf_dir):
     rows = m.pathways(spark, sf_dir).select("wt", "event", "region")
-    levels = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-    return survival.cox_ph(rows, "wt", "event", "region", levels)
+    fit = survival.cox_ph(rows, "wt", "event", "region", _REGIONS)
+    return fit.withColumns({c: F.round(c, 5) for c in ("coef", "hazard_ratio", "se", "hr_low", "hr_high")} | {"z": F.round("z", 3), "p_value": F.round("p_value", 4)})
 
 
 # --- regression -------------------------------------------------------------------
@@ -215,40 +227,137 @@ def did_ols_base(spark, sf_dir):
 COVARIATES = ("ltc", "region", "sex")
 INTERACTIONS = (("group", "time_period"),)
 
+# levels in sort order; the first of each is the reference
+_LEVELS = {
+    "group": ("<= 18 weeks", "> 18 weeks"),
+    "time_period": ("0", "1"),
+    "ltc": tuple(sorted(b.CONDITIONS.labels)),
+    "region": _REGIONS,
+    "sex": ("F", "M"),
+}
+
+
+def _design(interactions, numbers=(), factors=("group", "time_period", *COVARIATES)):
+    """Names of the terms and the SQL of their columns."""
 
-@query("did_ols")
+    def one(variable):
+        return [(f"{variable}[{level}]", f"(CAST(\"{variable}\" AS VARCHAR) = '{level}')::INTEGER") for level in _LEVELS[variable][1:]]
+
+    terms = [("Intercept", "1"), *[t for f in factors for t in one(f)], *[(v, v) for v in numbers]]
+    for u, v in interactions:
+        terms += [(f"{a}:{c}", f"{x} * {y}") for a, x in one(u) for c, y in one(v)]
+    return [t for t, _ in terms], [c for _, c in terms]
+
+
+_PLAIN_DESIGN = _design(INTERACTIONS)
+_FULL_PAIRS = (("group", "time_period"), *(("group", c) for c in COVARIATES))
+_FULL_DESIGN = _design(_FULL_PAIRS)
+_EXPLICIT_DESIGN = _design((), ("post", "treated", "post_treatment"), COVARIATES)
+
+
+def _rounded(table):
+    return table.withColumns({"t_value": F.round("t_value", 4), "p_value": F.round("p_value", 5)})
+
+
+@query(
+    "did_ols",
+    with_ctes(
+        "pathways activity observed",
+        solve.coefficients("fit", _PLAIN_DESIGN[0], robust=False),
+        use._OLS_PANEL + ",\n" + solve.least_squares("fit", "ols_panel", _PLAIN_DESIGN[1], "avg_weekly_use", "activity"),
+    ),
+)
 def did_ols(spark, sf_dir):
     """Group x period with covariates, classical errors, all activities."""
     rows = durable(_ols_rows(spark, sf_dir))
-    return regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS, by="activity").table()
+    return _rounded(regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS, by="activity").table())
+
+
+@query(
+    "did_ols_summary",
+    with_ctes(
+        "pathways activity observed",
+        """SELECT model, CAST(n AS BIGINT) AS n, CAST(p AS INTEGER) AS terms, CAST(n - p AS BIGINT) AS dof, round(r2, 6) AS r_squared,
+  round(1 - (1 - r2) * (n - 1) / (n - p), 6) AS adjusted_r_squared, round(sqrt(rss / (n - p)), 6) AS residual_error
+FROM (SELECT m.*, 1 - rss / t.tss AS r2 FROM fit_model m JOIN (SELECT activity, var_pop(avg_weekly_use) * count(*) AS tss FROM ols_panel GROUP BY 1) t ON t.activity = m.model)""",
+        use._OLS_PANEL + ",\n" + solve.least_squares("fit", "ols_panel", _PLAIN_DESIGN[1], "avg_weekly_use", "activity"),
+    ),
+)
+def did_ols_summary(spark, sf_dir):
+    """Observations, degrees of freedom and explained variance of each model."""
+    rows = durable(_ols_rows(spark, sf_dir))
+    return regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS, by="activity").summary()
 
 
-@query("did_ols_explicit")
+@query(
+    "did_ols_explicit",
+    with_ctes(
+        "pathways activity observed",
+        solve.coefficients("fit", _EXPLICIT_DESIGN[0], robust=False),
+        use._OLS_PANEL
+        + """,
+explicit AS (SELECT *, time_period AS post, CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated, time_period * CAST("group" <> '<= 18 weeks' AS INTEGER) AS post_treatment FROM ols_panel),
+"""
+        + solve.least_squares("fit", "explicit", _EXPLICIT_DESIGN[1], "avg_weekly_use", "activity"),
+    ),
+)
 def did_ols_explicit(spark, sf_dir):
     """The same with explicit post, treated and product columns as numbers."""
     panel = durable(use.ols_panel(spark, sf_dir).withColumns({"post": F.col("time_period"), "post_treatment": F.col("time_period") * F.col("treated")}))
-    return regress.ols(panel, "avg_weekly_use", COVARIATES, ["post", "treated", "post_treatment"], by="activity").table()
+    return _rounded(regress.ols(panel, "avg_weekly_use", COVARIATES, ["post", "treated", "post_treatment"], by="activity").table())
 
 
 def _interacted(rows, vcov="HC3", design=None):
-    pairs = (("group", "time_period"), *(("group", c) for c in COVARIATES))
     return regress.ols(
-        rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=pairs, by="activity", vcov=vcov, design=design
+        rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=_FULL_PAIRS, by="activity", vcov=vcov, design=design
     )
 
 
-@query("did_ols_hc3")
+@query(
+    "did_ols_hc3",
+    with_ctes(
+        "pathways activity observed",
+        solve.coefficients("fit", _FULL_DESIGN[0], robust=True),
+        use._OLS_PANEL + ",\n" + solve.least_squares("fit", "ols_panel", _FULL_DESIGN[1], "avg_weekly_use", "activity"),
+    ),
+)
 def did_ols_hc3(spark, sf_dir):
     """Group interacted with period and covariates, HC3 errors."""
-    return _interacted(durable(_ols_rows(spark, sf_dir))).table()
+    return _rounded(_interacted(durable(_ols_rows(spark, sf_dir))).table())
+
 
+_TERM_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_PLAIN_DESIGN[0]))
 
-@query("vif")
+
+@query(
+    "vif",
+    with_ctes(
+        "pathways activity observed",
+        f"""SELECT '' AS model, term AS variable, round(own * v, 6) AS vif FROM fit_inverse f
+JOIN (SELECT i, CASE WHEN i = 0 THEN sum(n) ELSE sum(n * x[i + 1] * x[i + 1]) - pow(sum(n * x[i + 1]), 2) / sum(n) END AS own
+  FROM fit_cells, range({len(_PLAIN_DESIGN[1])}) a(i) GROUP BY 1) o ON o.i = f.i
+JOIN (VALUES {_TERM_VALUES}) t(i, term) ON t.i = f.i WHERE f.i = f.j""",
+        use._OLS_PANEL + ",\n" + solve.least_squares("fit", "ols_panel", _PLAIN_DESIGN[1], "total_hc_use * 0", "0"),
+    ),
+)
 def vif(spark, sf_dir):
-    rows = durable(_ols_rows(spark, sf_dir).filter(F.col("activity") == "use_a"))
+    """All activities share the regressors, so all rows go into one design."""
+    rows = durable(_ols_rows(spark, sf_dir))
     return regress.vif(regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS))
 
 
+def _refit_sql(source):
+    """First fit, rows with a small distance, second fit."""
+    columns = _FULL_DESIGN[1]
+    return ",\n".join([
+        solve.least_squares("first", source, columns, "avg_weekly_use", "activity"),
+        solve.influence("first", source, columns, "avg_weekly_use", "activity"),
+        "kept AS MATERIALIZED (SELECT * EXCLUDE (model, x, e, h, cooks, most) FROM first_marked WHERE cooks <= most)",
+        solve.least_squares("second", "kept", columns, "avg_weekly_use", "activity"),
+        solve.influence("second", "kept", columns, "avg_weekly_use", "activity"),
+    ])
+
+
 def _refit(rows):
     """Fit, drop influential rows, fit again: the first model with its residuals, the second with its rows."""
     first = _interacted(rows)
@@ -257,7 +366,15 @@ def _refit(rows):
     return first, marked, kept, _interacted(kept)
 
 
-@query("ols_influence")
+@query(
+    "ols_influence",
+    with_ctes(
+        "pathways activity observed",
+        f"""SELECT 'all rows' AS stage, * FROM ({solve.breusch_pagan("first")})
+UNION ALL SELECT 'without influential', * FROM ({solve.breusch_pagan("second")})""",
+        use._OLS_PANEL + ",\n" + _refit_sql("ols_panel"),
+    ),
+)
 def ols_influence(spark, sf_dir):
     """Breusch-Pagan test before and after dropping rows with a large Cook's distance."""
     rows = durable(_ols_rows(spark, sf_dir))
@@ -266,25 +383,52 @@ def ols_influence(spark, sf_dir):
     after = regress.breusch_pagan(second, regress.influence(second, kept)).withColumn("stage", F.lit("without influential"))
     sizes = {"all rows": first, "without influential": second}
     counts = spark.createDataFrame([(s, k, int(f.n)) for s, mod in sizes.items() for k, f in mod.fits.items()], "stage string, model string, n bigint")
-    return before.unionByName(after).join(F.broadcast(counts), ["stage", "model"])
+    tests = before.unionByName(after).join(F.broadcast(counts), ["stage", "model"])
+    return tests.withColumns({"statistic": F.round("statistic", 4), "p_value": F.round("p_value", 5)})
 
 
 # --- matching ----------------------------------------------------------------------
 
 
-def _units(spark, sf_dir):
+def _units(spark, sf_dir, facts=None):
     """One row per pathway of the threshold design, treated when over 18 weeks."""
-    return use.threshold_sample(spark, sf_dir).select(
+    return use.threshold_sample(spark, sf_dir, facts).select(
         "pathway_id", "pid", "group", *COVARIATES, "quintile", "balance", (F.col("group") != did.CONTROL).cast("int").alias("treated")
     )
 
 
-@query("propensity")
+_CELL = (*COVARIATES, "quintile")
+# index of each level: most frequent first, then by name
+_SCORES = (
+    use._OVER
+    + """,
+units AS (SELECT *, CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated FROM over),
+"""
+    + ",\n".join(f"level_{c} AS (SELECT {c}, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i_{c} FROM units GROUP BY 1)" for c in _CELL)
+    + f""",
+counted AS MATERIALIZED (SELECT {", ".join(_CELL)}, {", ".join(f"any_value(i_{c}) AS i_{c}" for c in _CELL)}, count(*) AS w, sum(treated) AS k
+  FROM units {" ".join(f"JOIN level_{c} USING ({c})" for c in _CELL)} GROUP BY {", ".join(_CELL)}),
+"""
+    + solve.logistic("score", "counted", ["1", *[f"i_{c}" for c in _CELL]])
+    + f""",
+scores AS MATERIALIZED (SELECT {", ".join(_CELL)}, w, k, 1 / (1 + exp(-sum(beta * CASE i WHEN 0 THEN 1 {" ".join(f"WHEN {n + 1} THEN i_{c}" for n, c in enumerate(_CELL))} END))) AS score
+  FROM counted, score_beta GROUP BY ALL)"""
+)
+
+
+@query(
+    "propensity",
+    with_ctes(
+        "pathways observed",
+        f"SELECT {', '.join(_CELL)}, round(score, 5) AS propensity_score, w AS n, CAST(k AS BIGINT) AS treated FROM scores",
+        _SCORES,
+    ),
+)
 def propensity(spark, sf_dir):
     """Score per pathway, reduced to the distinct covariate cells."""
-    scored = matching.propensity(_units(spark, sf_dir), "treated", [*COVARIATES, "quintile"])
-    return scored.groupBy(*COVARIATES, "quintile").agg(
-        F.max("propensity_score").alias("propensity_score"), F.count("*").alias("n"), F.sum("treated").alias("treated")
+    scored = matching.propensity(_units(spark, sf_dir), "treated", _CELL)
+    return scored.groupBy(*_CELL).agg(
+        F.round(F.max("propensity_score"), 5).alias("propensity_score"), F.count("*").alias("n"), F.sum("treated").alias("treated")
     )
 
 
@@ -329,13 +473,33 @@ def psm_match_cells(spark, sf_dir):
     return matching.nearest_match(units.join(shares, cells))
 
 
-@query("matched_did")
+# scores that agree to nine digits are one score, whoever solved for them
+_MATCHED = (
+    _SCORES
+    + f""",
+scored AS MATERIALIZED (SELECT units.pid, treated, round(score, 9) AS score FROM units JOIN scores USING ({", ".join(_CELL)})),
+matches AS MATERIALIZED (SELECT control_pid, treated_pid FROM (
+  SELECT c.pid AS control_pid, t.pid AS treated_pid, row_number() OVER (PARTITION BY c.pid ORDER BY abs(c.score - t.score), t.pid) AS rn
+  FROM (SELECT DISTINCT pid, score FROM scored WHERE treated = 0) c
+  CROSS JOIN (SELECT score, min(pid) AS pid FROM scored WHERE treated = 1 GROUP BY score) t) WHERE rn = 1),
+{use._OLS_PANEL.removeprefix(use._OVER + ",")},
+matched AS MATERIALIZED (SELECT * FROM ols_panel WHERE pid IN (SELECT control_pid FROM matches UNION SELECT treated_pid FROM matches)),
+"""
+)
+
+
+@query(
+    "matched_did",
+    with_ctes("pathways activity observed", solve.coefficients("second", _FULL_DESIGN[0], robust=True), _MATCHED + _refit_sql("matched")),
+)
 def matched_did(spark, sf_dir):
     """Propensity score, match, matched cohort, HC3 regression without influential rows."""
-    units = _units(spark, sf_dir)
-    matches = durable(matching.nearest_match(matching.propensity(units, "treated", [*COVARIATES, "quintile"])))
-    rows = durable(matching.matched_cohort(_ols_rows(spark, sf_dir), matches))
-    return _refit(rows)[3].table()
+    facts = m.facts(spark, sf_dir)
+    scored = matching.propensity(_units(spark, sf_dir, facts), "treated", _CELL)
+    matches = durable(matching.nearest_match(scored.withColumn("propensity_score", F.round("propensity_score", 9))))
+    panel = use.ols_panel(spark, sf_dir, facts).withColumn("time_period", F.col("time_period").cast("string"))
+    rows = durable(matching.matched_cohort(panel, matches))
+    return _rounded(_refit(rows)[3].table())
 
 
 # --- special cases with a closed form, so that SQL can check the solvers ------------
@@ -370,7 +534,7 @@ def cox_ph_two_groups(spark, sf_dir):
     "propensity_one_factor",
     with_ctes(
         "pathways observed",
-        """SELECT region, round(avg(CAST("group" <> '<= 18 weeks' AS INTEGER)), 3) AS propensity_score, count(*) AS n FROM over GROUP BY 1""",
+        """SELECT region, round(avg(CAST("group" <> '<= 18 weeks' AS INTEGER)), 6) AS propensity_score, count(*) AS n FROM over GROUP BY 1""",
         use._OVER,
     ),
 )
@@ -378,7 +542,7 @@ def propensity_one_factor(spark, sf_dir):
     """With one encoded factor the fitted score is the treated share of its level."""
     scored = matching.propensity(_units(spark, sf_dir), "treated", ["region"], one_hot=True)
     return scored.groupBy("region").agg(
-        F.round(F.max("propensity_score"), 3).alias("propensity_score"), F.count("*").alias("n")
+        F.max("propensity_score").alias("propensity_score"), F.count("*").alias("n")
     )
 
 

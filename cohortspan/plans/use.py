@@ -50,26 +50,35 @@ def wide_utilisation(spark, sf_dir):
 _LABELS = {"3m_before": "3m_before", "waiting_time": "while_waiting", "3m_after": "3m_after"}
 
 
-@query(
-    "period_stats",
-    with_ctes(
-        "pathways activity",
-        """SELECT variable, value, utilisation_type, time_period, count(v) AS pathway_count, sum(v)::BIGINT AS sum,
+def _period_stats_sql(table: str) -> str:
+    return """SELECT variable, value, utilisation_type, time_period, count(v) AS pathway_count, sum(v)::BIGINT AS sum,
   round(avg(v), 2) AS mean, quantile_disc(v, 0.5) AS median, round(stddev_samp(v), 2) AS stddev,
   quantile_disc(v, 0.75) - quantile_disc(v, 0.25) AS iqr,
   CASE WHEN time_period = 'while_waiting' THEN round(sum(wt) / 7, 2) ELSE CAST(count(v) * 13 AS DOUBLE) END AS pathway_weeks
-FROM ("""
-        + stack(
-            f"SELECT variable, value, '{c}' AS utilisation_type, '{label}' AS time_period, {c}_{name} AS v, wt FROM long"
-            for name, label in _LABELS.items()
-            for c in MEASURES
-        )
-        + ") GROUP BY 1, 2, 3, 4",
-        _WIDE + ",\nlong AS (" + unpivot_sql("wide", SEVEN, "wide.* EXCLUDE (" + ", ".join(SEVEN) + ")") + ")",
+FROM (""" + stack(
+        f"SELECT variable, value, '{c}' AS utilisation_type, '{label}' AS time_period, {c}_{name} AS v, wt FROM {table}"
+        for name, label in _LABELS.items()
+        for c in MEASURES
+    ) + ") GROUP BY 1, 2, 3, 4"
+
+
+@query(
+    "period_stats",
+    with_ctes(
+        "pathways activity", _period_stats_sql("long"), _WIDE + ",\nlong AS (" + unpivot_sql("wide", SEVEN, "wide.* EXCLUDE (" + ", ".join(SEVEN) + ")") + ")"
     ),
 )
 def period_stats(spark, sf_dir):
-    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=50_000)
+    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, accuracy=50_000, counted=m.USES)
+
+
+@query(
+    "period_stats_by_band",
+    with_ctes("pathways activity", _period_stats_sql("long"), _WIDE + ",\nlong AS (" + unpivot_sql("wide", ["group"], "wide.* EXCLUDE (\"group\")").replace("CAST(group", 'CAST("group"') + ")"),
+)
+def period_stats_by_band(spark, sf_dir):
+    """The same statistics by wait band."""
+    return utilisation.period_stats(wide(spark, sf_dir), ["group"], MEASURES, accuracy=50_000, counted=m.USES)
 
 
 _RATE_LABELS = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}
@@ -104,8 +113,7 @@ FROM (SELECT *, CASE WHEN time_period = 'during waiting' THEN wt ELSE 91 END AS
     ),
 )
 def utilisation_rate(spark, sf_dir):
-    long = utilisation.unpivot_utilisation(wide(spark, sf_dir), m.USES, ["pathway_id", "group", "wt"])
-    return utilisation.utilisation_rate(long, ["group"])
+    return utilisation.utilisation_rate(wide(spark, sf_dir), m.USES, ["group"])
 
 
 # --- samples ----------------------------------------------------------------
@@ -121,21 +129,22 @@ sample AS (SELECT alive.*, wt + 28 + wt AS max_time_covered, stop_date + 28 + wt
 SAMPLE_PARTS = "pathways exits observed"
 
 
-def alive(spark, sf_dir):
+def alive(spark, sf_dir, facts):
     """Waits over 72 days without an exit up to the end of follow-up."""
     waits = cohort.with_bounds(m.pathways(spark, sf_dir).filter("wt > 72"))
-    linked = waits.join(m.exits(spark, sf_dir), "pid", "left")
+    linked = waits.join(m.exits(spark, sf_dir, facts), "pid", "left")
     return cohort.survived(linked).drop("washout_end", "follow_up_end", "washout_end_days", "follow_up_end_days", "exit_date")
 
 
-def sample(spark, sf_dir):
-    return did.did_sample(alive(spark, sf_dir), periods.own_wait(), m.observed_until(spark, sf_dir))
+def sample(spark, sf_dir, facts):
+    return did.did_sample(alive(spark, sf_dir, facts), periods.own_wait(), m.observed_until(spark, sf_dir, facts))
 
 
 def panel(spark, sf_dir, keep=did.PANEL_KEYS):
+    facts = m.facts(spark, sf_dir)
     # the sample feeds both the days asked for and the rows that ask
-    chosen = durable(sample(spark, sf_dir).select(*keep, "periods"))
-    return did.did_panel(chosen, m.activity(spark, sf_dir), MEASURES, keep)
+    chosen = durable(sample(spark, sf_dir, facts).select(*keep, "periods"))
+    return did.did_panel(chosen, facts, MEASURES, keep)
 
 
 @query(
@@ -149,8 +158,9 @@ WHERE "group" IN ('<= 18 weeks', '19-30 weeks')""",
 )
 def did_sample(spark, sf_dir):
     """One comparison: the control group and one intervention group."""
+    facts = m.facts(spark, sf_dir)
     one = did.did_sample(
-        alive(spark, sf_dir), periods.own_wait(), m.observed_until(spark, sf_dir), (did.CONTROL, did.INTERVENTIONS[0])
+        alive(spark, sf_dir, facts), periods.own_wait(), m.observed_until(spark, sf_dir, facts), (did.CONTROL, did.INTERVENTIONS[0])
     )
     return one.select("pathway_id", "pid", "tfc", "group", "wt", "max_time_covered", "follow_up_end")
 
@@ -164,7 +174,7 @@ def did_sample(spark, sf_dir):
     ),
 )
 def did_sample_all(spark, sf_dir):
-    return sample(spark, sf_dir).groupBy("group").agg(
+    return sample(spark, sf_dir, m.facts(spark, sf_dir)).groupBy("group").agg(
         F.count("*").alias("pathways"), F.count_distinct("pid").alias("patients"), F.sum("max_time_covered").alias("days")
     )
 
@@ -178,7 +188,9 @@ def did_sample_all(spark, sf_dir):
     ),
 )
 def not_in_did(spark, sf_dir):
-    rest = cohort.not_in(alive(spark, sf_dir), sample(spark, sf_dir))
+    facts = m.facts(spark, sf_dir)
+    rows = durable(alive(spark, sf_dir, facts))
+    rest = cohort.not_in(rows, did.did_sample(rows, periods.own_wait(), m.observed_until(spark, sf_dir, facts)))
     return rest.groupBy("group").agg(F.count("*").alias("pathways"), F.min("wt").alias("shortest"), F.max("wt").alias("longest"))
 
 
@@ -236,7 +248,8 @@ def did_sample_fixed(spark, sf_dir):
     specs["stop_date"] = periods.stop_date_cut(210, 28, 168)
     specs["inclusive"] = periods.own_wait_inclusive(28)
     pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "pid", "start_date", "stop_date", "wt", "group"))
-    act, until = m.activity(spark, sf_dir), m.observed_until(spark, sf_dir)
+    act = m.facts(spark, sf_dir)
+    until = m.observed_until(spark, sf_dir, act)
     rows = None
     for name, spec in specs.items():
         part = periods.explode_periods(did.did_sample(pw, spec, until), ["pathway_id", "pid"]).withColumn("design", F.lit(name))
@@ -252,10 +265,10 @@ _OVER = """over AS (SELECT pathways.* EXCLUDE ("group"), CASE WHEN wt <= 126 THE
   FROM pathways, observed WHERE wt > 84 AND least(stop_date, start_date + 85) + 360 <= last_day)"""
 
 
-def threshold_sample(spark, sf_dir, follow_up=360):
+def threshold_sample(spark, sf_dir, facts=None, follow_up=360):
     pw = m.pathways(spark, sf_dir).filter("wt > 84").withColumn("group", b.band("wt", b.WAIT_2))
     spec = periods.threshold(85, follow_up, complete="pathway")
-    chosen = did.did_sample(pw, spec, m.observed_until(spark, sf_dir), (did.CONTROL, "> 18 weeks"))
+    chosen = did.did_sample(pw, spec, m.observed_until(spark, sf_dir, facts), (did.CONTROL, "> 18 weeks"))
     return durable(chosen.select("pathway_id", "pid", "group", "wt", "sex", "region", "ltc", "quintile", "balance", "periods"))
 
 
@@ -264,7 +277,8 @@ def threshold_sample(spark, sf_dir, follow_up=360):
     with_ctes("pathways activity observed", _long_periods(_THRESHOLD_SPEC), _OVER),
 )
 def did_sample_threshold(spark, sf_dir):
-    rows = periods.period_totals(threshold_sample(spark, sf_dir), m.activity(spark, sf_dir), MEASURES, ["pathway_id", "pid"])
+    facts = m.facts(spark, sf_dir)
+    rows = periods.period_totals(threshold_sample(spark, sf_dir, facts), facts, MEASURES, ["pathway_id", "pid"])
     return rows.select("pathway_id", "time_period", *MEASURES)
 
 
@@ -279,10 +293,9 @@ ols_panel AS (SELECT pid, "group", sex, region, ltc, time_period, activity, tota
 )
 
 
-def ols_panel(spark, sf_dir):
-    return did.did_ols_panel(
-        threshold_sample(spark, sf_dir), m.activity(spark, sf_dir), MEASURES, ["sex", "region", "ltc"], (372, 372)
-    )
+def ols_panel(spark, sf_dir, facts=None):
+    facts = m.facts(spark, sf_dir) if facts is None else facts
+    return did.did_ols_panel(threshold_sample(spark, sf_dir, facts), facts, MEASURES, ["sex", "region", "ltc"], (372, 372))
 
 
 @query(
@@ -440,12 +453,16 @@ _BINARY_TOTALS = _long_periods(
 @query("did_binary", with_ctes(PANEL_PARTS, _totals_sql(False), _BINARY.format(totals=_BINARY_TOTALS)))
 def did_binary(spark, sf_dir):
     """Six months of follow-up after the washout; days with any use instead of counts."""
+    return did.did_totals(binary_panel(spark, sf_dir), m.USES)
+
+
+def binary_panel(spark, sf_dir):
+    facts = m.facts(spark, sf_dir)
     spec = periods.own_wait(follow_up=180)
     waits = cohort.with_bounds(m.pathways(spark, sf_dir).filter("wt > 72"), follow_up=180)
-    kept = cohort.survived(waits.join(m.exits(spark, sf_dir), "pid", "left")).drop("washout_end", "follow_up_end", "exit_date")
-    chosen = durable(did.did_sample(kept, spec, m.observed_until(spark, sf_dir)).select(*did.PANEL_KEYS, "periods"))
-    rows = did.did_panel(chosen, did.binarise(m.activity(spark, sf_dir), m.USES), m.USES)
-    return did.did_totals(rows, m.USES)
+    kept = cohort.survived(waits.join(m.exits(spark, sf_dir, facts), "pid", "left")).drop("washout_end", "follow_up_end", "exit_date")
+    chosen = durable(did.did_sample(kept, spec, m.observed_until(spark, sf_dir, facts)).select(*did.PANEL_KEYS, "periods"))
+    return did.did_panel(chosen, did.binarise(facts, m.USES), m.USES)
 
 
 _TWO = """two AS (SELECT panel.* EXCLUDE ("group"), CASE WHEN max_time_covered <= 2 * 126 + 28 THEN '<= 18 weeks' ELSE '> 18 weeks' END AS "group"
@@ -475,16 +492,123 @@ compared AS (SELECT '> 18 weeks' AS comparison, activity, pid, max_time_covered,
 )
 def did_results_two_groups(spark, sf_dir):
     """Up to against over 18 weeks, weekly use."""
-    pw = alive(spark, sf_dir).withColumn("group", b.band("wt", b.WAIT_2))
-    chosen = did.did_sample(pw, periods.own_wait(), m.observed_until(spark, sf_dir), groups=None)
-    rows = did.did_panel(durable(chosen.select(*did.PANEL_KEYS, "periods")), m.activity(spark, sf_dir), MEASURES)
-    results = did.did_results(rows, MEASURES, "avg_weekly_use", p_values=False, interventions=("> 18 weeks",))
+    results = did.did_results(two_group_panel(spark, sf_dir), MEASURES, "avg_weekly_use", p_values=False, interventions=("> 18 weeks",))
     return results.select(
         "activity", "comparison", "control_patients", "treated_patients", "control_person_weeks", "treated_person_weeks", "total_excess",
         "excess_per_100_month", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"),
     )
 
 
+def two_group_panel(spark, sf_dir):
+    facts = m.facts(spark, sf_dir)
+    pw = alive(spark, sf_dir, facts).withColumn("group", b.band("wt", b.WAIT_2))
+    chosen = did.did_sample(pw, periods.own_wait(), m.observed_until(spark, sf_dir, facts), groups=None)
+    return did.did_panel(durable(chosen.select(*did.PANEL_KEYS, "periods")), facts, MEASURES)
+
+
+_RESULT_COLUMNS = """activity, comparison, control_patients, treated_patients, control_reference_use, treated_reference_use,
+  control_intervention_use, treated_intervention_use, control_person_weeks, treated_person_weeks, total_excess"""
+
+
+def _result_table(results, digits, *more):
+    named = [c.strip() for c in _RESULT_COLUMNS.split(",")]
+    return results.select(*named, *more, F.round("coef", digits).alias("coef"), F.round("se", digits).alias("se"))
+
+
+@query(
+    "did_results_averages",
+    with_ctes(
+        PANEL_PARTS,
+        f"""SELECT {_RESULT_COLUMNS}, excess_per_100_month, round(coef, 5) AS coef, round(se, 5) AS se
+FROM totals JOIN twfe USING (activity, comparison)""",
+        _PANEL + ",\n" + _TWFE.format(y="avg_weekly_use") + f",\ntotals AS ({_totals_sql(True)})",
+    ),
+)
+def did_results_averages(spark, sf_dir):
+    """Use per person-week of the three comparisons, with estimates of weekly use."""
+    results = did.did_results(panel(spark, sf_dir), MEASURES, "avg_weekly_use", p_values=False)
+    return _result_table(results, 5, "excess_per_100_month")
+
+
+@query(
+    "did_results_binary",
+    with_ctes(
+        PANEL_PARTS,
+        f"""SELECT {_RESULT_COLUMNS}, round(coef, 4) AS coef, round(se, 4) AS se FROM totals JOIN twfe USING (activity, comparison)""",
+        _BINARY.format(totals=_BINARY_TOTALS) + ",\n" + _TWFE.format(y="total_hc_use") + f",\ntotals AS ({_totals_sql(False)})",
+    ),
+)
+def did_results_binary(spark, sf_dir):
+    """Days with any use, six months of follow-up, totals with estimates."""
+    return _result_table(did.did_results(binary_panel(spark, sf_dir), m.USES, p_values=False), 4)
+
+
+@query(
+    "did_results_two_groups_totals",
+    with_ctes(
+        PANEL_PARTS,
+        f"""SELECT {_RESULT_COLUMNS}, round(coef, 4) AS coef, round(se, 4) AS se FROM totals JOIN twfe USING (activity, comparison)""",
+        _TWO_PARTS.replace(_TWFE.format(y="avg_weekly_use"), _TWFE.format(y="total_hc_use")).replace(_totals_sql(True), _totals_sql(False)),
+    ),
+)
+def did_results_two_groups_totals(spark, sf_dir):
+    """Up to against over 18 weeks, totals with estimates."""
+    return _result_table(did.did_results(two_group_panel(spark, sf_dir), MEASURES, p_values=False, interventions=("> 18 weeks",)), 4)
+
+
+_ERRORS = """rows AS (SELECT demeaned.*, model.coef, (py - coef * dp) / pp AS gamma, slope, d_d, n_obs, n_entities
+  FROM demeaned JOIN model USING (activity, comparison))"""
+
+
+def _twfe_error_sql(variance: str) -> str:
+    return f"""SELECT activity, comparison, round(any_value(coef), 6) AS coef, round(sqrt({variance}), 6) AS se FROM rows GROUP BY 1, 2"""
+
+
+@query(
+    "did_twfe_iid",
+    with_ctes(
+        PANEL_PARTS,
+        _twfe_error_sql("sum(pow(y - coef * d - gamma * p, 2)) / (any_value(n_obs) - any_value(n_entities) - 2) / any_value(d_d)"),
+        _PANEL + ",\n" + _TWFE.format(y="avg_weekly_use") + ",\n" + _ERRORS,
+    ),
+)
+def did_twfe_iid(spark, sf_dir):
+    """The estimate with classical errors."""
+    return did.did_twfe(panel(spark, sf_dir), MEASURES, vcov="iid").select("activity", "comparison", "coef", "se")
+
+
+@query(
+    "did_twfe_hc1",
+    with_ctes(
+        PANEL_PARTS,
+        _twfe_error_sql(
+            "any_value(n_obs) / (any_value(n_obs) - any_value(n_entities) - 2)"
+            " * sum(pow((d - slope * p) * (y - coef * d - gamma * p), 2)) / pow(any_value(d_d), 2)"
+        ),
+        _PANEL + ",\n" + _TWFE.format(y="avg_weekly_use") + ",\n" + _ERRORS,
+    ),
+)
+def did_twfe_hc1(spark, sf_dir):
+    """The estimate with heteroscedasticity-robust errors."""
+    return did.did_twfe(panel(spark, sf_dir), MEASURES, vcov="HC1").select("activity", "comparison", "coef", "se")
+
+
+@query(
+    "did_panel_own_period",
+    with_ctes(
+        PANEL_PARTS,
+        """SELECT pid, tfc, CAST(start_date AS VARCHAR) AS start_date, CAST(time_period AS INTEGER) AS time_period, activity,
+  round(total_hc_use / CAST(CASE WHEN time_period = 1 THEN max_time_covered - wt - 28 ELSE wt + 1 END AS DOUBLE) * 7, 6) AS avg_weekly_use
+FROM (SELECT long_panel.*, (max_time_covered - 28) // 2 AS wt FROM long_panel)""",
+        _PANEL,
+    ),
+)
+def did_panel_own_period(spark, sf_dir):
+    """Weekly use with each period divided by its own days."""
+    long = did.long_panel(panel(spark, sf_dir, (*did.PANEL_KEYS,)), MEASURES, denominator="period")
+    return long.select("pid", "tfc", "start_date", "time_period", "activity", "avg_weekly_use")
+
+
 @query(
     "did_ols_panel_pathway",
     with_ctes(
@@ -498,8 +622,9 @@ JOIN (SELECT pathway_id, "group", sex, region FROM over) USING (pathway_id)""",
 )
 def did_ols_panel_pathway(spark, sf_dir):
     """Pathway grain, 600 days after the threshold, each period over its own days."""
+    facts = m.facts(spark, sf_dir)
     return did.did_ols_panel(
-        threshold_sample(spark, sf_dir, 600), m.activity(spark, sf_dir), MEASURES, ["sex", "region"], (85, 600), grain=["pathway_id"]
+        threshold_sample(spark, sf_dir, facts, 600), facts, MEASURES, ["sex", "region"], (85, 600), grain=["pathway_id"]
     )
 
 
@@ -531,9 +656,10 @@ def did_ols_panel_pathway(spark, sf_dir):
     ),
 )
 def excess_usage(spark, sf_dir):
-    chosen = did.did_sample(m.pathways(spark, sf_dir), periods.own_wait_inclusive(), m.observed_until(spark, sf_dir))
+    facts = m.facts(spark, sf_dir)
+    chosen = did.did_sample(m.pathways(spark, sf_dir), periods.own_wait_inclusive(), m.observed_until(spark, sf_dir, facts))
     chosen = durable(chosen.select(*did.PANEL_KEYS, "periods"))
-    return did.excess_usage(did.did_panel(chosen, m.activity(spark, sf_dir), MEASURES), MEASURES)
+    return did.excess_usage(did.did_panel(chosen, facts, MEASURES), MEASURES)
 
 
 _HISTORY = f"""history AS (SELECT s."group", s.pid, s.period, s.pathway_id, CAST(s.hi - s.lo + 1 AS BIGINT) AS days, coalesce(sum(use_a), 0)::BIGINT AS use_a
@@ -546,9 +672,10 @@ _HISTORY = f"""history AS (SELECT s."group", s.pid, s.period, s.pathway_id, CAST
 
 
 def history(spark, sf_dir):
-    seen = (m.observed_from(spark, sf_dir), m.observed_until(spark, sf_dir))
+    facts = m.facts(spark, sf_dir)
+    seen = (m.observed_from(spark, sf_dir, facts), m.observed_until(spark, sf_dir, facts))
     pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "pid", "group", "start_date", "stop_date", "wt"))
-    return utilisation.history_totals(pw, m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid", "group"], seen)
+    return utilisation.history_totals(pw, facts, "use_a", ["pathway_id", "pid", "group"], seen)
 
 
 @query(
@@ -622,37 +749,49 @@ JOIN (SELECT pathway_id, pid, "group", max_time_covered FROM sample) USING (path
     ),
 )
 def placebo_panel(spark, sf_dir):
-    chosen = did.did_sample(alive(spark, sf_dir), periods.placebo(), m.observed_until(spark, sf_dir))
+    facts = m.facts(spark, sf_dir)
+    chosen = did.did_sample(alive(spark, sf_dir, facts), periods.placebo(), m.observed_until(spark, sf_dir, facts))
     chosen = durable(chosen.select("pid", "group", "max_time_covered", "periods"))
-    return did.placebo_panel(chosen, m.activity(spark, sf_dir), MEASURES)
+    return did.placebo_panel(chosen, facts, MEASURES)
 
 
-_WEEKLY = f"""weekly AS (SELECT *, use / (wt / 7) AS weekly_use FROM (
-  SELECT sex, age_band, quintile, region, ltc, s.pid, tfc, start_date, wt, coalesce(sum(use_a), 0)::BIGINT AS use FROM sample s
-  LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN start_date AND follow_up_end GROUP BY ALL)),
+def _weekly_sql(measure: str, lo: str, days: str) -> str:
+    return f"""weekly AS (SELECT *, use / ({days} / 7) AS weekly_use FROM (
+  SELECT sex, age_band, quintile, region, ltc, s.pid, tfc, start_date, wt, coalesce(sum({measure}), 0)::BIGINT AS use FROM sample s
+  LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN {lo} AND follow_up_end GROUP BY ALL)),
 labelled AS (SELECT *, CASE WHEN weekly_use >= (SELECT quantile_disc(weekly_use, 0.9) FROM weekly) THEN 'Top 10%' ELSE 'Bottom 90%' END AS usage_group
   FROM weekly)"""
 
 
-def labelled_users(spark, sf_dir):
-    """Weekly use over wait, washout and after period; the top tenth labelled."""
-    keep = [*FIVE, "pid", "tfc", "start_date", "wt"]
-    rows = durable(sample(spark, sf_dir).select(*keep, F.col("start_date").alias("lo"), F.col("follow_up_end").alias("hi")))
-    totals = periods.interval_totals(rows, m.activity(spark, sf_dir), ["pid"], "lo", "hi", ["use_a"])
-    return association.high_users(association.weekly_use(totals, "use_a", [k for k in keep if k != "wt"]), accuracy=100_000)
-
-
-@query(
-    "high_users",
-    with_ctes(
-        PANEL_PARTS,
-        f"""SELECT variable, value, count(*) AS total, count(*) FILTER (usage_group = 'Bottom 90%') AS bottom_90,
+_WEEKLY = _weekly_sql("use_a", "start_date", "wt")
+_HIGH = f"""SELECT variable, value, count(*) AS total, count(*) FILTER (usage_group = 'Bottom 90%') AS bottom_90,
   count(*) FILTER (usage_group = 'Top 10%') AS top_10,
   round(count(*) FILTER (usage_group = 'Bottom 90%') / count(*) * 100, 6) AS bottom_90_percentage,
   round(count(*) FILTER (usage_group = 'Top 10%') / count(*) * 100, 6) AS top_10_percentage
-FROM ({unpivot_sql('labelled', FIVE, 'usage_group')}) GROUP BY 1, 2""",
-        _SAMPLE + ",\n" + _WEEKLY,
-    ),
-)
+FROM ({unpivot_sql('labelled', FIVE, 'usage_group')}) GROUP BY 1, 2"""
+
+
+def labelled_users(spark, sf_dir, measure="use_a", after=False):
+    """Weekly use over wait, washout and after period, or the after period alone; the top tenth labelled."""
+    facts = m.facts(spark, sf_dir)
+    keep = [*FIVE, "pid", "tfc", "start_date", "wt"]
+    lo = F.date_add("stop_date", 28) if after else F.col("start_date")
+    rows = durable(sample(spark, sf_dir, facts).select(*keep, lo.alias("lo"), F.col("follow_up_end").alias("hi")))
+    totals = periods.interval_totals(rows, facts, ["pid"], "lo", "hi", [measure])
+    return association.high_users(association.weekly_use(totals, measure, [k for k in keep if k != "wt"]))
+
+
+@query("high_users", with_ctes(PANEL_PARTS, _HIGH, _SAMPLE + ",\n" + _WEEKLY))
 def high_users(spark, sf_dir):
     return association.high_user_table(labelled_users(spark, sf_dir), FIVE)
+
+
+@query("high_users_second_measure", with_ctes(PANEL_PARTS, _HIGH, _SAMPLE + ",\n" + _weekly_sql("use_n", "start_date", "wt")))
+def high_users_second_measure(spark, sf_dir):
+    return association.high_user_table(labelled_users(spark, sf_dir, "use_n"), FIVE)
+
+
+@query("high_users_after", with_ctes(PANEL_PARTS, _HIGH, _SAMPLE + ",\n" + _weekly_sql("use_a", "stop_date + 28", "wt")))
+def high_users_after(spark, sf_dir):
+    """Weekly use in the after period alone, which is as long as the wait."""
+    return association.high_user_table(labelled_users(spark, sf_dir, after=True), FIVE)

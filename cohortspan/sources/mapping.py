@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspan.functions import bands as b
+from cohortspan.session import durable
 
 USES = ("use_a", "use_n", "use_r")
 COSTS = ("cost_a", "cost_n", "cost_r")
@@ -137,25 +138,31 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observed_until(spark: SparkSession, sf_dir: str) -> Column:
-    """Last observed day as a scalar subquery."""
-    return table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").cast("date")).scalar()
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`activity`, stored: what a query reads of it, and the exits and observed days that
+    follow from it, come from one pass over the line items."""
+    return durable(activity(spark, sf_dir))
 
 
-def observed_from(spark: SparkSession, sf_dir: str) -> Column:
+def _days(spark: SparkSession, sf_dir: str, facts: DataFrame | None) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")) if facts is None else facts
+
+
+def observed_until(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> Column:
+    """Last observed day as a scalar subquery; of ``facts`` where a query has them."""
+    return _days(spark, sf_dir, facts).agg(F.max("day")).scalar()
+
+
+def observed_from(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> Column:
     """First observed day as a scalar subquery."""
-    return table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").cast("date")).scalar()
+    return _days(spark, sf_dir, facts).agg(F.min("day")).scalar()
 
 
-def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exits(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
     """Exit ("death") date: the last activity of customers with a negative balance."""
     leavers = table(spark, sf_dir, "customer").filter("c_acctbal < 0").selectExpr("c_custkey as pid")
-    return (
-        line_activity(spark, sf_dir)
-        .join(leavers, "pid", "left_semi")
-        .groupBy("pid")
-        .agg(F.max("day").alias("exit_date"))
-    )
+    days = line_activity(spark, sf_dir) if facts is None else facts
+    return days.join(leavers, "pid", "left_semi").groupBy("pid").agg(F.max("day").alias("exit_date"))
 
 
 def attendances(spark: SparkSession, sf_dir: str) -> DataFrame:
