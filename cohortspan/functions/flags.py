@@ -12,32 +12,17 @@ KNOWN_STATUS = (30, 31, 32, 33, 34, 35, 36, 99)
 MISSED_MARK = "dna"
 PATIENT_CANCEL_MARK = "cancel(pat)"
 HOSPITAL_CANCEL_MARK = "cancel(hos)"
-PATIENT_CANCEL_CODES = ("WH50A",)
-HOSPITAL_CANCEL_CODES = ("WH50B",)
-DRUG_CHAPTERS = {"antidepressant": "0403", "pain": "0407", "antibiotic": "050101"}
-SICK_NOTE_CODES = (
-    "751641000000105",
-    "751621000000103",
-    "751601000000107",
-    "751481000000104",
-    "775351000000103",
-    "775321000000108",
-    "775301000000104",
-    "775281000000100",
-    "775261000000109",
-    "775241000000108",
-    "775221000000101",
-    "751751000000104",
-    "751731000000106",
-    "1341000000107",
-    "5121000000100",
-    "1351000000105",
-    "1321000000100",
-    "1331000000103",
-    "14241000000101",
-    "165801000000106",
-    "374171000000109",
-    "925481000000108",
+OUTCOMES = (
+    "treatment_admitted",
+    "treatment_non_admitted",
+    "non_treatment_monitoring",
+    "non_treatment_patient_declines",
+    "non_treatment_decision_not_to_treat",
+    "non_treatment_dna",
+    "non_treatment_other",
+    "non_treatment_death",
+    "unknown",
+    "unknown_imputed_end",
 )
 # --- end of fixed values ---
 
@@ -50,18 +35,19 @@ def outcome_conditions(status: str = "status", change_type: str = "change_type",
     """
     code = F.col(status)
     admitted = F.col(change_type).contains(ADMITTED_MARK)
-    return {
-        "treatment_admitted": (code == 30) & admitted,
-        "treatment_non_admitted": (code == 30) & ~admitted,
-        "non_treatment_monitoring": code.isin(31, 32),
-        "non_treatment_patient_declines": code == 35,
-        "non_treatment_decision_not_to_treat": code == 34,
-        "non_treatment_dna": code == 33,
-        "non_treatment_other": ~code.isin(*KNOWN_STATUS),
-        "non_treatment_death": code == 36,
-        "unknown": code == 99,
-        "unknown_imputed_end": (code == 99) & (F.col(end_type) == IMPUTED_END),
-    }
+    tests = (
+        (code == 30) & admitted,
+        (code == 30) & ~admitted,
+        code.isin(31, 32),
+        code == 35,
+        code == 34,
+        code == 33,
+        ~code.isin(*KNOWN_STATUS),
+        code == 36,
+        code == 99,
+        (code == 99) & (F.col(end_type) == IMPUTED_END),
+    )
+    return dict(zip(OUTCOMES, tests, strict=True))
 
 
 def outcome_reason(**columns: str) -> Column:
@@ -87,8 +73,3 @@ def list_type(change_type: str = "change_type") -> Column:
 def contains_label(column: str, mark: str) -> Column:
     """Readable two-way split on a text mark."""
     return F.when(F.col(column).contains(mark), f"Contains {mark}").otherwise(f"Does not contain {mark}")
-
-
-def presence(column: str) -> Column:
-    """1 when there was any activity, else 0."""
-    return F.when(F.col(column) > 0, 1).otherwise(0)

@@ -57,10 +57,6 @@ def exclude_priority(df: DataFrame, level: str, column: str = "priority", keep_o
     return df.filter(same if keep_only else ~same)
 
 
-def extreme_waiters(df: DataFrame, days: int = 356 * 2) -> DataFrame:
-    return df.filter(is_extreme(days))
-
-
 def survived(df: DataFrame, exit_date: str = "exit_date", end: str = "follow_up_end") -> DataFrame:
     """Rows without an exit up to the end of follow-up."""
     return df.filter(F.col(exit_date).isNull() | (F.col(exit_date) > F.col(end)))

@@ -13,14 +13,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspan.functions.bands import null_to_unknown
 from cohortspan.functions.tails import chi2_p, normal_two_sided
 from cohortspan.session import durable
 
 
+_Z = 1.959963984540054
+
+
+def _whole(df: DataFrame, time: str) -> None:
+    """The calendar bounds the risk table only if times are whole numbers."""
+    if not isinstance(df.schema[time].dataType, T.IntegralType):
+        raise ValueError(f"{time!r} must be a whole number of days")
+
+
 def risk_table(df: DataFrame, time: str, event: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Per group and time: events, censored, and the number at risk."""
+    """Per group and time: events, censored, and the number at risk.
+
+    Times are whole units (days), so a group has at most one row per unit of the calendar.
+    """
+    _whole(df, time)
     counted = (
         df.filter(F.col(time).isNotNull())
         .groupBy(*groups, F.col(time).alias("time"))
@@ -32,20 +46,43 @@ def risk_table(df: DataFrame, time: str, event: str, groups: Sequence[str] = ())
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Product-limit survival after each observed time."""
+    """Product-limit survival after each observed time, with a 95 % interval.
+
+    ``std_error`` is Greenwood's; the interval is that of log(-log S), which stays between 0
+    and 1, and is null where the curve is at 1 or 0.
+    """
     risk = risk_table(df, time, event, groups)
     keys = list(groups) or [F.lit(1)]
     upto = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     all_gone = F.col("events") == F.col("at_risk")
     step = F.when(all_gone, 0.0).otherwise(F.log1p(-F.col("events") / F.col("at_risk")))
-    return risk.withColumn(
-        "survival",
-        F.when(F.max(all_gone.cast("int")).over(upto) == 1, 0.0).otherwise(F.exp(F.sum(step).over(upto))),
+    left = F.col("at_risk") - F.col("events")
+    part = F.when(~all_gone, F.col("events") / (F.col("at_risk").cast("double") * left))
+    curve = risk.withColumns(
+        {
+            "survival": F.when(F.max(all_gone.cast("int")).over(upto) == 1, 0.0).otherwise(F.exp(F.sum(step).over(upto))),
+            "_greenwood": F.sum(part).over(upto),
+        }
     )
+    inside = (F.col("survival") > 0) & (F.col("survival") < 1)
+    spread = F.when(inside, _Z * F.sqrt("_greenwood") / F.log("survival"))
+    return curve.withColumns(
+        {
+            "std_error": F.when(F.col("survival") > 0, F.col("survival") * F.sqrt("_greenwood")),
+            "ci_low": F.pow("survival", F.exp(-spread)),
+            "ci_high": F.pow("survival", F.exp(spread)),
+        }
+    ).drop("_greenwood")
+
+
+def median_survival(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """First time at which the curve is at or below one half; null if it stays above."""
+    return curve.groupBy(*groups).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str, pair: tuple[str, str], p_values: bool = True) -> DataFrame:
     """Two-sample log-rank test of the first against the second group."""
+    _whole(df, time)
     first, second = pair
     chosen = df.filter(F.col(group).isin(first, second) & F.col(time).isNotNull())
     is_first = F.col(group) == first
@@ -135,6 +172,7 @@ def cox_ph(
     estimates of the others alone: it is listed as dropped and its rows are left out. The
     reference must have events.
     """
+    _whole(df, time)
     label = null_to_unknown(factor)
     found = df.filter(label.isin(*levels) & F.col(time).isNotNull()).groupBy(label.alias("level")).agg(F.sum(F.col(event).cast("long")).alias("events")).collect()
     events = {r["level"]: r["events"] or 0 for r in found}

@@ -203,10 +203,8 @@ def report_layout(counts: DataFrame, categories: dict[str, Sequence[str]], keep:
         lines += [(variable, None, variable), *((variable, value, value) for value in values)]
     rows = [(i, *line) for i, line in enumerate(lines)]
     frame = counts.sparkSession.createDataFrame(rows, "ord int, variable string, value string, label string")
-    # the layout has one row per printed line
     return (
-        F.broadcast(frame)
-        .join(counts.select("variable", "value", *keep), ["variable", "value"], "left")
+        frame.join(counts.select("variable", "value", *keep), ["variable", "value"], "left")
         .filter(F.col("value").isNull() | F.col(keep[0]).isNotNull())
         .select("ord", "variable", "label", *keep)
     )

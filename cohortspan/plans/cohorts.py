@@ -12,6 +12,7 @@ from cohortspan.operators import cohort, events, tables
 from cohortspan.plans.base import FRAILTY_LEVELS, case_sql, query, with_ctes
 from cohortspan.sources import mapping as m
 from cohortspan.sources.lookups import CENSUS_SHARE, SPECIALTY_ROWS, specialty_lookup
+from cohortspan.sources.tables import read_parquet
 
 KEY = ("pathway_id", "pid")
 DATES = "CAST(start_date AS VARCHAR) AS start_date, CAST(stop_date AS VARCHAR) AS stop_date"
@@ -39,9 +40,27 @@ def wait_band_granular(spark, sf_dir):
 _SCHEMES = {f"band_{name}": bands for name, bands in b.WAIT_BANDS.items()}
 
 
+# the edges once more, on their own, so that a wrong one in the bands shows
+_EDGES = {
+    "band_2": "CASE WHEN wt <= 126 THEN '<= 18 weeks' ELSE '> 18 weeks' END",
+    "band_3": "CASE WHEN wt <= 84 THEN '<= 12 weeks' WHEN wt <= 126 THEN '<= 18 weeks' ELSE '> 18 weeks' END",
+    "band_4": "CASE WHEN wt <= 126 THEN '<= 18 weeks' WHEN wt <= 252 THEN '> 18 weeks' WHEN wt <= 364 THEN '> 36 weeks' ELSE '> 52 weeks' END",
+    "band_5": "CASE WHEN wt <= 72 THEN '<= 6 weeks' WHEN wt <= 126 THEN '<= 18 weeks' WHEN wt <= 210 THEN '19-30 weeks'"
+    " WHEN wt <= 294 THEN '31-42 weeks' ELSE '> 42 weeks' END",
+    "band_6": "CASE WHEN wt <= 84 THEN '<= 12 weeks' WHEN wt <= 126 THEN '<= 18 weeks' WHEN wt <= 168 THEN '19-24 weeks'"
+    " WHEN wt <= 210 THEN '25-30 weeks' WHEN wt <= 294 THEN '31-42 weeks' ELSE '> 42 weeks' END",
+    "band_old_4": "CASE WHEN wt <= 84 THEN '<= 12 weeks' WHEN wt <= 126 THEN '<= 18 weeks' WHEN wt <= 252 THEN '19-36 weeks' ELSE '> 36 weeks' END",
+    "band_bucket_5": "CASE WHEN wt < 84 THEN '< 12 weeks' WHEN wt <= 126 THEN '12-18 weeks' WHEN wt <= 245 THEN '19-36 weeks'"
+    " WHEN wt <= 364 THEN '37-52 weeks' ELSE '> 52 weeks' END",
+    "band_bucket_4": "CASE WHEN wt <= 126 THEN '< 18 weeks' WHEN wt <= 252 THEN '19-36 weeks' WHEN wt <= 364 THEN '37-52 weeks' ELSE '> 52 weeks' END",
+    "band_granular": "CASE WHEN wt <= 21 THEN '0-3 weeks' WHEN wt <= 357 THEN ((wt - 1) // 21 * 3 + 1) || '-' || ((wt - 1) // 21 * 3 + 3) || ' weeks'"
+    " ELSE '52+ weeks' END",
+}
+
+
 @query(
     "wait_band_schemes",
-    with_ctes("spans", "SELECT pathway_id, " + ", ".join(f"{case_sql('wt', s)} AS {n}" for n, s in _SCHEMES.items()) + " FROM spans"),
+    with_ctes("spans", "SELECT pathway_id, " + ", ".join(f"{_EDGES[n]} AS {n}" for n in _SCHEMES) + " FROM spans"),
 )
 def wait_band_schemes(spark, sf_dir):
     return m.spans(spark, sf_dir).select("pathway_id", *[b.band("wt", s).alias(n) for n, s in _SCHEMES.items()])
@@ -430,3 +449,32 @@ def cohort_link(spark, sf_dir):
     )
     linked = cohort.link(banded, people, {"cohort_band": "band", "pid": "patient_id"})
     return linked.select("pathway_id", "pid", "cohort_band", "age_band", "sex", "region")
+
+
+@query(
+    "list_type",
+    with_ctes("spans", "SELECT list, count(*) AS n FROM (SELECT CASE WHEN contains(change_type, 'IRTT') THEN 'in' ELSE 'op' END AS list FROM spans) GROUP BY 1"),
+)
+def list_type(spark, sf_dir):
+    """Pathways that reached the admitted list, and the others."""
+    return m.spans(spark, sf_dir).groupBy(flags.list_type().alias("list")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "priority_exclusion",
+    with_ctes("spans", "SELECT priority, count(*) AS pathways, count(DISTINCT pid) AS patients FROM spans WHERE lower(priority) <> 'cancer' GROUP BY 1"),
+)
+def priority_exclusion(spark, sf_dir):
+    """The cohort without one referral priority; rows without a priority go too."""
+    kept = cohort.exclude_priority(m.spans(spark, sf_dir), "cancer")
+    return kept.groupBy("priority").agg(F.count("*").alias("pathways"), F.count_distinct("pid").alias("patients"))
+
+
+@query(
+    "filled_scan",
+    "SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) AS n, count(coalesce(value, 0)) AS filled FROM events GROUP BY 1",
+)
+def filled_scan(spark, sf_dir):
+    """A scan whose numeric nulls are zeros."""
+    rows = read_parquet(spark, f"{sf_dir}/events.parquet", fill=0)
+    return rows.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"), F.count("value").alias("filled"))

@@ -123,7 +123,40 @@ def kaplan_meier(spark, sf_dir):
     """Time to an outcome by age bucket, pathways without the event censored."""
     bucket = b.band("age", b.Bands((17, 64), ("child", "adult", "older")))
     rows = m.pathways(spark, sf_dir).select("wt", "event", bucket.alias("bucket"))
-    return survival.kaplan_meier(rows, "wt", "event", ["bucket"])
+    return survival.kaplan_meier(rows, "wt", "event", ["bucket"]).drop("std_error", "ci_low", "ci_high")
+
+
+_CURVE = """curve AS (SELECT *, (wt)::INTEGER AS time, product(1 - d / n) OVER w AS s, sum(d / (n * (n - d))) OVER w AS g FROM (
+  SELECT priority, wt, sum(event)::DOUBLE AS d, (sum(count(*)) OVER (PARTITION BY priority ORDER BY wt DESC))::DOUBLE AS n
+  FROM spans WHERE priority IN ('Urgent', 'Routine') GROUP BY 1, 2) WINDOW w AS (PARTITION BY priority ORDER BY wt))"""
+
+
+def _curve(spark, sf_dir):
+    rows = m.spans(spark, sf_dir).select("wt", "event", "priority").filter(F.col("priority").isin("Urgent", "Routine"))
+    return survival.kaplan_meier(rows, "wt", "event", ["priority"])
+
+
+@query(
+    "kaplan_meier_interval",
+    with_ctes(
+        "spans",
+        """SELECT priority, time, round(s, 6) AS survival, round(s * sqrt(g), 6) AS std_error,
+  round(CASE WHEN s < 1 THEN pow(s, exp(-1.959963984540054 * sqrt(g) / ln(s))) END, 6) AS ci_low,
+  round(CASE WHEN s < 1 THEN pow(s, exp(1.959963984540054 * sqrt(g) / ln(s))) END, 6) AS ci_high FROM curve WHERE s > 0 AND n > d""",
+        _CURVE,
+    ),
+)
+def kaplan_meier_interval(spark, sf_dir):
+    """Curves by priority with Greenwood errors and intervals, as long as anyone is left."""
+    return _curve(spark, sf_dir).filter("survival > 0").select("priority", "time", "survival", "std_error", "ci_low", "ci_high")
+
+
+@query(
+    "kaplan_meier_median",
+    with_ctes("spans", "SELECT priority, min(time) FILTER (s <= 0.5) AS median FROM curve GROUP BY 1", _CURVE),
+)
+def kaplan_meier_median(spark, sf_dir):
+    return survival.median_survival(_curve(spark, sf_dir), ["priority"])
 
 
 @query(
@@ -146,7 +179,7 @@ def kaplan_meier_overall(spark, sf_dir):
         "datediff(least(coalesce(exit_date, stop_date), stop_date), start_date) as time",
         "cast(coalesce(exit_date <= stop_date, false) as int) as event",
     )
-    return survival.kaplan_meier(rows, "time", "event")
+    return survival.kaplan_meier(rows, "time", "event").drop("std_error", "ci_low", "ci_high")
 
 
 @query(

@@ -95,7 +95,7 @@ def _share(table: str) -> str:
     with_ctes(
         "pathways",
         f"""SELECT variable, value, wait_band, o.pct AS overlapping, n.pct AS non_overlapping,
-  round(round(n.pct - o.pct, 2), 4) AS difference
+  round(round(n.pct - o.pct, 2), 4) AS difference, round(n.pct - o.pct, 2) AS change
 FROM ({_share('overlapping')}) o JOIN ({_share('non_overlapping')}) n USING (variable, value, wait_band)""",
         f"{_OVERLAPPING},\n{_NON}",
     ),
@@ -106,7 +106,9 @@ def overlap_compare(spark, sf_dir):
         tables.band_distribution(part, SIX, "wait_band", "value", grain=["pid"]) for part in _both(spark, sf_dir)
     )
     compared = overlap.compare_tables(yes, no, "percentage", ("overlapping", "non_overlapping"), ["variable", "value", "wait_band"])
-    return compared.drop("change").withColumn("difference", F.round("difference", 4))
+    # the label's number, so that both engines' texts of a number compare
+    label = F.expr("try_cast(replace(change, '% improvement', '') as double)")
+    return compared.withColumns({"difference": F.round("difference", 4), "change": F.round(label, 2)})
 
 
 _CLOSED = """b.pid = a.pid AND ((a.start_date <= b.start_date AND a.start_date + a.wt >= b.start_date)

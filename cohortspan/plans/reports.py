@@ -88,7 +88,7 @@ def length_stats(spark, sf_dir):
     "length_stats_cross",
     with_ctes(
         "pathways",
-        f"""SELECT specialty, age_band, mean, median, sd, iqr, CASE WHEN mean < 5 THEN '<5' ELSE 'shown' END AS mean_shown FROM (
+        f"""SELECT specialty, age_band, mean, median, sd, iqr, CASE WHEN mean < 5 THEN NULL ELSE mean END AS mean_shown FROM (
   SELECT specialty, coalesce(age_band, 'unknown') AS age_band, {_LENGTH} FROM pathways GROUP BY 1, 2)""",
     ),
 )
@@ -97,7 +97,7 @@ def length_stats_cross(spark, sf_dir):
     shown = suppress.suppress(stats, stats=["mean"], mode="stat")
     return shown.select(
         "specialty", "age_band", "mean", "median", "sd", "iqr",
-        F.when(F.col("mean_text") == "<5", "<5").otherwise("shown").alias("mean_shown"),
+        F.expr("try_cast(mean_text as double)").alias("mean_shown"),
     )
 
 
@@ -177,7 +177,7 @@ _SUPPRESSED = f"""SELECT specialty, age_band, band, n, total_count, {PCT} FROM (
     with_ctes(
         "pathways",
         f"""SELECT specialty, age_band, band, n, total_count, percentage, (n < 5) AS small,
-  CASE WHEN n < 5 THEN '<5' ELSE CAST(n AS VARCHAR) END AS n_text, (percentage < 5) AS small_percentage,
+  CASE WHEN n < 5 THEN '<5' ELSE CAST(n AS VARCHAR) END AS n_text, CASE WHEN percentage < 5 THEN NULL ELSE percentage END AS percentage_shown,
   (n < 5) OR (sum(CAST(n < 5 AS INTEGER)) OVER (PARTITION BY specialty, age_band) = 1
     AND row_number() OVER (PARTITION BY specialty, age_band ORDER BY n, band) = 2) AS suppressed
 FROM ({_SUPPRESSED})""",
@@ -192,7 +192,29 @@ def suppressed_table(spark, sf_dir):
     shown = suppress.suppress(flagged, [("n", "percentage")], mode="independent")
     return shown.select(
         "specialty", "age_band", "band", "n", "total_count", "percentage", "n_text", "suppressed",
-        (F.col("n_text") == "<5").alias("small"), (F.col("percentage_text") == "<5").alias("small_percentage"),
+        (F.col("n_text") == "<5").alias("small"), F.expr("try_cast(percentage_text as double)").alias("percentage_shown"),
+    )
+
+
+@query(
+    "suppressed_rows",
+    with_ctes(
+        "pathways",
+        f"""SELECT specialty, age_band, band, CASE WHEN total_count < 25 OR n < 25 THEN '<25' ELSE CAST(n AS VARCHAR) END AS n_text,
+  CASE WHEN total_count < 25 OR n < 25 THEN NULL ELSE percentage END AS percentage_shown,
+  CASE WHEN total_count < 25 THEN '<25' ELSE CAST(total_count AS VARCHAR) END AS total_count_text
+FROM ({_SUPPRESSED})""",
+    ),
+)
+def suppressed_rows(spark, sf_dir):
+    """A small row total hides its whole row."""
+    banded = m.pathways(spark, sf_dir).withColumn("band", b.band("wt", b.WAIT_GRANULAR))
+    cells = tables.proportion_by(banded, ["specialty", "age_band", "band"], ["specialty", "age_band"]).withColumn(
+        "percentage", F.round(F.col("proportion") * 100, 2)
+    )
+    shown = suppress.suppress(cells, [("n", "percentage")], k=25, mode="row", total="total_count")
+    return shown.select(
+        "specialty", "age_band", "band", "n_text", F.expr("try_cast(percentage_text as double)").alias("percentage_shown"), "total_count_text"
     )
 
 
@@ -298,20 +320,33 @@ def exit_share(spark, sf_dir):
     return tables.proportion_by(gone.withColumn("bucket", b.band("wt", b.WAIT_BUCKET_5)), ["specialty", "bucket"], ["specialty"])
 
 
-@query(
-    "time_to_exit_stats",
-    with_ctes(
-        "spans exits",
-        """SELECT specialty, round(avg(days), 6) AS mean_time_to_exit, median(days) AS median_time_to_exit,
+def _exit_stats_sql(keys: str) -> str:
+    listed, group = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
+    return f"""SELECT {listed}round(avg(days), 6) AS mean_time_to_exit, median(days) AS median_time_to_exit,
   round(quantile_cont(days, 0.25), 6) AS lower_quartile, round(quantile_cont(days, 0.75), 6) AS upper_quartile,
   round(stddev_samp(days), 6) AS stddev_time_to_exit, min(days) AS min_time_to_exit, max(days) AS max_time_to_exit, count(*) AS n
-FROM (SELECT specialty, CAST(exit_date - start_date AS INTEGER) AS days FROM spans JOIN exits ON exits.pid = spans.pid
-      WHERE exit_date BETWEEN start_date AND stop_date) GROUP BY 1""",
-    ),
-)
-def time_to_exit_stats(spark, sf_dir):
+FROM (SELECT specialty, setting, CAST(exit_date - start_date AS INTEGER) AS days FROM spans JOIN exits ON exits.pid = spans.pid
+      WHERE exit_date BETWEEN start_date AND stop_date) {group}"""
+
+
+def _exit_stats(spark, sf_dir, keys):
     gone = cohort.exit_during_wait(m.spans(spark, sf_dir).join(m.exits(spark, sf_dir), "pid"))
-    return events.time_to_exit_stats(gone, ["specialty"])
+    return events.time_to_exit_stats(gone, keys)
+
+
+@query("time_to_exit_stats", with_ctes("spans exits", _exit_stats_sql("specialty")))
+def time_to_exit_stats(spark, sf_dir):
+    return _exit_stats(spark, sf_dir, ["specialty"])
+
+
+@query("time_to_exit_overall", with_ctes("spans exits", _exit_stats_sql("")))
+def time_to_exit_overall(spark, sf_dir):
+    return _exit_stats(spark, sf_dir, [])
+
+
+@query("time_to_exit_two_keys", with_ctes("spans exits", _exit_stats_sql("specialty, setting")))
+def time_to_exit_two_keys(spark, sf_dir):
+    return _exit_stats(spark, sf_dir, ["specialty", "setting"])
 
 
 _NAMES = ("dna", "patient_canc", "hospital_canc")

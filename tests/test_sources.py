@@ -47,6 +47,11 @@ def test_durable_cuts_lineage(spark):
     assert df.agg({"x": "sum"}).first()[0] == 20
 
 
+def test_checkpoints_go_with_the_application(spark):
+    durable(spark.range(3))
+    assert spark.sparkContext._cohortspan_cleans == spark.sparkContext.getCheckpointDir()
+
+
 def test_adapt_sets_skew_handling(spark):
     key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
     spark.conf.set(key, "false")
