@@ -73,7 +73,9 @@ def beta_lower(a: float, b: float, x: float, rest: float | None = None) -> float
         return 1 - beta_lower(b, a, rest, x)
     big, small = max(a, b), min(a, b)
     log_beta = math.lgamma(small) - _log_gamma_ratio(big, small)
-    front = math.exp(a * math.log(x) + b * (math.log(rest) if rest < 0.5 else math.log1p(-x)) - log_beta) / a
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
+    front = math.exp(a * log_x + b * log_rest - log_beta) / a
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or _TINY)
     h = d
     for m in range(1, _rounds(a + b)):
@@ -97,7 +99,12 @@ def chi2_tail(statistic: float, dof: float) -> float:
 def t_two_sided(t: float, dof: float) -> float:
     if math.isnan(t) or not dof > 0:
         return math.nan
-    return beta_lower(dof / 2, 0.5, dof / (dof + t * t), t * t / (dof + t * t)) if math.isfinite(t) else 0.0
+    if not math.isfinite(t):
+        return 0.0
+    if dof > 1e6:
+        # the normal approximation is right to 1 / dof^2, where the fraction loses digits
+        return normal_two_sided(t * (1 - 1 / (4 * dof)) / math.sqrt(1 + t * t / (2 * dof)))
+    return beta_lower(dof / 2, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
 
 
 def normal_two_sided(z: float) -> float:

@@ -16,6 +16,9 @@ def test_t_tail_at_many_degrees_of_freedom():
     for t in (0.1, 1.0, 2.5):
         for dof in (1e7, 1e9, 1e11, 1e13):
             assert math.isclose(tails.t_two_sided(t, dof), math.erfc(t / math.sqrt(2)), rel_tol=2e-6)
+        # both ways agree where they meet
+        near = tails.beta_lower(5e5, 0.5, 1e6 / (1e6 + t * t), t * t / (1e6 + t * t))
+        assert math.isclose(tails.t_two_sided(t, 1e6 + 1), near, rel_tol=1e-7)
     assert tails.t_two_sided(math.inf, 5) == 0.0
 
 
