@@ -671,68 +671,72 @@ _HISTORY = f"""history AS (SELECT s."group", s.pid, s.period, s.pathway_id, CAST
   LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN s.lo AND s.hi WHERE s.lo <= s.hi GROUP BY ALL)"""
 
 
-def history(spark, sf_dir):
+def history(spark, sf_dir, measure="use_a"):
     facts = m.facts(spark, sf_dir)
     seen = (m.observed_from(spark, sf_dir, facts), m.observed_until(spark, sf_dir, facts))
     pw = durable(m.pathways(spark, sf_dir).select("pathway_id", "pid", "group", "start_date", "stop_date", "wt"))
-    return utilisation.history_totals(pw, facts, "use_a", ["pathway_id", "pid", "group"], seen)
+    return utilisation.history_totals(pw, facts, measure, ["pathway_id", "pid", "group"], seen)
 
 
-@query(
+def per_measure(name, parts, body, more=""):
+    """Register a query for the first measure and, with the suffix ``_second``, for another."""
+
+    def add(run):
+        for suffix, measure in (("", "use_a"), ("_second", "use_n")):
+            sql = with_ctes(parts, body.replace("use_a", measure), more.replace("use_a", measure))
+            query(name + suffix, sql)(lambda spark, sf_dir, measure=measure: run(spark, sf_dir, measure))
+        return run
+
+    return add
+
+
+@per_measure(
     "period_utilisation",
-    with_ctes(
-        "pathways activity observed",
-        """SELECT "group", period, sum(use_a)::BIGINT AS total_use, count(DISTINCT pid) AS patients,
+    "pathways activity observed",
+    """SELECT "group", period, sum(use_a)::BIGINT AS total_use, count(DISTINCT pid) AS patients,
   round(sum(use_a) / count(DISTINCT pid), 6) AS per_patient FROM history GROUP BY 1, 2""",
-        _HISTORY,
-    ),
+    _HISTORY,
 )
-def period_utilisation(spark, sf_dir):
-    return utilisation.period_utilisation(history(spark, sf_dir), "use_a")
+def period_utilisation(spark, sf_dir, measure):
+    return utilisation.period_utilisation(history(spark, sf_dir, measure), measure)
 
 
-@query(
+@per_measure(
     "person_week_rates",
-    with_ctes(
-        "pathways activity observed",
-        """SELECT "group", period, group_size, round(total, 6) AS total_weekly_contact, round(total / group_size, 6) AS avg_weekly_contact_per_person
+    "pathways activity observed",
+    """SELECT "group", period, group_size, round(total, 6) AS total_weekly_contact, round(total / group_size, 6) AS avg_weekly_contact_per_person
 FROM (SELECT "group", period, sum(weekly) AS total FROM (
     SELECT "group", pid, period, sum(use_a) / (sum(days) / 7) AS weekly FROM history GROUP BY 1, 2, 3) GROUP BY 1, 2)
 JOIN (SELECT "group", count(DISTINCT pid) AS group_size FROM history GROUP BY 1) USING ("group")""",
-        _HISTORY,
-    ),
+    _HISTORY,
 )
-def person_week_rates(spark, sf_dir):
-    return utilisation.person_week_rates(history(spark, sf_dir), "use_a")
+def person_week_rates(spark, sf_dir, measure):
+    return utilisation.person_week_rates(history(spark, sf_dir, measure), measure)
 
 
-@query(
+@per_measure(
     "baseline_use",
-    with_ctes(
-        "spans activity",
-        """SELECT pathway_id, pid, baseline_use FROM spans JOIN (
+    "spans activity",
+    """SELECT pathway_id, pid, baseline_use FROM spans JOIN (
   SELECT s.pid, coalesce(sum(use_a), 0)::BIGINT AS baseline_use FROM spans s
   LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN s.start_date - 60 AND s.start_date - 30 GROUP BY 1) USING (pid)""",
-    ),
 )
-def baseline_use(spark, sf_dir):
+def baseline_use(spark, sf_dir, measure):
     rows = durable(m.spans(spark, sf_dir).select("pathway_id", "pid", "start_date"))
-    return utilisation.baseline_use(rows, m.activity(spark, sf_dir), "use_a", ["pathway_id", "pid"])
+    return utilisation.baseline_use(rows, m.activity(spark, sf_dir), measure, ["pathway_id", "pid"])
 
 
-@query(
+@per_measure(
     "binned_activity",
-    with_ctes(
-        "pathways activity",
-        """SELECT "group", CAST(bin AS INTEGER) AS bin, sum(coalesce(use_a, 0))::BIGINT AS total_use FROM (
+    "pathways activity",
+    """SELECT "group", CAST(bin AS INTEGER) AS bin, sum(coalesce(use_a, 0))::BIGINT AS total_use FROM (
   SELECT p."group", p.pid, p.start_date, p.stop_date, b.bin FROM pathways p, range(0, 200) b(bin) WHERE b.bin * 30 <= p.wt) s
 LEFT JOIN activity a ON a.pid = s.pid AND a.day BETWEEN start_date AND stop_date AND (a.day - start_date) // 30 = bin GROUP BY 1, 2""",
-    ),
 )
-def binned_activity(spark, sf_dir):
+def binned_activity(spark, sf_dir, measure):
     """Use during the wait in bins of 30 days."""
     pw = durable(m.pathways(spark, sf_dir).select("pid", "group", "start_date", "stop_date"))
-    return utilisation.binned_activity(pw, m.activity(spark, sf_dir), "use_a", 30, F.col("stop_date"))
+    return utilisation.binned_activity(pw, m.activity(spark, sf_dir), measure, 30, F.col("stop_date"))
 
 
 @query(
