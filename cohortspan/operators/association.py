@@ -125,10 +125,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         before = running_count(values, column, "_n", name="_before")
         return before.select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
-    ranked = join_values(join_values(pairs, ranks(x, "_rx"), x), ranks(y, "_ry"), y)
+    sizes = pairs.agg(F.sum("n").alias("n"), F.approx_count_distinct(x).alias("x"), F.approx_count_distinct(y).alias("y")).first()
+    ranked = join_values(join_values(pairs, ranks(x, "_rx"), x, sizes["x"]), ranks(y, "_ry"), y, sizes["y"])
     n = F.col("n")
     # ranks centre on (N + 1) / 2; centring first keeps the sums small
-    total = pairs.agg(F.sum("n")).scalar()
+    total = F.lit(sizes["n"])
     rx, ry = F.col("_rx") - (total + 1) / 2, F.col("_ry") - (total + 1) / 2
     sums = ranked.agg(
         F.sum(n).alias("n"),

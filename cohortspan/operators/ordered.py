@@ -57,19 +57,28 @@ def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None,
 
 #: Most rows of a table of values that is sent to every executor.
 BROADCAST_VALUES = 200_000
-#: Copies of a value's row when the table is larger, so that a hot value is dealt out.
-SALTS = 16
+#: Beyond it, a value that holds more than one in HOT rows is dealt out to SALTS parts.
+HOT, SALTS = 1000, 16
 
 
-def join_values(df: DataFrame, values: DataFrame, on: str) -> DataFrame:
+def join_values(df: DataFrame, values: DataFrame, on: str, size: int | None = None) -> DataFrame:
     """Join rows with a table of one row per value; a few values may hold most rows.
 
-    The table is counted: up to BROADCAST_VALUES rows are broadcast, a larger one is joined
-    on the value and a salt. Either way the result is the same.
+    The table's ``size`` is given or counted: up to BROADCAST_VALUES rows are broadcast. A
+    larger table is joined on the value and, for the hot values, a salt; there are fewer than
+    HOT of them, so their list is broadcast. Either way the result is the same.
     """
-    values = durable(values)
-    if values.count() <= BROADCAST_VALUES:
+    if size is None:
+        values = durable(values)
+        size = values.count()
+    if size <= BROADCAST_VALUES:
         return df.join(F.broadcast(values), on)
-    salted = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, [on, "_salt"]).drop("_salt")
+    rows = df.groupBy(on).agg(F.count("*").alias("_rows"))
+    hot = durable(rows.filter(F.col("_rows") * HOT > rows.agg(F.sum("_rows")).scalar()).select(on, F.lit(SALTS).alias("_salts")))
+
+    def salts(side: DataFrame) -> DataFrame:
+        return side.join(F.broadcast(hot), on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    dealt = salts(df).withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.col("_salts")).cast("int")).drop("_salts")
+    copied = salts(values).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.join(copied, [on, "_salt"]).drop("_salt")

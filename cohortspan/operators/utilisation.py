@@ -66,19 +66,12 @@ def _weeks(label: Column, days: Column, n: Column) -> Column:
 
 
 def _counted_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str) -> DataFrame:
-    cells = F.array(
-        *[
-            F.struct(F.lit(m).alias("utilisation_type"), F.lit(label).alias("time_period"), F.col(f"{m}_{suffix}").alias("v"))
-            for m in measures
-            for label, suffix in SUFFIXES.items()
-        ]
-    )
-    group = ["variable", "value", "utilisation_type", "time_period"]
-    # first per combination of all characteristics, where the map side already merges most rows
-    values = wide.select(*variables, length, F.inline(cells)).filter(F.col("v").isNotNull())
-    merged = values.groupBy(*variables, "utilisation_type", "time_period", "v").agg(F.count("*").alias("_n"), F.sum(length).alias("_days"))
-    long = unpivot_variables(merged, variables, ["utilisation_type", "time_period", "v", "_n", "_days"])
-    counts = long.groupBy(*group, "v").agg(F.sum("_n").alias("_n"), F.sum("_days").alias("_days"))
+    columns = [(m, label, f"{m}_{suffix}") for m in measures for label, suffix in SUFFIXES.items()]
+    group = ["variable", "value", "cell"]
+    long = unpivot_variables(wide, variables, [length, *[c for _, _, c in columns]])
+    # rows merge on the map side: a cell takes few values
+    cells = long.select("variable", "value", length, F.posexplode(F.array(*[F.col(c) for _, _, c in columns])).alias("cell", "v"))
+    counts = cells.filter(F.col("v").isNotNull()).groupBy(*group, "v").agg(F.count("*").alias("_n"), F.sum(length).alias("_days"))
     # from here on one row per distinct value of a cell
     upto = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
@@ -89,6 +82,7 @@ def _counted_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence
 
     n = F.sum("_n")
     square = F.sum(F.col("_n") * F.pow(F.col("v") - F.col("_mean"), 2))
+    names = F.array(*[F.struct(F.lit(m).alias("utilisation_type"), F.lit(label).alias("time_period")) for m, label, _ in columns])
     return ranked.groupBy(*group).agg(
         n.alias("pathway_count"),
         F.sum(F.col("v") * F.col("_n")).alias("sum"),
@@ -97,8 +91,8 @@ def _counted_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence
         F.round(F.sqrt(F.try_divide(square, n - 1)), 2).alias("stddev"),
         (quantile(0.75) - quantile(0.25)).alias("iqr"),
         F.sum("_days").alias("_days"),
-    ).select(
-        *group, "pathway_count", "sum", "mean", "median", "stddev", "iqr",
+    ).withColumn("_name", names[F.col("cell")]).select("*", "_name.*").select(
+        "variable", "value", "utilisation_type", "time_period", "pathway_count", "sum", "mean", "median", "stddev", "iqr",
         _weeks(F.col("time_period"), F.col("_days"), F.col("pathway_count")).alias("pathway_weeks"),
     )
 

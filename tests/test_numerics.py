@@ -160,6 +160,15 @@ def test_tie_sums_of_any_length():
         np.testing.assert_allclose(survival._harmonic(tops, counts, power), want, rtol=1e-12)
 
 
+def test_salted_joins_give_the_same_rows(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("id % 7 as v", "id as x")
+    values = spark.range(6).selectExpr("id as v", "id * 10 as w")
+    want = sorted(map(tuple, ordered.join_values(rows, values, "v").collect()))
+    monkeypatch.setattr(ordered, "BROADCAST_VALUES", 0)
+    assert sorted(map(tuple, ordered.join_values(rows, values, "v").collect())) == want
+    assert len(want) == sum(k % 7 < 6 for k in range(500))
+
+
 def test_no_row_window_in_one_task(spark):
     rows = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"), F.lit(1).alias("n"))
     plan = ordered.running_count(rows.groupBy("x").agg(F.sum("n").alias("n")), "x", "n")._jdf.queryExecution().executedPlan().toString()
