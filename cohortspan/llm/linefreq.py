@@ -25,7 +25,7 @@ def lines_of(text: Column) -> Column:
 
 def _name(line: Column) -> Column:
     """128-bit identity of a trimmed line, null for a blank one; texts of lines need not move."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(_SEED), bare).alias("b")))
 
 
