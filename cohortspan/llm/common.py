@@ -49,7 +49,8 @@ def pack(df: DataFrame, _keep: Sequence[str] | None = None, **more: Column) -> D
 
     Whatever the input's columns are called, they cannot clash with an operator's own.
     """
-    row = F.struct(*[quoted(c) for c in (df.columns if _keep is None else _keep)]).alias("_row")
+    kept = df.columns if _keep is None else _keep
+    row = (F.struct(*[quoted(c) for c in kept]) if kept else F.struct(F.lit(0).alias("_"))).alias("_row")
     return df.select(row, *[c.alias(k) for k, c in more.items()])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import pack, quoted, unpack
+from cohortspan.llm.common import pack, quoted
 
 #: Share of a site's pages above which a line is dropped, and the least number of such
 #: pages, so that a site of one or two pages keeps its text.
@@ -45,8 +45,10 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str | Column = "sourc
     return counts.join(totals, F.col("_site").eqNullSafe(F.col("site"))).select("site", "name", "pages", ratio).where(F.col("ratio") > max_ratio)
 
 
-def cleaned(docs: DataFrame, text: str = "text", site: str | Column = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Packed rows with their lines and ``drop``, the places of the lines to drop.
+def cleaned(
+    docs: DataFrame, keep: list[str], text: str = "text", site: str | Column = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
+    """Packed rows (``keep``; without the text), text and ``drop``, the places of the lines to drop.
 
     Rows of one site and text lose the same lines, so the drops are found once per site and
     text and come back by that key; no row number is needed that a lost task might deal anew.
@@ -58,7 +60,7 @@ def cleaned(docs: DataFrame, text: str = "text", site: str | Column = "source",
     rows = docs.select(own.alias("own"), key.alias("key"), F.posexplode(F.transform(lines_of(quoted(text)), _name)).alias("place", "name")).where("name is not null")
     bad = bad.select(F.struct(F.col("site").isNull().alias("none"), F.coalesce(F.col("site").cast("string"), F.lit("")).alias("site")).alias("own"), "name")
     drops = rows.join(bad, ["own", "name"]).groupBy("own", "key").agg(F.collect_set("place").alias("drop"))
-    kept = pack(docs, own=own, key=key, text=quoted(text))
+    kept = pack(docs, keep, own=own, key=key, text=quoted(text))
     return kept.join(drops, ["own", "key"], "left").select("_row", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
 
 
@@ -73,14 +75,15 @@ def drop_lines(docs: DataFrame, text: str = "text", site: str | Column = "source
     A null text stays null, a text whose lines all go becomes empty. Rows with a null site form a
     site of their own. Repeated rows count as pages and lose the same lines.
     """
-    rows = cleaned(docs, text, site, **options)
-    rows = rows.withColumn("_row", F.col("_row").withField("`" + text.replace("`", "``") + "`", _without(F.col("text"), F.col("drop"))))
-    return unpack(rows)
+    others = [c for c in docs.columns if c != text]
+    rows = cleaned(docs, others, text, site, **options)
+    left = _without(F.col("text"), F.col("drop"))
+    return rows.select(*[left.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, text: str = "text", site: str | Column = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and text_sha256 of what stays (null: as empty) of every row."""
-    rows = cleaned(docs, text, site, **options)
+    rows = cleaned(docs, [doc_id], text, site, **options)
     left = _without(F.coalesce("text", F.lit("")), F.col("drop"))
     return rows.select(
         F.col("_row")[doc_id].alias("doc_id"), F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
