@@ -111,7 +111,8 @@ def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame
     others: within an index entry a spanning forest stands for all its links.
     """
     width = shuffle_width(prints.sparkSession)
-    index = variants(prints, distance).repartition(width, "slot", "value")
+    # dealt out first: a few tasks would otherwise make all index rows of what small files hold
+    index = variants(prints.repartition(width), distance).repartition(width, "slot", "value")
     skipped = F.col("slot") % (BITS + 1)
     shift = F.element_at(F.array(*[F.lit(s) for s, _ in segments(distance)]), (F.col("slot") / (BITS + 1)).cast("int") + 1) + skipped - 1
     bit = F.when(skipped > 0, F.expr("shiftrightunsigned(fp, shift)").bitwiseAND(F.lit(1).cast("long")))
