@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.llm.common import ORDER_BITS, durable, quoted, running
-from cohortspan.llm.tokens import encoder, tokenizer_path
+from cohortspan.llm.tokens import CHUNKS, PIECES, encoder, tokenizer_path
 
 CAPACITY = 4096
 #: Configurations priced at most, and lengths that one pricing considers.
@@ -200,12 +200,17 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*(np.ascontiguousarray(table[:, k]) for k in range(4)), sequence)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of the token pieces of every row."""
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", cache: tuple[int, int] = (CHUNKS, PIECES)
+) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of the token pieces of every row.
+
+    ``cache`` bounds what a worker remembers of the tokenizer; smaller takes less memory and more time.
+    """
     rows = docs.select(quoted(doc_id).cast("string").alias("doc_id"), quoted(text).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text = encoder(tokenizer).encode
+        encode_text = encoder(tokenizer, *cache).encode
         for batch in batches:
             out = []
             for key, value in zip(batch["doc_id"], batch["text"]):
@@ -219,13 +224,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
     return cut_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def packed(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", cache: tuple[int, int] = (CHUNKS, PIECES)
+) -> DataFrame:
     """Pieces of every row with their sequence_id and offset.
 
     A null or empty text is the end id alone. Repeated rows and null ids are packed like
     any other; other columns are ignored; an empty table gives no rows.
     """
-    cut = pieces(docs, tokenizer or tokenizer_path(), capacity, text, doc_id)
+    cut = pieces(docs, tokenizer or tokenizer_path(), capacity, text, doc_id, cache)
     order = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - ORDER_BITS)
     slim = durable(cut.withColumn("order", order).withColumn("one", F.lit(1).cast("long")))
     histogram = slim.groupBy("length").agg(F.count("*").alias("n")).collect()

@@ -102,10 +102,10 @@ class Encoder:
         return ids + END_ID.to_bytes(4, "little")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, chunks: int = CHUNKS, pieces: int = PIECES) -> Encoder:
+    """One encoder per Python worker, of the file and sizes asked for last."""
+    return Encoder(path, chunks, pieces)
 
 
 def tokenizer_path() -> str:

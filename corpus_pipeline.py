@@ -13,6 +13,10 @@ from cohortspan.llm import langid, linefreq, mixing, packing, simhash
 from cohortspan.llm.common import documents, prepare, scratch
 
 
+#: Chunks and pieces in each generation of the tokenizer's cache.
+CACHE = (100_000, 250_000)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is a guess, go."""
     prepare(spark)
@@ -38,9 +42,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences.
+
+    Workers still hold what earlier stages left, so the tokenizer's cache is smaller than alone.
+    """
     prepare(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, cache=CACHE)
 
 
 STAGES = [
