@@ -13,6 +13,9 @@ from cohortspan.llm import langid, linefreq, mixing, packing, simhash
 from cohortspan.llm.common import documents, prepare, scratch
 
 
+#: Share of a source's documents above which the line stage drops a line. On the given tables a
+#: source repeats its planted line on 8.6 to 13.2 % of its documents, any other on 4.8 % at most.
+LINE_RATIO = 0.06
 #: Chunks and pieces in each generation of the tokenizer's cache.
 CACHE = (100_000, 250_000)
 
@@ -26,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a large share of a source's documents repeat go."""
     prepare(spark)
-    return linefreq.drop_lines(docs)
+    return linefreq.drop_lines(docs, max_ratio=LINE_RATIO)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

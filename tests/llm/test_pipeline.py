@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from cohortspan.llm import langid, mixing, queries, simhash
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, make
 from tests.llm.test_linefreq import brute as brute_lines
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_simhash import brute_components, brute_print
@@ -53,6 +53,18 @@ def test_each_stage_against_brute_force(spark, docs):
     check_packing([(r["doc_id"], r["text"]) for r in mixed], packed)
 
 
+def test_planted_lines_go_in_all_sources_alike(spark):
+    """A line on about a tenth of each source's documents goes, also just below; one on 4 to 5 % stays."""
+    rows = []
+    for source, planted, copied in (("a", 9, 4), ("b", 10, 5), ("c", 13, 4)):
+        for i in range(100):
+            extra = ["the planted line"] * (i < planted) + ["a copied line"] * (i >= 100 - copied)
+            rows.append((len(rows), "\n".join([f"own {source} {i}", *extra]), "en", source))
+    texts = [r["text"] for r in corpus_pipeline.lines(spark, make(spark, rows), SF_DIR).collect()]
+    assert len(texts) == 300 and not any("planted" in t for t in texts)
+    assert sum("copied" in t for t in texts) == 13 and all("own" in t for t in texts)
+
+
 def test_run_gives_the_last_stage(spark, docs):
     kept = lambda rows: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
     assert kept(corpus_pipeline.run(spark, SF_DIR).collect()) == kept(stages(spark, docs)[-1].collect())
