@@ -2,11 +2,14 @@
 
 The number of sequences is the value of a linear program over configurations (how
 many pieces of each length one sequence takes) that must cover the histogram of
-lengths. Multiplicative weights solve it: lengths that are covered least weigh most,
+lengths. Multiplicative weights cover it whole: lengths that are covered least weigh most,
 and a knapsack by dynamic programming finds the configuration that is worth most.
 The program is over lengths of more than a sixteenth of a sequence; whole uses of
 its configurations are taken, and the pieces that remain, with all shorter ones, fill
-gaps and further sequences by best fit. The histogram has at most one entry per length, whatever the input's size;
+gaps and further sequences by best fit. With a full histogram few of the knapsack's lengths
+are partners of each other; so sequences are also filled from the longest piece down by the
+fullest choice of all lengths, and of these plans and plain best fit the shortest is taken.
+The histogram has at most one entry per length, whatever the input's size;
 pieces are then numbered within their length and looked up in the plan.
 """
 
@@ -27,8 +30,7 @@ from cohortspan.llm.common import ORDER_BITS, durable, quoted, running
 from cohortspan.llm.tokens import CHUNKS, PIECES, encoder, tokenizer_path
 
 CAPACITY = 4096
-#: Configurations priced at most, and lengths that one pricing considers.
-ROUNDS = 2000
+#: Lengths that one pricing considers.
 PRICED = 40
 #: Pieces of up to this share of the capacity are kept to fill gaps.
 SMALL = 1 / 16
@@ -72,16 +74,17 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity
     return tuple(sorted(chosen.items()))
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Config, float]:
-    """Fractional uses of configurations that cover the histogram, as far as the rounds go."""
+def fractional(counts: dict[int, int], capacity: int) -> dict[Config, float]:
+    """Fractional uses of configurations that cover the whole histogram.
+
+    A round covers all that is left of a length or ``STEP`` of it, so their number is at most
+    1 / STEP + 1 times that of the lengths.
+    """
     lengths = np.array(sorted(counts))
     demand = np.array([counts[n] for n in lengths.tolist()], float)
     covered = np.zeros(len(lengths))
     uses: dict[Config, float] = defaultdict(float)
-    for k in range(rounds):
-        open_ = np.flatnonzero(covered < demand * (1 - 1e-9))
-        if not len(open_):
-            break
+    while len(open_ := np.flatnonzero(covered < demand * (1 - 1e-9))):
         weight = np.exp(-RATE * covered[open_] / demand[open_])
         # the heaviest weights, spread over the lengths: each stretch of lengths sends its own
         spread = open_[np.argsort(-weight, kind="stable")]
@@ -92,8 +95,6 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> d
         values = lengths[priced] * (1 + FAVOUR * lengths[priced] / capacity) * np.exp(-TILT * covered[priced] / demand[priced])
         left = demand[priced] - covered[priced]
         config = knapsack(lengths[priced], values, np.maximum(1, left).astype(int), capacity)
-        if not config:
-            break
         index = np.searchsorted(lengths, [n for n, _ in config])
         copies = np.array([c for _, c in config], float)
         amount = float(np.minimum(np.maximum(demand[index] * STEP, 1) / copies, (demand - covered)[index] / copies).min())
@@ -160,6 +161,43 @@ def best_fit(counts: dict[int, int], capacity: int, begun: dict[Config, int] | N
     return dict(out)
 
 
+def fullest(counts: dict[int, int], capacity: int) -> dict[Config, int]:
+    """Sequences from the longest piece down, each filled as far as any choice of the rest can.
+
+    The sums that the rest can reach are the bits of one whole number. Of equal sums the one
+    of longer pieces is taken, as often as there are pieces for it.
+    """
+    left = {k: n for k, n in counts.items() if n}
+    out: dict[Config, int] = Counter()
+    while left:
+        longest = max(left)
+        room = capacity - longest
+        items: list[tuple[int, int]] = []
+        reach = [1]
+        for length in sorted((k for k in left if k <= room), reverse=True):
+            limit, bundle = min(left[length] - (length == longest), room // length), 1
+            while limit > 0:
+                n = min(bundle, limit)
+                items.append((length, n))
+                reach.append((reach[-1] | reach[-1] << n * length) & ((2 << room) - 1))
+                limit -= n
+                bundle *= 2
+            if reach[-1] >> room:
+                break
+        total, chosen = reach[-1].bit_length() - 1, Counter({longest: 1})
+        for (length, n), before in zip(reversed(items), reversed(reach[:-1])):
+            if not before >> total & 1:
+                chosen[length] += n
+                total -= n * length
+        times = min(left[length] // n for length, n in chosen.items())
+        out[tuple(sorted(chosen.items()))] += times
+        for length, n in chosen.items():
+            left[length] -= n * times
+            if not left[length]:
+                del left[length]
+    return dict(out)
+
+
 @dataclass(frozen=True)
 class Plan:
     """Where the pieces of each length go, by their number within the length.
@@ -185,7 +223,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     large = {k: n for k, n in counts.items() if capacity * SMALL < k < capacity}
     whole, left = rounded(fractional(large, capacity), large) if large else ({}, {})
     left |= {k: n for k, n in counts.items() if k <= capacity * SMALL}
-    configs = list(best_fit(left, capacity, whole).items())
+    shorter = {k: n for k, n in counts.items() if k < capacity}
+    plans = [best_fit(left, capacity, whole), fullest(shorter, capacity), best_fit(shorter, capacity)]
+    configs = list(min(plans, key=lambda p: sum(p.values())).items())
     if counts.get(capacity):
         configs.append((((capacity, 1),), counts[capacity]))
     rows, numbers, sequence = [], Counter(), 0

@@ -68,6 +68,34 @@ def test_fractional_uses_cover_and_round():
         assert sum(dict(c).get(length, 0) * k for c, k in whole.items()) + left.get(length, 0) == n
 
 
+@pytest.mark.parametrize("most", [5, 400])
+def test_a_full_histogram_is_covered_and_packed(most):
+    lengths = np.arange(257, 4096)
+    counts = dict(zip(lengths.tolist(), np.random.default_rng(1).integers(4, most, len(lengths)).tolist()))
+    covered = Counter()
+    for config, n in packing.fractional(counts, 4096).items():
+        assert used(config) <= 4096
+        for length, c in config:
+            covered[length] += n * c
+    assert all(covered[k] >= n * (1 - 1e-6) for k, n in counts.items())
+    least = max(-(-sum(k * n for k, n in counts.items()) // 4096), sum(n for k, n in counts.items() if k > 2048))
+    assert packing.solve(counts).count <= least * 1.01
+
+
+def test_fullest_sequences_hold_every_piece_once():
+    rng = np.random.default_rng(5)
+    for capacity, n in [(20, 12), (100, 80), (4096, 3000)] * 5:
+        counts = Counter(rng.integers(1, capacity + 1, n).tolist())
+        bins = packing.fullest(counts, capacity)
+        assert Counter({k: sum(dict(c).get(k, 0) * m for c, m in bins.items()) for k in counts}) == counts
+        assert all(0 < used(c) <= capacity for c in bins) and min(bins.values()) > 0
+        # the first sequence is as full as any choice beside the longest piece can make it
+        longest, sums = max(counts), {0}
+        for length in (counts - Counter([longest])).elements():
+            sums |= {x + length for x in sums if x + length <= capacity - longest}
+        assert used(next(iter(bins))) == longest + max(sums)
+
+
 def test_best_fit_on_groups_is_best_fit():
     rng = np.random.default_rng(3)
     for _ in range(20):
