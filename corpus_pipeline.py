@@ -21,7 +21,7 @@ CACHE = (100_000, 250_000)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is a guess, go."""
+    """Documents without a letter, whose language is a guess or which are unlike all languages, go."""
     prepare(spark)
     return langid.keep_identified(docs)
 

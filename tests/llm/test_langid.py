@@ -41,6 +41,24 @@ def test_odd_rows(spark, odd, empty):
     assert langid.identify(empty).count() == 0 and langid.keep_identified(empty).count() == 0
 
 
+def test_texts_of_unlearned_scripts_go(spark):
+    docs = prepare(spark).read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz     "), 3000)
+    strange = ["η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί", "быстрая коричневая лиса прыгает через собаку " * 200, "敏捷的棕色狐狸跳过了懒狗", "".join(letters)]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(strange)], docs.schema)
+    kept = [r["doc_id"] for r in langid.keep_identified(docs.union(more)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_likeness_of_a_text_does_not_grow_with_its_length():
+    weights = np.log(np.full((langid.BUCKETS, 1), 1e-6))
+    weights[langid.gram_buckets(langid.code_points("ab" * 5), 2)] = np.log(0.4)
+    model = langid.Model(("a",), weights, np.zeros(1), np.array([np.log(0.4)]))
+    short, long, none, empty = model.judged(["abab", "abab" * 1000, None, "1"])[2]
+    assert 0 < short < 1 and abs(short - long) < 0.15 and none == empty == 0
+    assert langid.Model(("a",), weights, np.zeros(1)).judged(["日本"])[2] == [1.0]
+
+
 def test_nothing_to_learn_from(spark):
     rows = make(spark, [(1, "some text"), (2, "..."), (3, None)])
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(rows).collect()} == {(k, "und", 0.0) for k in (1, 2, 3)}
