@@ -147,7 +147,10 @@ def _curve(spark, sf_dir):
     ),
 )
 def kaplan_meier_interval(spark, sf_dir):
-    """Curves by priority with Greenwood errors and intervals, as long as anyone is left."""
+    """Curves of urgent and routine pathways with Greenwood errors and intervals, as long as anyone is left.
+
+    Other priorities ('Cancer', null) are left out, as in the log-rank test.
+    """
     return _curve(spark, sf_dir).filter("survival > 0").select("priority", "time", "survival", "std_error", "ci_low", "ci_high")
 
 
@@ -156,6 +159,7 @@ def kaplan_meier_interval(spark, sf_dir):
     with_ctes("spans", "SELECT priority, min(time) FILTER (s <= 0.5) AS median FROM curve GROUP BY 1", _CURVE),
 )
 def kaplan_meier_median(spark, sf_dir):
+    """Median waits of urgent and routine pathways; other priorities ('Cancer', null) are left out."""
     return survival.median_survival(_curve(spark, sf_dir), ["priority"])
 
 
