@@ -36,8 +36,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def quoted(name: str) -> Column:
@@ -127,3 +131,23 @@ def running(df: DataFrame, key: str, order: str, ties: Sequence[str], weight: st
     within = W.partitionBy(key, "_range").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
     before = F.col("_base") + F.sum(weight).over(within) - F.col(weight)
     return cut.join(bases, [key, "_range"]).withColumn("before", before).drop("_range", "_base")
+
+
+#: Rows from which a key's rows are looked up map-side, and the most such keys.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+
+
+def look_up(rows: DataFrame, answers: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``answers``, which has one row per key; others go.
+
+    ``count`` of ``answers`` is the number of rows of the key. Keys of many rows are few by
+    definition (HOT_KEYS at most) and are broadcast, so that their rows do not move and never
+    meet in one task; the rest meet by key. ``rows`` is read twice.
+    """
+    total = answers.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = answers.where(F.col(count) >= least).drop(count)
+    cold = answers.where(F.col(count) < least).drop(count)
+    moved = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys))
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(moved)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortspan.llm import blocks, langid, linefreq, mixing, packing, pii, secrets, simhash, sketch, tokenfile
-from cohortspan.llm.common import documents
+from cohortspan.llm import blocks, langid, linefreq, mixing, negatives, packing, pii, secrets, simhash, sketch, tokenfile
+from cohortspan.llm.common import documents, table
 from cohortspan.plans.base import plain
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_exact_dedup": lambda spark, d: blocks.exact_duplicates(documents(spark, d)),
     "op9_line_dedup": lambda spark, d: linefreq.line_report(documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
+    "op11_hard_negatives": lambda spark, d: negatives.mine(table(spark, d, "embeddings")),
 }
 
 SQL = {
@@ -73,4 +74,22 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS text_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_hard_negatives": r"""
+WITH rows AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.q::DOUBLE[], c.q::DOUBLE[]) AS BIGINT) AS score
+  FROM rows a JOIN rows c ON len(a.q) = len(c.q) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS "rank",
+  n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY "rank" <= 10""",
 }
