@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspan.llm import blocks, langid, linefreq, mixing, negatives, packing, pii, secrets, simhash, sketch, tokenfile
+from cohortspan.llm import blocks, langid, linefreq, mixing, negatives, packing, pii, secrets, simhash, sketch, spelling, tokenfile
 from cohortspan.llm.common import documents, table
 from cohortspan.plans.base import plain
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": lambda spark, d: linefreq.line_report(documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
     "op11_hard_negatives": lambda spark, d: negatives.mine(table(spark, d, "embeddings")),
+    "op12_spelling_variants": lambda spark, d: spelling.spelling_variants(documents(spark, d)),
 }
 
 SQL = {
