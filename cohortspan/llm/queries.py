@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortspan.llm import blocks, langid, linefreq, mixing, negatives, packing, pii, secrets, simhash, sketch, spelling, tokenfile
+from cohortspan.llm import blocks, langid, linefreq, mixing, negatives, packing, pii, secrets, simhash, sketch, spelling, tokenfile, warc
 from cohortspan.llm.common import documents, table
 from cohortspan.plans.base import plain
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
     "op11_hard_negatives": lambda spark, d: negatives.mine(table(spark, d, "embeddings")),
     "op12_spelling_variants": lambda spark, d: spelling.spelling_variants(documents(spark, d)),
+    "op13_warc": lambda spark, d: warc.round_trip(table(spark, d, "pages")),
 }
 
 SQL = {
@@ -93,4 +94,15 @@ SELECT p.anchor_id, p.positive_id,
 FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
 WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY "rank" <= 10""",
+    "op13_warc": r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+ranked AS (
+  SELECT page_id, body, first_value(page_id) OVER same AS head, row_number() OVER same AS place
+  FROM payloads WINDOW same AS (PARTITION BY body ORDER BY page_id NULLS LAST)),
+hexed AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || sha1(body)[5 * i + 1:5 * i + 5] AS BIGINT)) AS fives FROM ranked)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((v >> s) & 31) AS BIGINT), 1)), '')), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN head END AS refers_to
+FROM hexed""",
 }
