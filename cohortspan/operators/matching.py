@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.bands import null_to_unknown
-from cohortspan.operators.ordered import join_values, with_ranges
+from cohortspan.operators.ordered import dealt_in_order, join_values, ranks, running_count, with_ranges
+from cohortspan.session import durable
 
 
 def propensity(
@@ -124,6 +125,71 @@ def nearest_match(
     return best if caliper is None else best.filter(F.col("score_diff") <= caliper)
 
 
+def one_to_one_match(
+    scored: DataFrame,
+    score: str = "propensity_score",
+    treated: str = "treated",
+    patient: str = "pid",
+    caliper: float | None = None,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Pairs of a control and a treated patient, each patient in one pair at most.
+
+    Patients of one score pair first, in the order of their numbers. The rest is paired on the way
+    up the scores: each patient takes the open patient of the other group met last, or stays open.
+    As many pairs as possible come about, and with groups of one size the sum of their distances is
+    the least possible. A ``caliper`` leaves out the pairs further apart.
+
+    The walk is never made: the running difference of the groups' counts says between which two
+    levels a patient stands, and partners are neighbours on the same step between levels. Ranges of
+    the scores pair within themselves; each leaves at most one open patient a step and carries it on.
+
+    A patient with treated rows counts as treated, and of several scores the smallest counts. Null
+    and NaN scores match nothing.
+    """
+    units = (
+        scored.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(patient).isNotNull())
+        .groupBy(F.col(patient).alias("_pid"))
+        .agg(F.min(score).alias("_score"), F.max((F.col(treated) == 1).cast("int")).alias("_treated"))
+        .withColumn("_treated", F.coalesce("_treated", F.lit(0)))
+    )
+    dealt = dealt_in_order(units, ["_score", "_treated", "_pid"])
+    ranked = durable(ranks(dealt, ["_score", "_treated"], "_pid", "_rank"))
+    counts = ranked.groupBy("_score").agg(F.count_if(F.col("_treated") == 0).alias("_c"), F.count_if(F.col("_treated") == 1).alias("_t"))
+    counts = durable(counts.withColumns({"_pairs": F.least("_c", "_t"), "_rest": F.col("_c") - F.col("_t")}))
+    levels = durable(running_count(counts, "_score", "_rest", ranges, "_level").select("_score", "_pairs", "_level"))
+    placed = join_values(ranked, levels, "_score", levels.count())
+
+    equal = placed.filter(F.col("_rank") <= F.col("_pairs"))
+    pid = lambda side: F.max(F.when(F.col("_treated") == side, F.col("_pid")))
+    pairs = equal.groupBy("_score", "_rank").agg(pid(0).alias("control_pid"), pid(1).alias("treated_pid"))
+    pairs = pairs.select("control_pid", "treated_pid", F.lit(0.0).alias("score_diff"))
+
+    # the k-th left at a score goes from level to level: up for controls, down for treated
+    k = F.col("_rank") - F.col("_pairs")
+    step = F.when(F.col("_treated") == 0, F.col("_level") + k - 1).otherwise(F.col("_level") - k)
+    left = placed.filter(F.col("_rank") > F.col("_pairs")).withColumn("_step", step)
+    # above level 0 controls open a pair, below it treated do
+    opens = (F.col("_treated") == 0) == (F.col("_step") >= 0)
+    unit = F.struct("_score", "_treated", "_pid")
+
+    def partners(rows: DataFrame, *cut: str) -> DataFrame:
+        walk = Window.partitionBy("_step", *cut).orderBy("_score")
+        return rows.withColumns({"_opens": opens, "_before": F.lag(unit).over(walk), "_after": F.lead(unit).over(walk)})
+
+    inside = durable(partners(left, "_range"))
+    carried = inside.filter(F.when(F.col("_opens"), F.col("_after").isNull()).otherwise(F.col("_before").isNull()))
+    met = inside.unionByName(partners(carried.drop("_opens", "_before", "_after"))).filter(~F.col("_opens") & F.col("_before").isNotNull())
+    is_control = F.col("_treated") == 0
+    walked = met.select(
+        F.when(is_control, F.col("_pid")).otherwise(F.col("_before._pid")).alias("control_pid"),
+        F.when(is_control, F.col("_before._pid")).otherwise(F.col("_pid")).alias("treated_pid"),
+        (F.col("_score") - F.col("_before._score")).cast("double").alias("score_diff"),
+    )
+    found = pairs.unionByName(walked)
+    return found if caliper is None else found.filter(F.col("score_diff") <= caliper)
+
+
 def matched_cohort(df: DataFrame, matches: DataFrame, patient: str = "pid") -> DataFrame:
     """Rows of all matched patients, treated and control."""
     ids = matches.select(F.explode(F.array("control_pid", "treated_pid")).alias(patient)).distinct()

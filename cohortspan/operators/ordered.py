@@ -8,6 +8,7 @@ short table of range totals carries the state from one range to the next.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -30,7 +31,7 @@ def with_ranges(df: DataFrame, order: str, ranges: int | None = None) -> DataFra
     numbers = df.withColumn("_order", F.col(order).cast("double"))
     found = numbers.filter(~F.isnan("_order")).agg(F.percentile_approx("_order", steps, 4 * ranges)).first()[0] or []
     cutter = Bucketizer(
-        splits=[-math.inf, *sorted({c for c in found if math.isfinite(c)}), math.inf],
+        splits=[-math.inf, *(sorted({c for c in found if math.isfinite(c)}) or [0.0]), math.inf],
         inputCol="_order", outputCol="_bucket", handleInvalid="keep",
     )
     return cutter.transform(numbers).withColumn("_range", F.col("_bucket").cast("int")).drop("_order", "_bucket")
@@ -55,10 +56,32 @@ def running_count(df: DataFrame, order: str, n: str, ranges: int | None = None,
     )
 
 
+def dealt_in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in as many stored ranges of ``order`` as shuffle partitions, numbered by ``_range``.
+
+    Equal values of the first columns may lie in several ranges, so that none is too large.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def ranks(dealt: DataFrame, keys: Sequence[str], order: str, name: str = "rank") -> DataFrame:
+    """1-based rank of rows within their key, of rows dealt by (keys, order).
+
+    Each range numbers its own rows of a key; the counts of earlier ranges are added.
+    """
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    bases = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    own = dealt.withColumn("_own", F.row_number().over(inside))
+    return own.join(bases, [*keys, "_range"]).withColumn(name, F.col("_own") + F.col("_base")).drop("_own", "_base")
+
+
 #: Most rows of a table of values that is sent to every executor.
 BROADCAST_VALUES = 200_000
-#: Beyond it, a value that holds more than one in HOT rows is dealt out to SALTS parts.
-HOT, SALTS = 1000, 16
+#: Beyond it, a value that holds more than one in HOT rows is dealt out to parts of one in HOT rows each.
+HOT = 1000
 
 
 def join_values(df: DataFrame, values: DataFrame, on: str, size: int | None = None) -> DataFrame:
@@ -74,7 +97,8 @@ def join_values(df: DataFrame, values: DataFrame, on: str, size: int | None = No
     if size <= BROADCAST_VALUES:
         return df.join(F.broadcast(values), on)
     rows = df.groupBy(on).agg(F.count("*").alias("_rows"))
-    hot = durable(rows.filter(F.col("_rows") * HOT > rows.agg(F.sum("_rows")).scalar()).select(on, F.lit(SALTS).alias("_salts")))
+    share = F.col("_rows") * HOT / rows.agg(F.sum("_rows")).scalar()
+    hot = durable(rows.withColumn("_salts", F.ceil(share).cast("int")).filter("_salts > 1").select(on, "_salts"))
 
     def salts(side: DataFrame) -> DataFrame:
         return side.join(F.broadcast(hot), on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))

@@ -510,6 +510,63 @@ def psm_match_cells(spark, sf_dir):
     return matching.nearest_match(units.join(shares, cells))
 
 
+def _one_to_one_sql(units: str) -> str:
+    """Pairs of (pid, score, treated): equal scores first, then neighbours on the same step of the walk up the scores."""
+    return f"""
+people AS (SELECT pid, min(score) AS score, max(treated) AS treated FROM ({units}) GROUP BY pid),
+placed AS (SELECT *, row_number() OVER (PARTITION BY score, treated ORDER BY pid) AS k,
+    count(*) FILTER (treated = 0) OVER (PARTITION BY score) AS c, count(*) FILTER (treated = 1) OVER (PARTITION BY score) AS t FROM people),
+levels AS (SELECT score, sum(c - t) OVER (ORDER BY score) - (c - t) AS level FROM (SELECT DISTINCT score, c, t FROM placed)),
+left_over AS (SELECT pid, score, treated, CASE treated WHEN 0 THEN level + k - least(c, t) - 1 ELSE level - k + least(c, t) END AS step
+  FROM placed JOIN levels USING (score) WHERE k > least(c, t)),
+walked AS (SELECT *, lag(pid) OVER w AS other, lag(score) OVER w AS other_score FROM left_over WINDOW w AS (PARTITION BY step ORDER BY score)),
+pairs AS (
+  SELECT a.pid AS control_pid, b.pid AS treated_pid, 0.0::DOUBLE AS score_diff
+  FROM placed a JOIN placed b ON a.score = b.score AND a.k = b.k WHERE a.treated = 0 AND b.treated = 1
+  UNION ALL
+  SELECT CASE treated WHEN 0 THEN pid ELSE other END, CASE treated WHEN 0 THEN other ELSE pid END, score - other_score
+  FROM walked WHERE other IS NOT NULL AND (treated = 1) = (step >= 0))"""
+
+
+@query(
+    "psm_match_one_to_one",
+    with_ctes(
+        "pathways observed",
+        "SELECT control_pid, treated_pid, round(score_diff, 6) AS score_diff FROM pairs",
+        use._OVER + "," + _one_to_one_sql(
+            """SELECT pathway_id AS pid, o_totalprice AS score, CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated FROM over JOIN orders ON o_orderkey = pathway_id"""
+        ),
+    ),
+)
+def psm_match_one_to_one(spark, sf_dir):
+    """Pairs of pathways without replacement along a given score, here the order's price."""
+    prices = m.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pathway_id"), F.col("o_totalprice").alias("price"))
+    return matching.one_to_one_match(_units(spark, sf_dir).join(prices, "pathway_id"), score="price", patient="pathway_id")
+
+
+_CALIPER = 0.05
+
+
+@query(
+    "psm_match_one_to_one_cells",
+    with_ctes(
+        "pathways observed",
+        f"SELECT control_pid, treated_pid, round(score_diff, 6) AS score_diff FROM pairs WHERE score_diff <= {_CALIPER}",
+        use._OVER
+        + """,
+units AS (SELECT *, CAST("group" <> '<= 18 weeks' AS INTEGER) AS treated FROM over),"""
+        + _one_to_one_sql("""SELECT units.pathway_id AS pid, treated, score FROM units JOIN (
+  SELECT ltc, region, sex, quintile, sum(treated) / count(*) AS score FROM units GROUP BY 1, 2, 3, 4) USING (ltc, region, sex, quintile)"""),
+    ),
+)
+def psm_match_one_to_one_cells(spark, sf_dir):
+    """Pairs of pathways without replacement, within a caliper, on the treated share of the covariate cell, with many ties."""
+    units = _units(spark, sf_dir)
+    cells = [*COVARIATES, "quintile"]
+    shares = units.groupBy(*cells).agg((F.sum("treated") / F.count("*")).alias("propensity_score"))
+    return matching.one_to_one_match(units.join(shares, cells), patient="pathway_id", caliper=_CALIPER)
+
+
 # scores that agree to nine digits are one score, whoever solved for them
 _MATCHED = (
     _SCORES

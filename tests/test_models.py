@@ -1,5 +1,6 @@
 """Estimators against direct numpy computations."""
 
+import itertools
 import math
 import random
 
@@ -330,3 +331,56 @@ def test_weighted_cells_give_the_row_model(spark):
         assert math.isclose(got[(r[1], r[2])], p, rel_tol=1e-4)
     matched = matching.matched_cohort(df, matching.nearest_match(scored))
     assert matched.count() > 0 and set(matched.columns) == set(df.columns)
+
+
+def walked_pairs(units):
+    """One-to-one pairs by walking up the scores with a stack, from {pid: (score, treated)}."""
+    pairs, stack = [], []
+    by_score = {}
+    for pid, (score, treated) in units.items():
+        by_score.setdefault(score, ([], []))[treated].append(pid)
+    for score in sorted(by_score):
+        controls, others = (sorted(x) for x in by_score[score])
+        n = min(len(controls), len(others))
+        pairs += [(c, t, 0.0) for c, t in zip(controls, others)]
+        for pid, treated in [(c, 0) for c in controls[n:]] + [(t, 1) for t in others[n:]]:
+            if stack and stack[-1][2] != treated:
+                other, at, _ = stack.pop()
+                pairs.append((other, pid, score - at) if treated else (pid, other, score - at))
+            else:
+                stack.append((pid, score, treated))
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, None])
+@pytest.mark.parametrize("seed", range(3))
+def test_one_to_one_match_equals_a_walk(spark, ranges, seed):
+    rng = random.Random(seed)
+    units = {i: (rng.choice([rng.random(), rng.randrange(12) / 12]), int(rng.random() < (0.5, 0.2, 0.7)[seed])) for i in range(150)}
+    df = spark.createDataFrame([(p, float(s), t) for p, (s, t) in units.items()], "pid long, propensity_score double, treated int").repartition(3)
+    got = sorted(tuple(r) for r in matching.one_to_one_match(df, ranges=ranges).collect())
+    assert got == walked_pairs(units)
+    sides = [sum(t == side for _, t in units.values()) for side in (0, 1)]
+    assert len(got) == min(sides) == len({c for c, _, _ in got}) == len({t for _, t, _ in got})
+    near = matching.one_to_one_match(df, ranges=ranges, caliper=0.01).collect()
+    assert sorted(tuple(r) for r in near) == [p for p in walked_pairs(units) if p[2] <= 0.01]
+
+
+def test_one_to_one_match_of_equal_groups_is_the_closest(spark):
+    rng = random.Random(9)
+    scores = [rng.random() for _ in range(14)]
+    df = spark.createDataFrame([(i, s, i % 2) for i, s in enumerate(scores)], "pid long, propensity_score double, treated int")
+    total = sum(r["score_diff"] for r in matching.one_to_one_match(df).collect())
+    a, b = (sorted(scores[k::2]) for k in (0, 1))
+    assert total == pytest.approx(min(sum(abs(x - y) for x, y in zip(a, p)) for p in itertools.permutations(b)))
+
+
+def test_one_to_one_match_of_odd_rows(spark):
+    rows = [(1, 0.5, 0), (1, 0.2, 0), (2, 0.2, 1), (2, 0.9, 0), (3, None, 0), (4, float("nan"), 1), (None, 0.2, 0), (5, 0.3, None)]
+    df = spark.createDataFrame(rows, "pid long, propensity_score double, treated int")
+    assert [tuple(r) for r in matching.one_to_one_match(df).collect()] == [(1, 2, 0.0)]
+    assert matching.one_to_one_match(df.limit(0)).count() == 0
+    # one score holds nearly all, and alternating scores stand on one step
+    hot = [(i, 0.5, int(i % 3 == 0)) for i in range(300)] + [(300 + i, 1.0 + i, i % 2) for i in range(100)]
+    df = spark.createDataFrame(hot, "pid long, propensity_score double, treated int")
+    assert sorted(tuple(r) for r in matching.one_to_one_match(df).collect()) == walked_pairs({p: (s, t) for p, s, t in hot})

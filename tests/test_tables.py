@@ -139,7 +139,8 @@ def test_utilisation_windows(spark):
     stats = {r["time_period"]: r for r in utilisation.period_stats(wide, ["group"], ["use"]).collect()}
     assert stats["3m_before"]["pathway_weeks"] == 13 and stats["while_waiting"]["pathway_weeks"] == 8.71
     long = utilisation.unpivot_utilisation(wide, ["use"], ["group", "wt"], {"use": "GP"})
-    rate = {r["time_period"]: r for r in utilisation.utilisation_rate(long, ["group"]).collect()}
+    assert {(r["delivery_point"], r["healthcare_utilization"]) for r in long.collect()} == {("GP", 2)}
+    rate = {r["time_period"]: r for r in utilisation.utilisation_rate(wide, ["use"], ["group"], names={"use": "GP"}).collect()}
     assert rate["during waiting"]["person_days"] == 61 and rate["3 months after"]["person_days"] == 91
     assert rate["3 months before"]["rate_per_1000"] == pytest.approx(2 / 13 * 1000)
     assert rate["3 months before"]["delivery_point"] == "GP"
