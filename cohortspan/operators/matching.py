@@ -4,58 +4,121 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.bands import null_to_unknown
 from cohortspan.operators.ordered import dealt_in_order, join_values, ranks, running_count, with_ranges
+from cohortspan.operators.tables import unpivot_variables
 from cohortspan.session import durable
 
 
+def _numbered_levels(named: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """(variable, level, number, levels): numbers from 0, most frequent first, then by name."""
+    counts = unpivot_variables(named, covariates).groupBy("variable", "value").agg((-F.count("*")).alias("_minus"))
+    numbered = ranks(dealt_in_order(counts, ["variable", "_minus", "value"]), ["variable"], ["_minus", "value"], "_rank")
+    sizes = counts.groupBy("variable").agg(F.count("*").alias("levels"))
+    return numbered.join(F.broadcast(sizes), "variable").select("variable", F.col("value").alias("level"), (F.col("_rank") - 1).alias("number"), "levels")
+
+
+def _logistic(cells: DataFrame, p: int, tolerance: float, rounds: int) -> np.ndarray:
+    """Coefficients of a weighted logistic model by Newton steps.
+
+    ``cells`` has ``x``, an array of (column, value) of the columns that are not 0, the number ``w``
+    of rows and ``k`` of them with the outcome. Each step is one job that adds up the likelihood, its
+    gradient and the information over the cells; a step that lowers the likelihood is halved. With
+    separated outcomes there is no finite maximum: the steps end when the likelihood has settled.
+    """
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        weights = F.array(*[F.lit(float(b)) for b in beta])
+        eta = F.aggregate("x", F.lit(0.0), lambda total, e: total + e["value"] * F.element_at(weights, e["column"] + 1))
+        value = F.col("k") * F.col("eta") - F.col("w") * (F.greatest("eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))))
+        rows = cells.withColumn("eta", eta).withColumn("mu", 1 / (1 + F.exp(-F.col("eta"))))
+        entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
+        spread = F.col("w") * F.col("mu") * (1 - F.col("mu"))
+        alone = F.array(entry(F.lit(-1), F.lit(-1), value))
+        gradient = F.transform("x", lambda e: entry(e["column"], F.lit(-1), e["value"] * (F.col("k") - F.col("w") * F.col("mu"))))
+        information = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: entry(a["column"], b["column"], a["value"] * b["value"] * spread))))
+        found = rows.select(F.inline(F.concat(alone, gradient, information))).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+        first, second = np.zeros(p), np.zeros((p, p))
+        total = 0.0
+        for i, j, v in found:
+            if i < 0:
+                total = v
+            elif j < 0:
+                first[i] = v
+            else:
+                second[i, j] = v
+        return total, first, second
+
+    beta = np.zeros(p)
+    value, gradient, information = sums(beta)
+    for _ in range(rounds):
+        # scaled to a unit diagonal, so that columns of large numbers do not hide the others
+        scale = 1 / np.sqrt(np.maximum(np.diag(information), 1e-300))
+        step = scale * np.linalg.lstsq(information * scale[:, None] * scale, gradient * scale, rcond=1e-12)[0]
+        new = sums(beta + step)
+        while not new[0] >= value - 1e-12 * abs(value):
+            step = step / 2
+            if not np.any(np.abs(step) > 1e-12):
+                return beta
+            new = sums(beta + step)
+        gain = new[0] - value
+        beta, (value, gradient, information) = beta + step, new
+        if gain <= tolerance * abs(value):
+            return beta
+    return beta
+
+
 def propensity(
     df: DataFrame,
     treated: str,
     covariates: Sequence[str],
     one_hot: bool = False,
     name: str = "propensity_score",
-    max_levels: int = 10_000,
+    max_columns: int = 1000,
+    tolerance: float = 1e-14,
+    rounds: int = 100,
 ) -> DataFrame:
-    """Logistic probability of treatment from categorical covariates.
+    """Logistic probability of treatment from categorical covariates, any number of levels.
 
-    The level indices (most frequent first) enter as numbers unless ``one_hot``
-    is set. The model is fitted on counted covariate cells with weights, so an
-    iteration costs a pass over cells, not over rows, and cells are scored and joined
-    back. The labels of all levels pass through the driver: more than ``max_levels``
-    per covariate are refused.
+    Levels are numbered by frequency (then by name) on the executors, and their numbers enter as
+    they are, unless ``one_hot`` gives each level but a covariate's last a column of its own; then
+    the model has at most ``max_columns`` columns, and more are refused. The model is fitted on
+    counted covariate cells, so a step costs a pass over cells, not over rows, and only sums by
+    column reach the driver. Cells are scored and joined back. Rows with a null treatment are
+    scored but not fitted; null covariates are "unknown".
     """
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in covariates]).first().asDict()
-    if max(counts.values(), default=0) > max_levels:
-        raise ValueError(f"more than {max_levels} levels of a covariate: {counts}")
     named = df.withColumns({c: null_to_unknown(c) for c in covariates})
-    indexer = StringIndexer(inputCols=list(covariates), outputCols=[f"_{c}_index" for c in covariates]).fit(named)
-    features = [f"_{c}_index" for c in covariates]
-    stages = []
+    levels = durable(_numbered_levels(named, covariates))
+    counted = named.groupBy(*covariates).agg(F.count(treated).cast("double").alias("_w"), F.coalesce(F.sum(F.col(treated).cast("double")), F.lit(0.0)).alias("_k"))
+    columns, p = [], 1
     if one_hot:
-        encoded = [f"_{c}_vector" for c in covariates]
-        stages.append(OneHotEncoder(inputCols=features, outputCols=encoded))
-        features = encoded
-    stages.append(VectorAssembler(inputCols=features, outputCol="_features"))
-    stages.append(
-        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability", tol=1e-12, maxIter=500)
-    )
-    cells = indexer.transform(
-        named.groupBy(*covariates, F.col(treated).cast("double").alias("_label")).agg(F.count("*").cast("double").alias("_weight"))
-    )
-    model = Pipeline(stages=stages).fit(cells)
-    distinct = named.select(*covariates).distinct()
-    scored = model.transform(indexer.transform(distinct).withColumns({"_label": F.lit(0.0), "_weight": F.lit(1.0)}))
-    scores = scored.select(*[F.col(c).alias(f"_cell_{c}") for c in covariates], vector_to_array("_probability")[1].alias(name))
-    cells = df.withColumns({f"_cell_{c}": null_to_unknown(c) for c in covariates})
-    return cells.join(scores, [f"_cell_{c}" for c in covariates]).select(*df.columns, name)
+        sizes = {r["variable"]: r["levels"] for r in levels.select("variable", "levels").distinct().collect()}
+        if 1 + sum(n - 1 for n in sizes.values()) > max_columns:
+            raise ValueError(f"more than {max_columns} columns: {sizes}")
+    cells = counted
+    size = levels.count()
+    for i, c in enumerate(covariates):
+        numbers = levels.filter(F.col("variable") == c).select(F.col("level").alias(c), F.col("number").alias(f"_n{i}"))
+        cells = join_values(cells, numbers, c, size)
+        if one_hot:
+            shown = F.array(F.struct((F.col(f"_n{i}") + p).cast("int").alias("column"), F.lit(1.0).alias("value")))
+            columns.append(F.when(F.col(f"_n{i}") < sizes.get(c, 1) - 1, shown).otherwise(F.array_remove(shown, shown[0])))
+            p += sizes.get(c, 1) - 1
+        else:
+            columns.append(F.array(F.struct(F.lit(p).alias("column"), F.col(f"_n{i}").cast("double").alias("value"))))
+            p += 1
+    x = F.concat(F.array(F.struct(F.lit(0).alias("column"), F.lit(1.0).alias("value"))), *columns)
+    cells = durable(cells.select(*covariates, "_w", "_k", x.alias("_x")))
+    beta = _logistic(cells.filter("_w > 0").select(F.col("_x").alias("x"), F.col("_w").alias("w"), F.col("_k").alias("k")), p, tolerance, rounds)
+    weights = F.array(*[F.lit(float(b)) for b in beta])
+    eta = F.aggregate("_x", F.lit(0.0), lambda total, e: total + e["value"] * F.element_at(weights, e["column"] + 1))
+    scores = cells.select(*[F.col(c).alias(f"_cell_{c}") for c in covariates], (1 / (1 + F.exp(-eta))).alias(name))
+    rows = df.withColumns({f"_cell_{c}": null_to_unknown(c) for c in covariates})
+    return rows.join(scores, [f"_cell_{c}" for c in covariates]).select(*df.columns, name)
 
 
 def nearest_match(
@@ -154,7 +217,7 @@ def one_to_one_match(
         .withColumn("_treated", F.coalesce("_treated", F.lit(0)))
     )
     dealt = dealt_in_order(units, ["_score", "_treated", "_pid"])
-    ranked = durable(ranks(dealt, ["_score", "_treated"], "_pid", "_rank"))
+    ranked = durable(ranks(dealt, ["_score", "_treated"], ["_pid"], "_rank"))
     counts = ranked.groupBy("_score").agg(F.count_if(F.col("_treated") == 0).alias("_c"), F.count_if(F.col("_treated") == 1).alias("_t"))
     counts = durable(counts.withColumns({"_pairs": F.least("_c", "_t"), "_rest": F.col("_c") - F.col("_t")}))
     levels = durable(running_count(counts, "_score", "_rest", ranges, "_level").select("_score", "_pairs", "_level"))

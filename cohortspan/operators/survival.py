@@ -7,11 +7,13 @@ whose size is bounded by the calendar and not by the number of pathways.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,19 +161,19 @@ def _efron_terms(table: pd.DataFrame, beta: np.ndarray) -> tuple[float, np.ndarr
     return value, gradient, diagonal - cross
 
 
-def cox_ph(
-    df: DataFrame, time: str, event: str, factor: str, levels: Sequence[str], tolerance: float = 1e-9, rounds: int = 50
-) -> DataFrame:
-    """Proportional hazards for one factor, Efron ties; the first level is the reference.
+@dataclass(frozen=True)
+class CoxFit:
+    """A fitted model: levels with events, estimates of all but the first, and the risk table."""
 
-    The risk table has one row per event time and is checkpointed. Each Newton
-    step is a Spark job over it; only the likelihood, its gradient and the information
-    matrix of (levels - 1) entries come back. A step that lowers the likelihood is halved.
+    kept: list[str]
+    beta: np.ndarray
+    information: np.ndarray
+    null: float  # log partial likelihood without the factor
+    value: float
+    table: DataFrame  # per event time, n0 .. at risk and d0 .. events by level
 
-    A level without events has no finite estimate, and in the limit its rows leave the
-    estimates of the others alone: it is listed as dropped and its rows are left out. The
-    reference must have events.
-    """
+
+def _cox_fit(df: DataFrame, time: str, event: str, factor: str, levels: Sequence[str], tolerance: float, rounds: int) -> CoxFit:
     _whole(df, time)
     label = null_to_unknown(factor)
     found = df.filter(label.isin(*levels) & F.col(time).isNotNull()).groupBy(label.alias("level")).agg(F.sum(F.col(event).cast("long")).alias("events")).collect()
@@ -210,6 +212,7 @@ def cox_ph(
         return flat[0], flat[1:1 + p], flat[1 + p:].reshape(p, p)
 
     value, gradient, information = newton_sums(beta)
+    null = value
     for _ in range(rounds if p else 0):
         step = np.linalg.lstsq(information, gradient, rcond=None)[0]
         # settled before the last digits of the sums decide
@@ -224,11 +227,65 @@ def cox_ph(
     else:
         if p:
             raise ArithmeticError("the partial likelihood did not converge")
-    se = np.sqrt(np.diag(np.linalg.pinv(information)))
+    return CoxFit(kept, beta, information, null, value, table)
+
+
+def cox_ph(
+    df: DataFrame, time: str, event: str, factor: str, levels: Sequence[str], tolerance: float = 1e-9, rounds: int = 50
+) -> DataFrame:
+    """Proportional hazards for one factor, Efron ties; the first level is the reference.
+
+    The risk table has one row per event time and is checkpointed. Each Newton
+    step is a Spark job over it; only the likelihood, its gradient and the information
+    matrix of (levels - 1) entries come back. A step that lowers the likelihood is halved.
+
+    A level without events has no finite estimate, and in the limit its rows leave the
+    estimates of the others alone: it is listed as dropped and its rows are left out. The
+    reference must have events.
+    """
+    fit = _cox_fit(df, time, event, factor, levels, tolerance, rounds)
+    se = np.sqrt(np.diag(np.linalg.pinv(fit.information)))
     estimates = {
         level: (float(b), float(math.exp(b)), float(s), float(b / s), normal_two_sided(b / s), float(math.exp(b - 1.96 * s)), float(math.exp(b + 1.96 * s)), False)
-        for level, b, s in zip(kept[1:], beta, se)
+        for level, b, s in zip(fit.kept[1:], fit.beta, se)
     }
     rows = [(level, *estimates.get(level, (None,) * 7 + (True,))) for level in list(levels)[1:]]
     schema = "level string, coef double, hazard_ratio double, se double, z double, p_value double, hr_low double, hr_high double, dropped boolean"
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+def cox_summary(
+    df: DataFrame, time: str, event: str, factor: str, levels: Sequence[str], tolerance: float = 1e-9, rounds: int = 50, p_values: bool = True
+) -> DataFrame:
+    """One row on a proportional-hazards model: likelihood-ratio test and Harrell's concordance.
+
+    ``log_likelihood`` and ``null_log_likelihood`` (without the factor) are partial ones with Efron
+    ties; ``lr_statistic`` is twice their difference on ``dof`` degrees of freedom.
+
+    A pair of rows can be compared if one has its event while the other is still at risk and does
+    not have its own at the same time. ``concordant`` counts the pairs in which the one with the
+    event has the higher estimated hazard, ``tied`` those with equal ones, and ``concordance`` is
+    (concordant + tied / 2) / pairs, null without pairs. No pair is formed: at each event time the
+    events of a level meet the rows of every level that go on, so counts of the risk table are
+    multiplied and added up. Rows of levels that ``cox_ph`` drops take no part.
+    """
+    fit = _cox_fit(df, time, event, factor, levels, tolerance, rounds)
+    beta = [0.0, *fit.beta.tolist()]
+
+    def counted(chosen: Callable[[float, float], bool]) -> Column:
+        terms = [F.col(f"d{i}") * (F.col(f"n{j}") - F.col(f"d{j}")) for i in range(len(beta)) for j in range(len(beta)) if chosen(beta[i], beta[j])]
+        # whole numbers beyond 64 bits stay whole
+        return F.coalesce(F.sum(reduce(Column.__add__, [t.cast("decimal(38,0)") for t in terms])) if terms else F.lit(0), F.lit(0)).cast("decimal(38,0)")
+
+    statistic, dof = 2 * (fit.value - fit.null), len(fit.beta)
+    sums = fit.table.agg(
+        F.sum(reduce(Column.__add__, [F.col(f"d{i}") for i in range(len(beta))])).alias("events"),
+        counted(lambda a, b: True).alias("pairs"), counted(lambda a, b: a > b).alias("concordant"), counted(lambda a, b: a == b).alias("tied"),
+    )
+    out = sums.select(
+        "events", F.lit(fit.value).alias("log_likelihood"), F.lit(fit.null).alias("null_log_likelihood"),
+        F.lit(statistic).alias("statistic"), F.lit(dof).alias("dof"), "pairs", "concordant", "tied",
+        F.try_divide(F.col("concordant").cast("double") + F.col("tied").cast("double") / 2, F.col("pairs").cast("double")).alias("concordance"),
+    )
+    out = out.withColumn("p_value", chi2_p("statistic", "dof")) if p_values else out
+    return out.withColumnRenamed("statistic", "lr_statistic")

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspan.operators.ordered import group_statistics
 from cohortspan.operators.running import between, interval_totals, totals_at
 from cohortspan.operators.tables import unpivot_variables
+from cohortspan.session import durable
 
 QUARTER_DAYS = 7 * 13
 SUFFIXES = {"3m_before": "3m_before", "while_waiting": "waiting_time", "3m_after": "3m_after"}
@@ -43,21 +45,20 @@ def period_stats(
     variables: Sequence[str],
     measures: Sequence[str],
     length: str = "wt",
-    accuracy: int = 10000,
-    counted: Sequence[str] | None = None,
+    counted: Sequence[str] = (),
 ) -> DataFrame:
-    """Utilisation statistics by characteristic value, measure and period.
+    """Utilisation statistics by characteristic value, measure and period; quartiles are exact.
 
-    The measures named in ``counted`` (all, by default) take few distinct values: their rows
-    are reduced to counts per value, from which every statistic, quartiles included, comes
-    exactly. The others are aggregated side by side with quantile sketches of ``accuracy``.
+    The measures named in ``counted`` take few distinct values, such as numbers of contacts: their
+    rows are reduced to counts per value in one pass. The others, such as costs, are cut into
+    ranges, and only the ranges with a quartile are read twice (``ordered.group_statistics``).
     """
-    counted = list(measures if counted is None else counted)
+    wide = durable(wide.select(*variables, length, *[f"{m}_{suffix}" for m in measures for suffix in SUFFIXES.values()]))
     parts = []
     if counted:
         parts.append(_counted_stats(wide, variables, counted, length))
     if rest := [m for m in measures if m not in counted]:
-        parts.append(_sketched_stats(wide, variables, rest, length, accuracy))
+        parts.append(_ranged_stats(wide, variables, rest, length))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -97,28 +98,17 @@ def _counted_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence
     )
 
 
-def _sketched_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str, accuracy: int) -> DataFrame:
-    columns = {(m, label): f"{m}_{suffix}" for m in measures for label, suffix in SUFFIXES.items()}
-    aggregates: list[Column] = []
-    for (m, label), c in columns.items():
-        quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
-        days = F.sum(F.when(F.col(c).isNotNull(), F.col(length)))
-        aggregates.append(
-            F.struct(
-                F.lit(m).alias("utilisation_type"),
-                F.lit(label).alias("time_period"),
-                F.count(c).alias("pathway_count"),
-                F.sum(c).alias("sum"),
-                F.round(F.avg(c), 2).alias("mean"),
-                quartiles[1].alias("median"),
-                F.round(F.stddev_samp(c), 2).alias("stddev"),
-                (quartiles[2] - quartiles[0]).alias("iqr"),
-                _weeks(F.lit(label), days, F.count(c)).alias("pathway_weeks"),
-            ).alias(f"_{m}_{label}")
-        )
-    stats = unpivot_variables(wide, variables, [length, *columns.values()]).groupBy("variable", "value").agg(*aggregates)
-    cells = F.array(*[F.col(f"_{m}_{label}") for m, label in columns])
-    return stats.select("variable", "value", F.inline(cells))
+def _ranged_stats(wide: DataFrame, variables: Sequence[str], measures: Sequence[str], length: str) -> DataFrame:
+    columns = [(m, label, f"{m}_{suffix}") for m in measures for label, suffix in SUFFIXES.items()]
+    used = [c for _, _, c in columns]
+    found = group_statistics(
+        wide, ["variable", "value"], used, [0.25, 0.5, 0.75], lambda df, names: unpivot_variables(df, variables, names), length
+    )
+    names = F.array(*[F.struct(F.lit(m).alias("utilisation_type"), F.lit(label).alias("time_period")) for m, label, _ in columns])
+    return found.withColumn("_name", names[F.col("cell")]).select("*", "_name.*").select(
+        "variable", "value", "utilisation_type", "time_period", F.col("n").alias("pathway_count"), "sum", F.round("mean", 2).alias("mean"), F.col("q1").alias("median"),
+        F.round("stddev", 2).alias("stddev"), (F.col("q2") - F.col("q0")).alias("iqr"), _weeks(F.col("time_period"), F.col("weight"), F.col("n")).alias("pathway_weeks"),
+    )
 
 
 def unpivot_utilisation(wide: DataFrame, measures: Sequence[str], keep: Sequence[str], names: dict[str, str] | None = None) -> DataFrame:

@@ -624,6 +624,44 @@ def cox_ph_two_groups(spark, sf_dir):
     return fit.select("level", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"))
 
 
+_TWO_GROUPS = """risk AS (SELECT wt, sum(event)::INTEGER AS d, coalesce(sum(event) FILTER (sex = 'M'), 0)::DOUBLE AS d1,
+    sum(count(*)) OVER (ORDER BY wt DESC)::DOUBLE AS n, sum(count(*) FILTER (sex = 'M')) OVER (ORDER BY wt DESC)::DOUBLE AS n1
+  FROM rows GROUP BY wt),
+ties AS (SELECT wt, d1 / d AS x, n - n1 - j / d * (d - d1) AS w0, n1 - j / d * d1 AS w1
+  FROM (SELECT *, unnest(range(d)) AS j FROM risk WHERE d > 0)),
+newton AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS beta, 1.0::DOUBLE AS information
+  UNION ALL
+  SELECT step + 1, beta + gradient / info, info FROM (
+    SELECT any_value(step) AS step, any_value(beta) AS beta, sum(x - share) AS gradient, sum(share * (1 - share)) AS info
+    FROM (SELECT step, beta, x, w1 * exp(beta) / (w0 + w1 * exp(beta)) AS share FROM ties, newton WHERE step < 8)
+    HAVING count(*) > 0)),
+likelihoods AS (SELECT step, beta, sum(x * beta - ln(w0 + w1 * exp(beta))) AS value FROM ties, newton WHERE step IN (0, 8) GROUP BY 1, 2),
+fitted AS (SELECT max(beta) FILTER (step = 8) AS beta, max(value) FILTER (step = 8) AS value, max(value) FILTER (step = 0) AS start FROM likelihoods),
+kinds AS (SELECT wt, event, CASE sex WHEN 'M' THEN beta ELSE 0 END AS hazard FROM rows, fitted),
+pairs AS (
+  SELECT count(*) AS pairs, count(*) FILTER (a.hazard > b.hazard) AS concordant, count(*) FILTER (a.hazard = b.hazard) AS tied
+  FROM (SELECT * FROM kinds WHERE event = 1) a JOIN kinds b ON b.wt > a.wt OR (b.wt = a.wt AND b.event = 0))"""
+
+
+@query(
+    "cox_summary",
+    with_ctes(
+        "pathways",
+        """SELECT (SELECT sum(d) FROM risk)::BIGINT AS events, round(value, 4) AS log_likelihood, round(start, 4) AS null_log_likelihood,
+  round(2 * (value - start), 4) AS lr_statistic, 1 AS dof, pairs::DOUBLE AS pairs, concordant::DOUBLE AS concordant, tied::DOUBLE AS tied,
+  round((concordant + tied / 2) / pairs, 6) AS concordance FROM fitted, pairs""",
+        "rows AS (SELECT wt, CAST(event AS INTEGER) AS event, sex FROM pathways WHERE sex IN ('F', 'M')),\n" + _TWO_GROUPS,
+    ).replace("WITH spans", "WITH RECURSIVE spans"),
+)
+def cox_summary(spark, sf_dir):
+    """Likelihood-ratio test and concordance of the hazards of two groups."""
+    rows = m.pathways(spark, sf_dir).select("wt", "event", "sex")
+    found = survival.cox_summary(rows, "wt", "event", "sex", ("F", "M"), p_values=False)
+    exact = ("log_likelihood", "null_log_likelihood", "lr_statistic")
+    return found.withColumns({c: F.round(c, 4) for c in exact} | {c: F.col(c).cast("double") for c in ("pairs", "concordant", "tied")})
+
+
 @query(
     "propensity_one_factor",
     with_ctes(

@@ -69,7 +69,7 @@ FROM (""" + stack(
     ),
 )
 def period_stats(spark, sf_dir):
-    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES)
+    return utilisation.period_stats(wide(spark, sf_dir), SEVEN, MEASURES, counted=m.USES)
 
 
 @query(
@@ -78,7 +78,7 @@ def period_stats(spark, sf_dir):
 )
 def period_stats_by_band(spark, sf_dir):
     """The same statistics by wait band."""
-    return utilisation.period_stats(wide(spark, sf_dir), ["group"], MEASURES)
+    return utilisation.period_stats(wide(spark, sf_dir), ["group"], MEASURES, counted=m.USES)
 
 
 _RATE_LABELS = {"3m_before": "3 months before", "waiting_time": "during waiting", "3m_after": "3 months after"}

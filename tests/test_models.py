@@ -384,3 +384,82 @@ def test_one_to_one_match_of_odd_rows(spark):
     hot = [(i, 0.5, int(i % 3 == 0)) for i in range(300)] + [(300 + i, 1.0 + i, i % 2) for i in range(100)]
     df = spark.createDataFrame(hot, "pid long, propensity_score double, treated int")
     assert sorted(tuple(r) for r in matching.one_to_one_match(df).collect()) == walked_pairs({p: (s, t) for p, s, t in hot})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cox_summary_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(1, 30), int(rng.random() < 0.6), rng.choice("abc")) for _ in range(250)]
+    rows += [(rng.randrange(1, 10), 1, "c") for _ in range(60)] + [(5, 0, "none"), (None, 1, "a")]
+    df = spark.createDataFrame(rows, "t int, e int, g string")
+    got = survival.cox_summary(df, "t", "e", "g", ["a", "b", "c", "none"]).first()
+    beta = {"a": 0.0} | {r["level"]: r["coef"] for r in survival.cox_ph(df, "t", "e", "g", ["a", "b", "c"]).collect()}
+    data = [(t, e, beta[g]) for t, e, g in rows if t is not None and g in beta]
+    counts = [0, 0, 0]
+    for t, e, b in data:
+        for t2, e2, b2 in data if e else []:
+            if t2 > t or (t2 == t and not e2):
+                counts[0] += 1
+                counts[1] += b > b2
+                counts[2] += b == b2
+    assert [got[c] for c in ("pairs", "concordant", "tied")] == counts
+    assert got["concordance"] == pytest.approx((counts[1] + counts[2] / 2) / counts[0])
+
+    def likelihood(scale):
+        total = 0.0
+        for time in {t for t, e, _ in data if e}:
+            dead = [scale * b for t, e, b in data if t == time and e]
+            risk, own = sum(math.exp(scale * b) for t, _, b in data if t >= time), sum(map(math.exp, dead))
+            total += sum(dead) - sum(math.log(risk - j / len(dead) * own) for j in range(len(dead)))
+        return total
+
+    assert got["log_likelihood"] == pytest.approx(likelihood(1)) and got["null_log_likelihood"] == pytest.approx(likelihood(0))
+    assert got["lr_statistic"] == pytest.approx(2 * (likelihood(1) - likelihood(0))) and got["dof"] == 2
+    assert got["p_value"] == pytest.approx(math.exp(-got["lr_statistic"] / 2), rel=1e-4)  # two degrees of freedom
+
+
+def test_cox_summary_without_pairs(spark):
+    df = spark.createDataFrame([(3, 1, "a"), (3, 1, "a")], "t int, e int, g string")
+    got = survival.cox_summary(df, "t", "e", "g", ["a", "b"]).first()
+    assert (got["events"], got["pairs"], got["concordance"], got["dof"], got["lr_statistic"]) == (2, 0, None, 0, 0.0)
+
+
+def logistic_newton(x, y):
+    beta = np.zeros(x.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.linalg.pinv((x * (mu * (1 - mu))[:, None]).T @ x) @ (x.T @ (y - mu))
+    return 1 / (1 + np.exp(-x @ beta))
+
+
+@pytest.mark.parametrize("one_hot", [False, True])
+def test_propensity_equals_newton_over_rows(spark, one_hot):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        u, v = rng.choice(["a", "b", "b", None]), f"v{int(rng.paretovariate(1)) % 9}"
+        rows.append((i, u, v, "same", int(rng.random() < (0.7 if u == "b" else 0.3))))
+    df = spark.createDataFrame([*rows, (600, "a", "v1", "same", None)], "pid long, u string, v string, w string, treated int")
+    got = {r["pid"]: r["propensity_score"] for r in matching.propensity(df, "treated", ["u", "v", "w"], one_hot=one_hot).collect()}
+    codes = []
+    for place in (1, 2, 3):
+        names = ["unknown" if r[place] is None else r[place] for r in rows] + [("a", "v1", "same")[place - 1]]
+        ranked = sorted(set(names), key=lambda n: (-names.count(n), n))
+        codes.append([ranked.index(n) for n in names[:-1]])
+    columns = [np.ones(len(rows))]
+    for code in codes:
+        columns += [np.equal(code, k).astype(float) for k in range(max(code))] if one_hot else [np.array(code, float)]
+    want = logistic_newton(np.column_stack(columns), np.array([r[4] for r in rows], float))
+    assert len(got) == 601 and all(abs(got[i] - w) < 1e-7 for i, w in enumerate(want))
+
+
+def test_propensity_of_odd_data(spark):
+    separated = spark.createDataFrame([(i, "ab"[i % 2], i % 2) for i in range(40)], "pid long, u string, treated int")
+    got = {r["u"]: r["propensity_score"] for r in matching.propensity(separated, "treated", ["u"]).collect()}
+    assert got["a"] < 1e-6 and got["b"] > 1 - 1e-6
+    assert matching.propensity(separated.limit(0), "treated", ["u"]).count() == 0
+    with pytest.raises(ValueError):
+        matching.propensity(separated, "treated", ["u"], one_hot=True, max_columns=1)
+    # many levels, none of them on the driver when their numbers enter as they are
+    many = spark.range(5000).selectExpr("id as pid", "concat('level ', id) as u", "cast(id % 3 = 0 as int) as treated")
+    assert matching.propensity(many, "treated", ["u"]).count() == 5000

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -176,3 +177,28 @@ def test_no_row_window_in_one_task(spark):
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
     assert all("_n" in line or "Exchange" in line for line in single)
     assert "hashpartitioning(_range" in plan
+
+
+def test_group_statistics_equal_sorted_values(spark):
+    """Exact quantiles of skewed, tied, null and NaN-free columns, with a group of nearly all rows."""
+    rng = random.Random(3)
+    rows = [("big" if rng.random() < 0.9 else rng.choice("xyz"), rng.randrange(10**6) if rng.random() < 0.7 else 7, rng.choice([None, rng.randrange(3)]), i % 11) for i in range(3000)]
+    rows += [("one", 5, None, 1), ("none", None, None, 1)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, w long").repartition(5)
+    got = ordered.group_statistics(df, ["g"], ["a", "b"], [0.25, 0.5, 1.0], lambda d, names: d.select("g", *names), "w")
+    found = {(r["g"], r["cell"]): r for r in got.collect()}
+    want = {}
+    for g, *values, w in rows:
+        for cell, v in enumerate(values):
+            if v is not None:
+                want.setdefault((g, cell), []).append((v, w))
+    assert found.keys() == want.keys()
+    for key, pairs in want.items():
+        values, r = sorted(v for v, _ in pairs), found[key]
+        n = len(values)
+        mean = sum(values) / n
+        assert (r["n"], r["sum"], r["weight"]) == (n, sum(values), sum(w for _, w in pairs))
+        assert [r["q0"], r["q1"], r["q2"]] == [values[max(1, math.ceil(n * s)) - 1] for s in (0.25, 0.5, 1.0)]
+        assert r["mean"] == pytest.approx(mean)
+        assert r["stddev"] == (pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1))) if n > 1 else None)
+    assert ordered.group_statistics(df.limit(0), ["g"], ["a", "b"], [0.5], lambda d, names: d.select("g", *names), "w").count() == 0
