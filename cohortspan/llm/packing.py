@@ -3,12 +3,10 @@
 The number of sequences is the value of a linear program over configurations (how
 many pieces of each length one sequence takes) that must cover the histogram of
 lengths. Multiplicative weights cover it whole: lengths that are covered least weigh most,
-and a knapsack by dynamic programming finds the configuration that is worth most.
-The program is over lengths of more than a sixteenth of a sequence; whole uses of
-its configurations are taken, and the pieces that remain, with all shorter ones, fill
-gaps and further sequences by best fit. With a full histogram few of the knapsack's lengths
-are partners of each other; so sequences are also filled from the longest piece down by the
-fullest choice of all lengths, and of these plans and plain best fit the shortest is taken.
+and a knapsack by dynamic programming, over all open lengths at once, finds for every
+length the configuration with it that is worth most. The program is over lengths of more
+than a sixteenth of a sequence; whole uses of its configurations are taken, and the pieces
+that remain, with all shorter ones, fill gaps and further sequences by best fit.
 The histogram has at most one entry per length, whatever the input's size;
 pieces are then numbered within their length and looked up in the plan.
 """
@@ -30,79 +28,124 @@ from cohortspan.llm.common import ORDER_BITS, durable, quoted, running
 from cohortspan.llm.tokens import CHUNKS, PIECES, encoder, tokenizer_path
 
 CAPACITY = 4096
-#: Lengths that one pricing considers.
-PRICED = 40
 #: Pieces of up to this share of the capacity are kept to fill gaps.
 SMALL = 1 / 16
-#: Share of a length's pieces that one round may cover, and sharpness of the weights.
-STEP = 0.25
-RATE = 8.0
-#: How much more a long piece and an uncovered one are worth per token than others.
-FAVOUR, TILT = 0.05, 0.1
+#: Rounds in which the program covers equal shares of all that it is to cover, and sharpness of the weights.
+PHASES = 20
+#: Rounds in all in which a configuration with a used-up partner waits for new prices.
+WAITING = 200
+RATE = 0.05
+#: How much more a token of a piece of full length is worth than one of the shortest.
+FAVOUR = 1.0
 _BIG = 1 << 48
 
 #: A configuration: sorted ((length, copies), ...).
 Config = tuple[tuple[int, int], ...]
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> Config:
-    """The multiset of lengths of largest value that fits, by dynamic programming over the capacity.
+def knapsack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every room the largest value that fits, and a length to take first (0: one token stays free).
 
-    Copies of a length (at most ``most``) are offered in bundles of 1, 2, 4, ...
+    ``values`` has the value of each length by its number, -inf where there is none; copies are
+    not limited. Rooms closer than the shortest length do not depend on each other and are
+    compared with all lengths at once.
     """
-    items: list[tuple[int, int]] = []
-    best = np.zeros(capacity + 1)
-    picked = []
-    for k, (length, value, limit) in enumerate(zip(lengths.tolist(), values.tolist(), most.tolist())):
-        limit, bundle = min(limit, capacity // length), 1
-        while limit > 0:
-            n = min(bundle, limit)
-            size = n * length
-            better = best[:-size] + n * value > best[size:] + 1e-12
-            take = np.zeros(capacity + 1, bool)
-            take[size:] = better
-            best[size:] = np.where(better, best[:-size] + n * value, best[size:])
-            items.append((k, n))
-            picked.append(take)
-            limit -= n
-            bundle *= 2
-    room, chosen = int(best.argmax()), Counter()
-    for (k, n), take in zip(reversed(items), reversed(picked)):
-        if take[room]:
-            chosen[int(lengths[k])] += n
-            room -= n * int(lengths[k])
-    return tuple(sorted(chosen.items()))
+    lengths = np.flatnonzero(np.isfinite(values))
+    best, first = np.zeros(len(values)), np.zeros(len(values), np.int64)
+    start = int(lengths[0]) if len(lengths) else len(values)
+    while start < len(values):
+        rooms = np.arange(start, min(start + int(lengths[0]), len(values)))
+        fits = lengths[:np.searchsorted(lengths, rooms[-1], "right")]
+        rest = rooms[:, None] - fits
+        worth = np.where(rest >= 0, best[rest] + values[fits], -np.inf)
+        k = worth.argmax(axis=1)
+        top = worth[np.arange(len(rooms)), k]
+        before = np.maximum.accumulate(np.concatenate([[best[start - 1]], top[:-1]]))
+        better = top > before
+        best[rooms], first[rooms] = np.where(better, top, before), np.where(better, fits[k], 0)
+        start = int(rooms[-1]) + 1
+    return best, first
+
+
+def prices(lengths: np.ndarray, open_: np.ndarray, capacity: int) -> np.ndarray:
+    """What a piece of each length is worth, by the share of its pieces that is ``open_``; -inf without any.
+
+    A token of a longer piece, which fits less often, is worth a little more, and so is one
+    of a length that is covered less than others.
+    """
+    values = np.full(capacity + 1, -np.inf)
+    some = open_ > 0
+    sizes = lengths[some] / capacity
+    values[lengths[some]] = sizes * (1 + FAVOUR * sizes) * np.exp(RATE * (open_[some] - open_.max()))
+    return values
 
 
 def fractional(counts: dict[int, int], capacity: int) -> dict[Config, float]:
     """Fractional uses of configurations that cover the whole histogram.
 
-    A round covers all that is left of a length or ``STEP`` of it, so their number is at most
-    1 / STEP + 1 times that of the lengths.
+    Every phase covers an equal share of each length, the longest first, by the configuration
+    with it that is worth most. A configuration whose partner is used up waits for the next
+    prices, also after the last phase; after WAITING rounds the partner that is worth most of
+    those left takes its place instead, so the whole histogram is covered in any case.
     """
     lengths = np.array(sorted(counts))
-    demand = np.array([counts[n] for n in lengths.tolist()], float)
-    covered = np.zeros(len(lengths))
+    demand, left = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    demand[lengths] = left[lengths] = [counts[n] for n in lengths.tolist()]
     uses: dict[Config, float] = defaultdict(float)
-    while len(open_ := np.flatnonzero(covered < demand * (1 - 1e-9))):
-        weight = np.exp(-RATE * covered[open_] / demand[open_])
-        # the heaviest weights, spread over the lengths: each stretch of lengths sends its own
-        spread = open_[np.argsort(-weight, kind="stable")]
-        part = spread * PRICED // max(1, len(lengths))
-        _, first = np.unique(part, return_index=True)
-        priced = np.sort(spread[first])
-        # worth grows a little faster than length, so that long pieces, which fit least, go first
-        values = lengths[priced] * (1 + FAVOUR * lengths[priced] / capacity) * np.exp(-TILT * covered[priced] / demand[priced])
-        left = demand[priced] - covered[priced]
-        config = knapsack(lengths[priced], values, np.maximum(1, left).astype(int), capacity)
-        index = np.searchsorted(lengths, [n for n, _ in config])
-        copies = np.array([c for _, c in config], float)
-        amount = float(np.minimum(np.maximum(demand[index] * STEP, 1) / copies, (demand - covered)[index] / copies).min())
-        covered[index] += amount * copies
-        uses[config] += amount
+    phase = 0
+    while left.any():
+        goal = left * (1 - 1 / max(1, PHASES - phase))
+        phase += 1
+        values = prices(lengths, left[lengths] / demand[lengths], capacity)
+        best, first = knapsack(values)
+        for length in np.flatnonzero(left)[::-1].tolist():
+            while left[length] > goal[length]:
+                config, room = Counter({length: 1}), capacity - length
+                while room:
+                    step = int(first[room])
+                    if step and not left[step] and phase > WAITING:
+                        worth = values[1:room + 1] + best[room - 1::-1]
+                        step = int(worth.argmax()) + 1
+                        if not np.isfinite(worth[step - 1]):
+                            break
+                    if step:
+                        config[step] += 1
+                    room -= step or 1
+                amount = min(min(left[k] / n for k, n in config.items()), (left[length] - goal[length]) / config[length])
+                if amount <= 0:
+                    break
+                for k, n in config.items():
+                    rest = left[k] - amount * n
+                    left[k] = rest if rest > 1e-9 * demand[k] else 0
+                    if not left[k]:
+                        values[k] = -np.inf
+                uses[tuple(sorted(config.items()))] += amount
+                if left[length] - goal[length] <= 1e-9 * demand[length]:
+                    break
     return uses
 
 
+def least(counts: dict[int, int], capacity: int) -> int:
+    """A number of sequences that no plan goes below, from the program's dual.
+
+    Any prices under which no configuration is worth more than one sequence give such a bound:
+    the pieces' worth. Tried are one for each piece of more than half a sequence, the lengths with
+    every threshold up to which pieces count nothing, and the prices that the weights start from.
+    """
+    lengths = np.array(sorted(counts))
+    if not len(lengths):
+        return 0
+    demand = np.array([counts[n] for n in lengths.tolist()], float)
+    # below a threshold pieces are worth nothing, above its complement a sequence, and between by length
+    limits = np.arange(capacity // 2 + 1)
+    full = demand @ (lengths[:, None] > capacity - limits)
+    between = demand * lengths @ ((lengths[:, None] >= limits) & (lengths[:, None] <= capacity - limits)) / capacity
+    bounds = [float(demand[2 * lengths > capacity].sum()), float((full + between).max())]
+    values = prices(lengths, np.ones(len(lengths)), capacity)
+    bounds.append(float(demand @ values[lengths] / knapsack(values)[0][capacity]))
+    return int(np.ceil(max(bounds) - 1e-6))
+
+
 def rounded(uses: dict[Config, float], counts: dict[int, int]) -> tuple[dict[Config, int], dict[int, int]]:
     """Whole uses that the histogram still has pieces for, and the pieces that remain."""
     left = dict(counts)
@@ -161,43 +204,6 @@ def best_fit(counts: dict[int, int], capacity: int, begun: dict[Config, int] | N
     return dict(out)
 
 
-def fullest(counts: dict[int, int], capacity: int) -> dict[Config, int]:
-    """Sequences from the longest piece down, each filled as far as any choice of the rest can.
-
-    The sums that the rest can reach are the bits of one whole number. Of equal sums the one
-    of longer pieces is taken, as often as there are pieces for it.
-    """
-    left = {k: n for k, n in counts.items() if n}
-    out: dict[Config, int] = Counter()
-    while left:
-        longest = max(left)
-        room = capacity - longest
-        items: list[tuple[int, int]] = []
-        reach = [1]
-        for length in sorted((k for k in left if k <= room), reverse=True):
-            limit, bundle = min(left[length] - (length == longest), room // length), 1
-            while limit > 0:
-                n = min(bundle, limit)
-                items.append((length, n))
-                reach.append((reach[-1] | reach[-1] << n * length) & ((2 << room) - 1))
-                limit -= n
-                bundle *= 2
-            if reach[-1] >> room:
-                break
-        total, chosen = reach[-1].bit_length() - 1, Counter({longest: 1})
-        for (length, n), before in zip(reversed(items), reversed(reach[:-1])):
-            if not before >> total & 1:
-                chosen[length] += n
-                total -= n * length
-        times = min(left[length] // n for length, n in chosen.items())
-        out[tuple(sorted(chosen.items()))] += times
-        for length, n in chosen.items():
-            left[length] -= n * times
-            if not left[length]:
-                del left[length]
-    return dict(out)
-
-
 @dataclass(frozen=True)
 class Plan:
     """Where the pieces of each length go, by their number within the length.
@@ -223,9 +229,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     large = {k: n for k, n in counts.items() if capacity * SMALL < k < capacity}
     whole, left = rounded(fractional(large, capacity), large) if large else ({}, {})
     left |= {k: n for k, n in counts.items() if k <= capacity * SMALL}
-    shorter = {k: n for k, n in counts.items() if k < capacity}
-    plans = [best_fit(left, capacity, whole), fullest(shorter, capacity), best_fit(shorter, capacity)]
-    configs = list(min(plans, key=lambda p: sum(p.values())).items())
+    configs = list(best_fit(left, capacity, whole).items())
     if counts.get(capacity):
         configs.append((((capacity, 1),), counts[capacity]))
     rows, numbers, sequence = [], Counter(), 0

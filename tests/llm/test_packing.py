@@ -15,17 +15,57 @@ def used(config):
     return sum(length * n for length, n in config)
 
 
+def fullest(counts: dict[int, int], capacity: int) -> dict:
+    """Another plan to compare with: sequences from the longest piece down, each filled as far as any choice of the rest can.
+
+    The sums that the rest can reach are the bits of one whole number. Of equal sums the one
+    of longer pieces is taken, as often as there are pieces for it.
+    """
+    left = {k: n for k, n in counts.items() if n}
+    out: dict = Counter()
+    while left:
+        longest = max(left)
+        room = capacity - longest
+        items: list[tuple[int, int]] = []
+        reach = [1]
+        for length in sorted((k for k in left if k <= room), reverse=True):
+            limit, bundle = min(left[length] - (length == longest), room // length), 1
+            while limit > 0:
+                n = min(bundle, limit)
+                items.append((length, n))
+                reach.append((reach[-1] | reach[-1] << n * length) & ((2 << room) - 1))
+                limit -= n
+                bundle *= 2
+            if reach[-1] >> room:
+                break
+        total, chosen = reach[-1].bit_length() - 1, Counter({longest: 1})
+        for (length, n), before in zip(reversed(items), reversed(reach[:-1])):
+            if not before >> total & 1:
+                chosen[length] += n
+                total -= n * length
+        times = min(left[length] // n for length, n in chosen.items())
+        out[tuple(sorted(chosen.items()))] += times
+        for length, n in chosen.items():
+            left[length] -= n * times
+            if not left[length]:
+                del left[length]
+    return dict(out)
+
+
 def test_knapsack_against_all_choices():
     rng = np.random.default_rng(2)
     for _ in range(30):
         lengths = np.unique(rng.integers(1, 15, 4))
-        values, most = rng.random(len(lengths)), rng.integers(1, 4, len(lengths))
-        got = dict(packing.knapsack(lengths, values, most, 20))
-        worth = lambda c: sum(v * n for v, n in zip(values, c))
-        best = max(worth(c) for c in itertools.product(*[range(m + 1) for m in most]) if np.dot(c, lengths) <= 20)
-        chosen = [got.get(n, 0) for n in lengths.tolist()]
-        assert np.dot(chosen, lengths) <= 20 and all(c <= m for c, m in zip(chosen, most))
-        assert worth(chosen) == pytest.approx(best)
+        values = np.full(21, -np.inf)
+        values[lengths] = rng.random(len(lengths))
+        best, first = packing.knapsack(values)
+        for room in range(21):
+            most = max((values[lengths] @ c for c in itertools.product(*[range(room // n + 1) for n in lengths]) if np.dot(c, lengths) <= room), default=0)
+            at, total = room, 0.0
+            while at:
+                total += values[first[at]] if first[at] else 0
+                at -= int(first[at]) or 1
+            assert at == 0 and best[room] == pytest.approx(most) and total == pytest.approx(most)
 
 
 def random_counts(n, seed=1):
@@ -79,14 +119,37 @@ def test_a_full_histogram_is_covered_and_packed(most):
             covered[length] += n * c
     assert all(covered[k] >= n * (1 - 1e-6) for k, n in counts.items())
     least = max(-(-sum(k * n for k, n in counts.items()) // 4096), sum(n for k, n in counts.items() if k > 2048))
-    assert packing.solve(counts).count <= least * 1.01
+    assert least <= packing.least(counts, 4096)
+    others = [sum(plan.values()) for plan in (packing.best_fit(counts, 4096), fullest(counts, 4096))]
+    assert packing.solve(counts).count <= min(packing.least(counts, 4096) * (1.01 if most < 100 else 1.005), *others)
+
+
+def test_the_bound_holds():
+    """No plan is below it: against the best of all plans of few pieces."""
+    rng = np.random.default_rng(4)
+
+    def fewest(pieces, rooms):
+        if not pieces:
+            return len(rooms)
+        head, *rest = pieces
+        tries = [fewest(rest, [*rooms, 20 - head])]
+        for room in {r for r in rooms if r >= head}:
+            now = list(rooms)
+            now.remove(room)
+            tries.append(fewest(rest, [*now, room - head]))
+        return min(tries)
+
+    for _ in range(30):
+        pieces = sorted(rng.integers(2, 20, 7).tolist(), reverse=True)
+        assert packing.least(Counter(pieces), 20) <= fewest(pieces, []) <= packing.solve(Counter(pieces), 20).count
+    assert packing.least({}, 20) == 0
 
 
 def test_fullest_sequences_hold_every_piece_once():
     rng = np.random.default_rng(5)
     for capacity, n in [(20, 12), (100, 80), (4096, 3000)] * 5:
         counts = Counter(rng.integers(1, capacity + 1, n).tolist())
-        bins = packing.fullest(counts, capacity)
+        bins = fullest(counts, capacity)
         assert Counter({k: sum(dict(c).get(k, 0) * m for c, m in bins.items()) for k in counts}) == counts
         assert all(0 < used(c) <= capacity for c in bins) and min(bins.values()) > 0
         # the first sequence is as full as any choice beside the longest piece can make it
