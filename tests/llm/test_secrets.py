@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 import string
+import time
+
+from pyspark.sql import functions as F
 
 from cohortspan.llm import secrets
 from tests.llm.conftest import ODD, make
@@ -69,3 +72,50 @@ def test_odd_rows(odd, empty):
     got = secrets.find_secrets(odd).collect()
     check(ODD, got)
     assert secrets.find_secrets(empty).count() == 0
+
+
+def test_strings_from_16_characters_on(spark):
+    rng = random.Random(9)
+    words = "configuration processing environment distribution information representation".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(50)) + f' token = "{"".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))}"') for i in range(60)]
+    rows += [(100, "see qX7vK2mZ9pLw4RtB here"), (101, "card 4903482385146306 and 1234567812345678."), (102, "distributionprocessing"), (103, "to bN3cJ8xD5gH1yQ6")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(make(spark, rows)).collect() if r["doc_id"] >= 100}
+    assert got == {100: "random:4:20", 101: "", 102: "", 103: ""}
+
+
+def test_many_matches_in_one_text(spark):
+    """16 times the matches take at most 20 times the time, and all are found."""
+    rng = random.Random(5)
+
+    def seconds(n):
+        text = " ".join(f"{rng.getrandbits(96):024x}" if i % 3 else f"qX7vK2mZ9pLw4Rt{i} token={'x' * 7}" for i in range(n))
+        frame = make(spark, [(1, text)])
+        start = time.perf_counter()
+        rows = secrets.find_secrets(frame).collect()
+        taken = time.perf_counter() - start
+        check([(1, text)], rows)
+        return taken
+
+    seconds(100)
+    assert seconds(32_000) <= 20 * seconds(2000)
+
+
+def test_apart_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        cuts = sorted(rng.sample(range(300), rng.choice([0, 2, 8, 150])))
+        spans = [(a, b, "v") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = [(a, a + rng.randint(1, 9), "o") for a in rng.sample(range(300), rng.choice([0, 1, 30]))]
+        rows.append((i, spans, others))
+    kind = "array<struct<start:int,end:int,value:string>>"
+    frame = spark.createDataFrame(rows, f"i int, spans {kind}, others {kind}")
+    for r in frame.select("*", secrets._apart(F.col("spans"), F.col("others")).alias("free")).collect():
+        assert [tuple(x) for x in r["free"]] == [tuple(s) for s in r["spans"] if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in r["others"])]
+
+
+def test_sample_of_equal_texts_is_bounded(spark):
+    equal = make(spark, [(i, "one and the same text") for i in range(3000)])
+    assert 50 <= secrets.sample(equal, "text", "doc_id", 100).count() <= 200
+    rows = make(spark, [(7, "one row again and again")] * 3000)
+    assert secrets.sample(rows, "text", "doc_id", 100).count() <= 1
