@@ -170,13 +170,19 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     """One row of each group of near-duplicates, with the input's columns.
 
     The row with the smallest doc_id stays (null ones last, then the smallest
-    hash of the text). Copies are reduced to one row before the texts move.
+    hash of the text).
     """
-    own = {"fp": fingerprint(quoted(text), width), "id": quoted(doc_id), "h": F.xxhash64(quoted(text))}
-    slim = durable(docs.select(own["fp"].alias("fp"), own["id"].alias("doc_id")))
-    named = classes(slim, distance)
+    own = quoted(doc_id)
+    # texts are hashed once; rows are found again by id and the hash of the text
+    slim = durable(docs.select(fingerprint(quoted(text), width).alias("fp"), own.alias("doc_id"), F.xxhash64(quoted(text)).alias("h")))
+    named = classes(slim.select("doc_id", "fp"), distance)
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("fp"))
     keepers = named.groupBy("root").agg(F.min(order).alias("low")).select("low.fp")
-    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("h"))
-    firsts = pack(docs, **own).groupBy("fp").agg(F.min_by("_row", rank).alias("_row"))
-    return unpack(firsts.join(keepers, "fp", "left_semi"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    first = slim.groupBy("fp").agg(F.min(rank).alias("first"))
+    name = lambda of: F.coalesce(of.cast("string"), F.lit(""))
+    keys = ["none", "key", "h"]
+    kept = keepers.join(first, "fp").select("first.none", name(F.col("first.id")).alias("key"), "first.h")
+    rows = pack(docs, none=own.isNull(), key=name(own), h=F.xxhash64(quoted(text)))
+    # rows that repeat both are one
+    return unpack(rows.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row")))
