@@ -27,7 +27,7 @@ QUICK = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,
 
 #: Strings that the models judge, from 16 characters on (of digits alone, such as card numbers, from 20),
 #: and words that they learn as ordinary.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}|(?![0-9]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/_=-]{20,}+|(?![0-9]++(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}+)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Sizes that one block of a running sum holds.
