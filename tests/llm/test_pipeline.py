@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert set(queries.SQL) <= set(queries.QUERIES)
 
