@@ -236,11 +236,14 @@ def _usable(df: DataFrame, design: Design, y: str, by: str | None) -> DataFrame:
 
 
 def _summed(cells: DataFrame, partial) -> dict[str, np.ndarray]:
-    """Add up the vectors that ``partial`` returns per model and partition; one row per model comes back."""
+    """Add up the vectors that ``partial`` returns per model and partition; one row per model comes back.
+
+    ``cells`` come out of an aggregation, so they have no more partitions than shuffles have.
+    """
     schema = "_model string, part int, v array<double>"
 
     def run(batches):
-        part, totals = TaskContext.get().partitionId() % _FAN_IN, {}
+        part, totals = TaskContext.get().partitionId() // _FAN_IN, {}
         for batch in batches:
             for key, rows in batch.groupby("_model", sort=False):
                 vector = partial(key, rows)
@@ -249,13 +252,26 @@ def _summed(cells: DataFrame, partial) -> dict[str, np.ndarray]:
             yield pd.DataFrame({"_model": [key], "part": [part], "v": [vector.tolist()]})
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_model": [key[0]], "part": [0], "v": [np.sum(np.stack(rows["v"].to_list()), axis=0).tolist()]})
-
-    added = cells.mapInPandas(run, schema).groupBy("_model", "part").applyInPandas(add, schema)
-    added = added.groupBy("_model").applyInPandas(add, schema)
+        total = np.array(rows["v"].iat[0], np.float64)
+        for vector in rows["v"].iloc[1:]:
+            total += vector
+        return pd.DataFrame({"_model": [key[0]], "part": [key[1] // _FAN_IN], "v": [total.tolist()]})
+
+    added = cells.mapInPandas(run, schema)
+    for _ in range(_levels(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))):
+        added = added.groupBy("_model", "part").applyInPandas(add, schema)
     return {row["_model"]: np.array(row["v"]) for row in added.collect()}
 
 
+def _levels(partitions: int) -> int:
+    """Levels of a tree in which ``_FAN_IN`` vectors meet at a time until one is left."""
+    levels = 1
+    while partitions > _FAN_IN:
+        partitions = -(-partitions // _FAN_IN)
+        levels += 1
+    return levels
+
+
 def independent_columns(gram: np.ndarray) -> list[int]:
     """Columns that are no linear combination of earlier ones."""
     kept: list[int] = []

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions import bands as b
 from cohortspan.functions.tails import t_p
-from cohortspan.operators import association, cohort, did, periods, utilisation
+from cohortspan.operators import association, cohort, did, effects, periods, utilisation
+from cohortspan.plans import solve
 from cohortspan.plans.base import query, t_p_sql, unpivot_sql, with_ctes
 from cohortspan.session import durable
 from cohortspan.sources import mapping as m
@@ -799,3 +800,59 @@ def high_users_second_measure(spark, sf_dir):
 def high_users_after(spark, sf_dir):
     """Weekly use in the after period alone, which is as long as the wait."""
     return association.high_user_table(labelled_users(spark, sf_dir, after=True), FIVE)
+
+
+# --- two-way effects by alternating projections -------------------------------
+
+
+@query(
+    "did_projections",
+    with_ctes(
+        PANEL_PARTS,
+        """SELECT activity AS outcome, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 4) AS t_value, n_obs, n_entities, 2 AS n_periods
+FROM twfe WHERE comparison = '> 42 weeks'""",
+        _PANEL + ",\n" + _TWFE.format(y="avg_weekly_use"),
+    ),
+)
+def did_projections(spark, sf_dir):
+    """The estimate of the longest waits a second way; :func:`did_twfe` has the closed form of two periods."""
+    rows = panel(spark, sf_dir).filter(F.col("group").isin(did.CONTROL, "> 42 weeks"))
+    weekly = {c: F.col(c).cast("double") / F.col("max_time_covered") * 7 for c in MEASURES}
+    rows = rows.withColumns({**weekly, "d": F.col("treated") * F.col("time_period")})
+    return effects.two_way_effects(rows, MEASURES, "d").drop("rounds").withColumn("t_value", F.round("t_value", 4))
+
+
+_YEARS = range(1996, 2002)
+_YEARLY = """yearly AS (SELECT pid, year(day) AS y, sum(use_a) AS use_a, sum(use_n) AS use_n, sum(use_r) AS use_r FROM activity GROUP BY 1, 2),
+started AS (SELECT pid, year(start_date) AS y, count(*) AS started FROM spans GROUP BY 1, 2),
+patient_years AS (SELECT yearly.*, coalesce(started, 0) AS started FROM yearly LEFT JOIN started ON started.pid = yearly.pid AND started.y = yearly.y),
+outcomes AS (""" + stack(
+    f"SELECT '{c}' AS outcome, pid, y, started::DOUBLE AS x, {c}::DOUBLE AS use FROM patient_years" for c in m.USES
+) + """),
+freed AS MATERIALIZED (SELECT outcome, pid, x - avg(x) OVER e AS x, use - avg(use) OVER e AS use, """ + ", ".join(
+    f"(y = {y})::DOUBLE - avg((y = {y})::DOUBLE) OVER e AS d{y}" for y in _YEARS
+) + " FROM outcomes WINDOW e AS (PARTITION BY outcome, pid)),\n"
+_FREED = ["x", *[f"d{y}" for y in _YEARS]]
+
+
+@query(
+    "use_by_year_effects",
+    with_ctes(
+        "spans activity",
+        f"""SELECT outcome, round(coef, 6) AS coef, round(sqrt(n_entities / (n_entities - 1) * (n_obs - 1) / (n_obs - n_periods - 1) * meat), 6) AS se,
+  n_obs, n_entities, n_periods
+FROM (SELECT model AS outcome, beta AS coef FROM f_beta WHERE i = 0)
+JOIN (SELECT outcome, count(*) AS n_obs, count(DISTINCT pid) AS n_entities, CAST(count(DISTINCT y) AS INTEGER) AS n_periods FROM outcomes GROUP BY 1) USING (outcome)
+JOIN (SELECT outcome, sum(score * score) AS meat FROM (
+  SELECT r.outcome, r.pid, sum(z.z * (r.use - f.fitted)) AS score FROM freed r
+  JOIN f_fit f ON f.model = r.outcome AND f.x = [{", ".join(f"r.{c}" for c in _FREED)}]
+  JOIN f_z z ON z.model = f.model AND z.x = f.x AND z.i = 0 GROUP BY 1, 2) GROUP BY 1) USING (outcome)""",
+        _YEARLY + solve.least_squares("f", "freed", _FREED, "use", "outcome"),
+    ),
+)
+def use_by_year_effects(spark, sf_dir):
+    """Use in a calendar year on the pathways started in it, with patient and year effects; years without use are absent."""
+    yearly = m.activity(spark, sf_dir).groupBy("pid", F.year("day").alias("y")).agg(*[F.sum(c).alias(c) for c in m.USES])
+    started = m.spans(spark, sf_dir).groupBy("pid", F.year("start_date").alias("y")).agg(F.count("*").alias("started"))
+    rows = yearly.join(started, ["pid", "y"], "left").na.fill(0, ["started"])
+    return effects.two_way_effects(rows, m.USES, "started", period="y").drop("rounds", "t_value")

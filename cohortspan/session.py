@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,17 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
     local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for files that are read again, in the shared folder; it goes when the application ends."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,7 +76,7 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="cohortspan-checkpoint-")
         context.setCheckpointDir(folder)
     _delete_at_exit(context)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def _delete_at_exit(context: SparkContext) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspan.session import durable
+
 
 def read_parquet(spark: SparkSession, path: str, fill: float | None = None) -> DataFrame:
     """Parquet scan; ``fill`` replaces nulls of the numeric columns."""
@@ -20,6 +22,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | str, record: str = "record") -> tuple[DataFrame, DataFrame]:
+    """Delimited input split in accepted rows and the ``record`` texts of rejected lines.
+
+    A line is rejected when it has more or fewer fields than the schema or a field that its type cannot read; an empty
+    field is null. The lines are parsed once, with all columns whatever is read later, and stored, so the
+    two outputs add up to the lines of the file.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if record.lower() in (f.name.lower() for f in fields):
+        raise ValueError(f"the schema has a column {record!r}")
+    parsed = spark.read.csv(
+        path, header=True, schema=T.StructType([*fields, T.StructField(record, T.StringType())]), mode="PERMISSIVE", columnNameOfCorruptRecord=record
+    )
+    stored = durable(parsed)
+    bad = F.col(record).isNotNull()
+    return stored.filter(~bad).drop(record), stored.filter(bad).select(record)
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     """Fail early when a column is missing (names compare without case)."""
     have = {c.lower() for c in df.columns}
