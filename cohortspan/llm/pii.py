@@ -31,12 +31,29 @@ _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _numbers = re.compile(r"[0-9]+(?:\.[0-9]+)+").match
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
-_login = re.compile(r"[^\s/?#@:]{1,64}:[^\s/?#@]{1,128}@[A-Za-z0-9.-]{1,253}").match
-_gap = r"(?:[ \t]{0,4}(?:number|no|nr|#|is)\.?)?[ \t]{0,4}[:=#]?[ \t]{0,4}"
+_login = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@[A-Za-z0-9.-]+").match
+
+
+def _gap(inside: str) -> str:
+    """Blanks, words such as "number is" and marks between a cue and its value; ``inside`` may not follow a word."""
+    return rf"(?:[ \t]*+(?:(?i:number|num|no|nr|is)(?![{inside}])\.?|[:=#]))*+[ \t]*+"
+
+
 _after = {
-    "iban": re.compile(_gap + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])").match,
-    "ssn": re.compile(_gap + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])").match,
-    "account": re.compile(_gap + r"([0-9]{6,17})(?![0-9A-Za-z])").match,
+    # "NO" before digits is a country, not a word
+    "iban": re.compile(_gap("A-Za-z0-9") + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})").match,
+    "ssn": re.compile(_gap("A-Za-z") + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])").match,
+    "account": re.compile(_gap("A-Za-z") + r"([0-9]{6,17})(?![0-9A-Za-z])").match,
+}
+#: Length of an account number by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27,
+    "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33,
+    "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 Span = tuple[str, int, int]
@@ -52,9 +69,23 @@ def luhn(digits: str) -> bool:
 
 def iban_valid(value: str) -> bool:
     value = value.replace(" ", "")
+    if len(value) != IBAN_LENGTHS.get(value[:2], len(value)):
+        return False
     return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the account number that starts at ``start`` ends: at its country's length, for other countries at ``end``."""
+    left = IBAN_LENGTHS.get(text[start:start + 2])
+    if left is None:
+        return end
+    for k in range(start, end):
+        left -= text[k] != " "
+        if left == 0:
+            return k + 1
+    return end
+
+
 def ssn_valid(value: str) -> bool:
     area, group, serial = value.split("-")
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -124,7 +155,7 @@ def spans(text: str | None) -> dict[str, list[Span]]:
                 out[kind].append((kind, at, found.end()))
         elif kind == "login":
             start = at
-            while start > max(ends[kind], at - 16) and text[start - 1] in _SCHEME:
+            while start > ends[kind] and text[start - 1] in _SCHEME:
                 start -= 1
             found = _login(text, at + size) if start < at else None
             if found:
@@ -133,10 +164,13 @@ def spans(text: str | None) -> dict[str, list[Span]]:
         else:
             found = _after[kind](text, at + size)
             if found and found.start(1) >= ends[kind]:
-                value = found.group(1)
-                if kind == "account" or (iban_valid(value) if kind == "iban" else ssn_valid(value)):
-                    out[kind].append((kind, *found.span(1)))
-                    ends[kind] = found.end(1)
+                start, end = found.span(1)
+                if kind == "iban":
+                    end = iban_end(text, start, end)
+                value = text[start:end]
+                if kind == "account" or (ssn_valid(value) if kind == "ssn" else iban_valid(value) and not text[end:end + 1].isalnum()):
+                    out[kind].append((kind, start, end))
+                    ends[kind] = end
     return out
 
 

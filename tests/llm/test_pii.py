@@ -1,5 +1,6 @@
 import hashlib
 import re
+import timeit
 
 import pytest
 from hypothesis import given, settings
@@ -83,3 +84,34 @@ def test_odd_rows(odd, empty):
     masked = pii.mask_pii(odd)
     assert masked.columns == odd.columns
     assert [r["text"] for r in masked.collect() if r["doc_id"] == 5] == [None]
+
+
+@pytest.mark.parametrize("kind, text, value", [
+    ("account", "Account Number: 12345678", "12345678"),
+    ("account", "account number is 12345678.", "12345678"),
+    ("account", "ACCT NO.12345678", "12345678"),
+    ("account", "account no12345678", "12345678"),
+    ("account", "Account" + " " * 300 + "No" + " " * 300 + "is: 12345678", "12345678"),
+    ("iban", "IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+    ("iban", "Iban No. is GB82 WEST 1234 5698 7654 32 AND MORE 12", "GB82 WEST 1234 5698 7654 32"),
+    ("iban", "IBAN NO9386011117947", "NO9386011117947"),
+    ("iban", "IBAN: NO 93 8601", None),
+    ("iban", "IBAN DE89370400440532013001", None),
+    ("iban", "IBAN DE89370400440532013000X", None),
+    ("iban", "IBAN DE8937040044053201300", None),
+    ("ssn", "Social Security Number Is 123-45-6789", "123-45-6789"),
+    ("login", "https://user:" + "x" * 140 + "@host.example/path", "https://user:" + "x" * 140 + "@host.example"),
+    ("login", "a-scheme-of-more-than-sixteen://" + "u" * 100 + ":p@h", "a-scheme-of-more-than-sixteen://" + "u" * 100 + ":p@h"),
+    ("login", "https://host.example/a:b@c", None),
+])
+def test_added_kinds_have_no_caps(kind, text, value):
+    assert [text[s:e] for _, s, e in pii.spans(text)[kind]] == ([] if value is None else [value])
+
+
+@pytest.mark.parametrize("part", ["IBAN AA11 ", "account no ", "://a:", "a@", "https://u:p@h ", "12.3.4.5 ", "+1 234 5678 ", "account 123456, "])
+def test_long_texts_full_of_anchors_take_linear_time(part):
+    def seconds(n):
+        text = part * n
+        return min(timeit.repeat(lambda: pii.spans(text), number=1, repeat=3))
+
+    assert seconds(16_000) < 40 * max(seconds(1_000), 1e-3)
