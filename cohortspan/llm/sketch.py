@@ -54,13 +54,16 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union)
 
 
-def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """Estimate of the share of a's shingles that b has; 1 for an empty a."""
+def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float | None:
+    """Estimate of the share of a's shingles that b has; 1 for an empty a.
+
+    Of a's hashes those count that b's sketch would hold if b had them, all of them where b's sketch
+    is not full. None where there is no such hash: a short text and a far longer one give no evidence.
+    """
     if not len(a):
         return 1.0
-    union = merged(a, b, k)
-    inside = np.isin(union, a, assume_unique=True)
-    return np.isin(union[inside], b, assume_unique=True).sum() / max(1, inside.sum())
+    seen = a if len(b) < k else a[a <= b[k - 1]]
+    return float(np.isin(seen, b, assume_unique=True).mean()) if len(seen) else None
 
 
 def distinct_shingles(a: np.ndarray, k: int = K) -> float:
@@ -136,12 +139,15 @@ def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     placed = rows.withColumn("place", F.explode(places("key")))
     part = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
     placed = placed.select(part.alias("part"), (F.col("place") < 0).cast("int").alias("guest"), "key", "known", "text")
-    return placed.repartition(width, "part").sortWithinPartitions("part", "guest", "key", "known", "text")
+    return placed.repartitionById(width, F.col("part")).sortWithinPartitions("part", "guest", "key", "known", "text")
 
 
 def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, width: int = WIDTH) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
+    ``kept_edited`` and ``kept_next`` are the shares of the text's shingles that the edited and the next
+    text have (null without evidence), ``distinct_with_next`` the shingles of the text and its next together.
+
     The edit puts the start of the next document, by ascending doc_id, in place of the
     last quarter. Null ids come first, equal ids are ordered by text; a null text is
     empty. The last document's next is the first. Other columns are ignored.
@@ -162,10 +168,11 @@ def with_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
                     out.append((
                         str(last) if last_known else None, len(before), hashlib.sha256(edited.encode()).hexdigest(),
                         to_text(print_), to_text(other), resemblance(print_, other, k), resemblance(print_, own, k), distinct_shingles(print_, k),
+                        containment(print_, other, k), containment(print_, own, k), distinct_shingles(merged(print_, own, k), k),
                     ))
                 held = None if guest else (part, key, known, value, sketch(value, k, width) if own is None else own)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles"])
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "kept_edited", "kept_next", "distinct_with_next"])
 
-    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double"
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, kept_edited double, kept_next double, distinct_with_next double"
     found = with_next(docs, text, doc_id).mapInPandas(compare, schema)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -64,6 +64,7 @@ def brute(rows):
         out.append((
             doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), sketch.to_text(prints[0]), sketch.to_text(prints[1]),
             sketch.resemblance(prints[0], prints[1]), sketch.resemblance(prints[0], prints[2]), sketch.distinct_shingles(prints[0]),
+            sketch.containment(prints[0], prints[1]), sketch.containment(prints[0], prints[2]), sketch.distinct_shingles(sketch.merged(prints[0], prints[2])),
         ))
     return sorted(out, key=repr)
 
@@ -87,3 +88,20 @@ def test_resemblance_of_empty_sketches():
     none, some = sketch.sketch(None), sketch.sketch("a")
     assert sketch.resemblance(none, none) == 1.0 and sketch.resemblance(none, some) == 0.0
     assert sketch.containment(none, some) == 1.0 and sketch.containment(some, none) == 0.0
+
+
+def test_containment_of_very_different_lengths():
+    rng = random.Random(4)
+    words = [str(rng.random()) for _ in range(20_000)]
+    long = sketch.sketch(" ".join(words))
+    got = [sketch.containment(sketch.sketch(" ".join(words[i:i + 54])), long) for i in range(0, 19_000, 100)]
+    # an extract is wholly inside, or its sketch says nothing
+    assert set(got) == {None, 1.0}
+    apart = [sketch.containment(sketch.sketch(" ".join(str(rng.random()) for _ in range(54))), long) for _ in range(190)]
+    assert set(apart) == {None, 0.0}
+    assert sketch.containment(long, sketch.sketch(" ".join(words[:10_000]))) == pytest.approx(0.5, abs=0.15)
+
+
+def test_parts_are_dealt_one_to_a_task(spark, docs):
+    placed = sketch.with_next(docs, "text", "doc_id").selectExpr("part", "spark_partition_id() as task").distinct().collect()
+    assert len(placed) > 1 and len({r["task"] for r in placed}) == len(placed) == len({r["part"] for r in placed})
