@@ -3,7 +3,8 @@
 A sum over ``[lo, hi]`` is the running total at ``hi`` minus the one on the day
 before ``lo``. Running totals are kept per key and calendar day, so even a key
 that holds a third of all rows is reduced by the map-side combine to at most one
-row per day before its window is sorted.
+row per day before its window is sorted. For lookups they are one array per key, the
+ledger: each row meets it in one join and finds its days by bisection.
 """
 
 from __future__ import annotations
@@ -26,41 +27,50 @@ def running_totals(events: DataFrame, at: DataFrame, keys: Sequence[str], day: s
     return totals.filter("_asked").drop("_asked")
 
 
-def totals_at(
-    df: DataFrame,
-    events: DataFrame,
-    keys: Sequence[str],
-    days: dict[str, Column],
-    measures: Sequence[str],
-    day: str = "day",
-    row: Sequence[str] = (),
-) -> DataFrame:
-    """Add ``{measure}@{name}``: the running total on each named day of the row.
+def with_ledger(df: DataFrame, events: DataFrame, keys: Sequence[str], measures: Sequence[str], day: str = "day") -> DataFrame:
+    """Add ``_days`` and ``_ledger``, the key's days in order and their running totals, and ``_steps`` for :func:`entries_upto`.
 
-    The rows are read twice, for the days they ask about and for the lookups;
-    store or checkpoint them first when they are expensive to derive. With a unique
-    ``row`` key all days are looked up in one join of narrow rows, which are folded by
-    that key and joined back; without one, each day is a join of the rows themselves.
+    ``events`` have about one row per key and day, so a ledger is no longer than the calendar. The rows
+    move once, as they are; keys without events have nulls.
     """
     keys = list(keys)
-    if row:
-        asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), date.alias(day)) for name, date in days.items()]))
-        slim = df.select(*dict.fromkeys([*row, *keys]), asked.alias("_asked")).select("*", "_asked.*").drop("_asked")
-        totals = running_totals(events, slim.filter(F.col(day).isNotNull()), keys, day, measures)
-        folded = slim.join(totals, [*keys, day], "left").groupBy(*row).agg(
-            *[F.max(F.when(F.col("_name") == name, F.col(m))).alias(f"{m}@{name}") for name in days for m in measures]
-        )
-        return df.join(folded, list(row)).select(*df.columns, *[f"`{m}@{name}`" for name in days for m in measures])
-    dated = df.withColumns({f"_day_{name}": date for name, date in days.items()})
-    names = [f"_day_{name}" for name in days]
-    at = dated.select(*keys, F.explode(F.array(*names)).alias(day)).filter(F.col(day).isNotNull())
-    totals = running_totals(events, at, keys, day, measures)
-    out = dated
-    for name in days:
-        # the same table each time, so its exchange is made once
-        lookup = totals.select(*keys, F.col(day).alias(f"_day_{name}"), *[F.col(m).alias(f"{m}@{name}") for m in measures])
-        out = out.join(lookup, [*keys, f"_day_{name}"], "left")
-    return out.select(*df.columns, *[f"`{m}@{name}`" for name in days for m in measures])
+    # rows of one day share their total
+    upto = Window.partitionBy(*keys).orderBy(day)
+    running = [F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(m) for m in measures]
+    entries = events.filter(F.col(day).isNotNull()).select(*keys, F.struct(F.col(day).alias("day"), *running).alias("_entry"))
+    ledgers = entries.groupBy(*keys).agg(F.sort_array(F.collect_list("_entry")).alias("_ledger"))
+    steps = F.expr("transform(sequence(length(bin(size(_ledger))) - 1, 0, -1), k -> shiftleft(1, k))")
+    ledgers = ledgers.select(*keys, F.col("_ledger.day").alias("_days"), F.transform("_ledger", lambda e: F.struct(*[e[m].alias(m) for m in measures])).alias("_ledger"), steps.alias("_steps"))
+    # with a second join key both sides are dealt anew, so that adaptive execution can split the rows of a hot key
+    dealt = F.xxhash64(*keys)
+    found = df.withColumn("_dealt", dealt).join(ledgers.withColumn("_dealt", dealt), [*keys, "_dealt"], "left")
+    return found.select(*df.columns, "_days", "_ledger", "_steps")
+
+
+def entries_upto(dates: Column) -> Column:
+    """The ledger's last entry of a day up to each of the ``dates``, by bisection; null if there is none."""
+    days = F.col("_days")
+
+    def entry(date: Column) -> Column:
+        place = F.aggregate("_steps", F.lit(-1), lambda at, step: F.when(F.get(days, at + step) <= date, at + step).otherwise(at))
+        return F.get("_ledger", place)
+
+    return F.transform(dates, entry)
+
+
+def totals_at(df: DataFrame, events: DataFrame, keys: Sequence[str], days: dict[str, Column], measures: Sequence[str], day: str = "day") -> DataFrame:
+    """Add ``{measure}@{name}``: the running total on each named day of the row; null without a day or key."""
+    found = with_ledger(df, events, keys, measures, day)
+    dates = F.array(*days.values())
+    found = found.select(*df.columns, dates.alias("_dates"), entries_upto(dates).alias("_entries"))
+
+    def total(i: int, m: str) -> Column:
+        known = F.col("_dates")[i].isNotNull()
+        for key in keys:
+            known = known & F.col(key).isNotNull()
+        return F.when(known, F.coalesce(F.col("_entries")[i][m], F.lit(0)))
+
+    return found.select(*df.columns, *[total(i, m).alias(f"{m}@{name}") for i, name in enumerate(days) for m in measures])
 
 
 def between(measure: str, before: str, upto: str) -> Column:

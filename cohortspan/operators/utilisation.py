@@ -17,11 +17,11 @@ SUFFIXES = {"3m_before": "3m_before", "while_waiting": "waiting_time", "3m_after
 
 
 def wide_utilisation(
-    pathways: DataFrame, activity: DataFrame, measures: Sequence[str], keep: Sequence[str], row: Sequence[str] = ("pathway_id",)
+    pathways: DataFrame, activity: DataFrame, measures: Sequence[str], keep: Sequence[str]
 ) -> DataFrame:
     """``{measure}_{period}`` columns for the 13 weeks before, the wait and the 13 weeks after.
 
-    ``row`` identifies a pathway. A clock that stops before it starts has no use while waiting.
+    A clock that stops before it starts has no use while waiting.
     """
     days = {
         "early": F.date_sub("start_date", QUARTER_DAYS + 1),
@@ -30,7 +30,7 @@ def wide_utilisation(
         "late": F.date_add("stop_date", QUARTER_DAYS),
     }
     windows = {"3m_before": ("early", "start"), "waiting_time": ("start", "stop"), "3m_after": ("stop", "late")}
-    found = totals_at(pathways.select(*keep), activity, ["pid"], days, measures, row=row)
+    found = totals_at(pathways.select(*keep), activity, ["pid"], days, measures)
     inverted = F.col("stop_date") < F.col("start_date")
 
     def use(m: str, p: str) -> Column:

@@ -34,9 +34,9 @@ _WIDE = (
 WIDE_KEEP = ("pathway_id", "pid", "start_date", "stop_date", "wt", "group", *SEVEN)
 
 
-def wide(spark, sf_dir):
+def wide(spark, sf_dir, measures=MEASURES):
     pw = durable(m.pathways(spark, sf_dir).select(*WIDE_KEEP))
-    return utilisation.wide_utilisation(pw, m.activity(spark, sf_dir), MEASURES, WIDE_KEEP)
+    return utilisation.wide_utilisation(pw, m.activity(spark, sf_dir), measures, WIDE_KEEP)
 
 
 @query(
@@ -99,7 +99,7 @@ _LONG_USE = stack(
     ),
 )
 def unpivot_utilisation(spark, sf_dir):
-    return utilisation.unpivot_utilisation(wide(spark, sf_dir), m.USES, ["pathway_id"])
+    return utilisation.unpivot_utilisation(wide(spark, sf_dir, m.USES), m.USES, ["pathway_id"])
 
 
 @query(
@@ -114,7 +114,7 @@ FROM (SELECT *, CASE WHEN time_period = 'during waiting' THEN wt ELSE 91 END AS
     ),
 )
 def utilisation_rate(spark, sf_dir):
-    return utilisation.utilisation_rate(wide(spark, sf_dir), m.USES, ["group"])
+    return utilisation.utilisation_rate(wide(spark, sf_dir, m.USES), m.USES, ["group"])
 
 
 # --- samples ----------------------------------------------------------------
