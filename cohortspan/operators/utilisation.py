@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.operators.ordered import group_statistics
-from cohortspan.operators.running import between, interval_totals, totals_at
+from cohortspan.operators.running import between, entries_upto, interval_totals, totals_at, with_ledger
 from cohortspan.operators.tables import unpivot_variables
 from cohortspan.session import durable
 
@@ -232,23 +232,12 @@ def binned_activity(
     pathways: DataFrame, activity: DataFrame, measure: str, width: int, last_day: Column, group: str = "group"
 ) -> DataFrame:
     """Use by group and bin of days since clock start, up to ``last_day`` (a date)."""
-    collapsed = (
-        pathways.select("pid", group, "start_date", last_day.alias("_last"))
-        .filter(F.col("start_date") <= F.col("_last"))
-        .groupBy("pid", group, "start_date", "_last")
-        .agg(F.count("*").alias("_n"))
-    )
+    waits = pathways.select("pid", group, "start_date", last_day.alias("_last")).filter(F.col("start_date") <= F.col("_last"))
+    found = with_ledger(waits, activity, ["pid"], [measure])
     # neighbouring bins share an edge: it is asked about once, and totals are differences along the edges
     edges = F.expr(f"sequence(-1, cast(datediff(_last, start_date) div {width} as int))")
-    asked = collapsed.withColumn("bin", F.explode(edges)).withColumn(
-        "_edge", F.least(F.expr(f"date_add(start_date, (bin + 1) * {width} - 1)"), F.col("_last"))
-    )
-    pathway = Window.partitionBy("pid", group, "start_date", "_last").orderBy("bin")
-    found = totals_at(asked, activity, ["pid"], {"edge": F.when(F.col("bin") < 0, F.date_sub("start_date", 1)).otherwise(F.col("_edge"))}, [measure])
-    upto = F.col(f"`{measure}@edge`")
-    return (
-        found.withColumn("_use", upto - F.lag(upto).over(pathway))
-        .filter(F.col("bin") >= 0)
-        .groupBy(group, "bin")
-        .agg(F.sum(F.coalesce("_use", F.lit(0)) * F.col("_n")).alias("total_use"))
-    )
+
+    ends = F.transform(edges, lambda edge: F.when(edge < 0, F.date_sub("start_date", 1)).otherwise(F.least(F.date_add("start_date", (edge + 1) * width - 1), F.col("_last"))))
+    totals = found.select(group, F.transform(entries_upto(ends), lambda entry: F.coalesce(entry[measure], F.lit(0))).alias("_upto"))
+    use = F.transform(F.slice("_upto", F.lit(2), F.size("_upto") - 1), lambda total, bin: total - F.get("_upto", bin))
+    return totals.select(group, F.posexplode(use).alias("bin", "_use")).groupBy(group, "bin").agg(F.sum("_use").alias("total_use"))
