@@ -218,13 +218,7 @@ def baseline_use(pathways: DataFrame, activity: DataFrame, measure: str, keep: S
     """Use in the baseline window, summed per patient and joined back to each pathway."""
     lo, hi = history_windows()["baseline"]
     rows = pathways.select("pid", lo.alias("lo"), hi.alias("hi"))
-    # pathways of a patient that share a window are one row with a weight
-    weighted = rows.groupBy("pid", "lo", "hi").agg(F.count("*").alias("_n"))
-    per_patient = (
-        interval_totals(weighted, activity, ["pid"], "lo", "hi", [measure])
-        .groupBy("pid")
-        .agg(F.sum(F.col(measure) * F.col("_n")).alias("baseline_use"))
-    )
+    per_patient = interval_totals(rows, activity, ["pid"], "lo", "hi", [measure]).groupBy("pid").agg(F.sum(measure).alias("baseline_use"))
     return pathways.select(*keep).join(per_patient, "pid", "left")
 
 
