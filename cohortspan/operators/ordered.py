@@ -88,9 +88,11 @@ def group_statistics(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     places = wanted.groupBy(*group, "_range").agg(F.collect_list(F.struct("_share", "_place")).alias("_places"))
     if wanted.count() <= BROADCAST_VALUES:
         places = F.broadcast(places)
-    chosen = rows.select(*group, "_range", "_v").join(places, [*group, "_range"]).groupBy(*group, "_range", "_v").agg(F.count("*").alias("_n"), F.first("_places").alias("_places"))
+    # the array of places joins after the counting: with it the rows would be sorted, not hashed
+    chosen = rows.select(*group, "_range", "_v").join(places, [*group, "_range"], "left_semi").groupBy(*group, "_range", "_v").agg(F.count("*").alias("_n"))
     inside = Window.partitionBy(*group, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = chosen.withColumn("_upto", F.sum("_n").over(inside)).select(*group, "_v", "_n", "_upto", F.inline("_places"))
+    counted = chosen.withColumn("_upto", F.sum("_n").over(inside)).join(places, [*group, "_range"])
+    found = counted.select(*group, "_v", "_n", "_upto", F.inline("_places"))
     found = found.filter((F.col("_place") <= F.col("_upto")) & (F.col("_place") > F.col("_upto") - F.col("_n")))
     quantiles = found.groupBy(*group).agg(*[F.max(F.when(F.col("_share") == i, F.col("_v"))).alias(f"q{i}") for i in range(len(shares))])
     return statistics.join(quantiles, group)
