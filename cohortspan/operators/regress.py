@@ -1,7 +1,7 @@
 """Least squares from sufficient statistics.
 
-Rows are first counted per distinct combination of regressors (a cell), then every
-partition adds up its share of X'X and X'y as one array per model, and the arrays
+Rows are first counted per distinct combination of regressors (a cell), and the cells are
+stored: levels, sums and lookups come from them. Then every partition adds up its share of X'X and X'y as one array per model, and the arrays
 are added in two steps. Only one p x p sum per model reaches the driver, which
 solves it. Several outcomes (``by``) are fitted in one pass.
 
@@ -17,12 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from cohortspan.functions.tails import chi2_tail, normal_two_sided, t_two_sided
+from cohortspan.operators.ordered import BROADCAST_VALUES
+from cohortspan.session import durable
 from cohortspan.sources.tables import require_columns
 
 #: Default bound on the columns of X, whose square reaches the driver per model.
@@ -155,7 +156,7 @@ class Fit:
     """One fitted outcome; dropped columns have no coefficient.
 
     Coefficients, inverse and covariance belong to the scaled columns and the outcome
-    less its ``mean``; ``plain`` turns scaled coefficients into those of plain columns.
+    less ``mean``, a number near its mean; ``plain`` turns scaled coefficients into those of plain columns.
     """
 
     kept: tuple[int, ...]
@@ -193,6 +194,7 @@ class Model:
     y: str
     by: str | None
     fits: dict[str, Fit]
+    cells: DataFrame  # _model and the variables of the design, one row per combination
 
     def table(self) -> DataFrame:
         """Term, estimate, standard error, test, interval; dropped terms are listed without."""
@@ -227,12 +229,12 @@ class Model:
         return self.spark.createDataFrame(rows, schema)
 
 
-def _usable(df: DataFrame, design: Design, y: str, by: str | None) -> DataFrame:
-    """Rows without nulls, categorical variables as text."""
-    columns = [F.col(v).cast("string").alias(v) for v in design.levels] + [F.col(v).cast("double").alias(v) for v in design.numeric]
+def _outcomes(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], y: str, by: str | None) -> DataFrame:
+    """Model, outcome (null for NaN) and regressors, categorical variables as text."""
+    columns = [F.col(v).cast("string").alias(v) for v in categorical] + [F.col(v).cast("double").alias(v) for v in numeric]
     model = F.col(by).cast("string") if by else F.lit("")
-    chosen = df.select(model.alias("_model"), F.col(y).cast("double").alias("_y"), *columns)
-    return chosen.na.drop()
+    outcome = F.col(y).cast("double")
+    return df.select(model.alias("_model"), F.when(~F.isnan(outcome), outcome).alias("_y"), *columns)
 
 
 def _summed(cells: DataFrame, partial) -> dict[str, np.ndarray]:
@@ -294,75 +296,69 @@ def ols(
     by: str | None = None,
     vcov: str = "iid",
     design: Design | None = None,
+    centre: dict[str, float] | None = None,
 ) -> Model:
-    """Ordinary least squares with classical or HC3 standard errors."""
+    """Ordinary least squares with classical or HC3 standard errors.
+
+    ``centre`` has a number near each model's mean outcome; without it the means take a pass over the rows.
+    """
     if vcov not in ("iid", "HC3"):
         raise ValueError(f"unknown vcov {vcov!r}")
-    design = design or make_design(df, categorical, numeric, interactions)
-    p = len(design.columns)
-    usable = _usable(df, design, y, by)
-    # one row per model, with the means of its outcome and of the numbers over all rows
-    moments = usable.groupBy("_model").agg(
-        F.avg("_y").alias("_y"), F.count("*").alias("_n"),
-        *[f(v).alias(f"{kind} {v}") for v in design.numeric for kind, f in (("mean", F.avg), ("deviation", F.stddev_pop))],
-    ).collect()
-    means = {r["_model"]: r["_y"] for r in moments}
-    rows_in_all = sum(r["_n"] for r in moments)
-    scale = {}
-    for v in design.numeric:
-        mean = sum(r["_n"] * r[f"mean {v}"] for r in moments) / max(1, rows_in_all)
-        spread = sum(r["_n"] * (r[f"deviation {v}"] ** 2 + (r[f"mean {v}"] - mean) ** 2) for r in moments) / max(1, rows_in_all)
-        scale[v] = (mean, math.sqrt(spread) or 1.0)
-    design = design.scaled(scale)
-    expansion = design.expansion()
-    centre = F.create_map(*[F.lit(x) for pair in means.items() for x in pair]) if means else None
-    if centre is not None:
-        usable = usable.withColumn("_y", F.col("_y") - centre[F.col("_model")])
-    cells = (
-        usable
-        .groupBy("_model", *design.variables)
+    if design is None:
+        require_columns(df, [*categorical, *numeric])
+    else:
+        categorical, numeric = list(design.levels), design.numeric
+    outcomes = _outcomes(df, categorical, numeric, y, by)
+    if centre is None:
+        centre = {r["_model"]: r["_y"] for r in outcomes.na.drop().groupBy("_model").agg(F.avg("_y").alias("_y")).collect()}
+    if centre:
+        shift = F.create_map(*[F.lit(x) for pair in centre.items() for x in pair])
+        outcomes = outcomes.withColumn("_y", F.col("_y") - F.coalesce(shift[F.col("_model")], F.lit(0.0)))
+    # with the cells of nulls, whose levels are columns too
+    every = durable(
+        outcomes
+        .groupBy("_model", *categorical, *numeric)
         .agg(
-            F.count("*").cast("double").alias("_n"),
+            F.count("_y").cast("double").alias("_n"),
             F.sum("_y").alias("_s"),
             F.sum(F.col("_y") * F.col("_y")).alias("_q"),
         )
     )
-    if vcov == "HC3":
-        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    design = design or make_design(every, categorical, numeric, interactions)
+    p = len(design.columns)
+    cells = every.filter("_n > 0").na.drop(subset=["_model", *design.variables])
+    design = design.scaled(_scale(cells, design.numeric))
+    expansion = design.expansion()
 
     def gram(_, rows: pd.DataFrame) -> np.ndarray:
         x = design.matrix(rows)
         n, s = rows["_n"].to_numpy(), rows["_s"].to_numpy()
         return np.concatenate([(x.T @ (x * n[:, None])).ravel(), x.T @ s, [rows["_q"].sum()]])
 
-    try:
-        solved = {}
-        for key, flat in _summed(cells, gram).items():
-            xx, xy, yy = flat[: p * p].reshape(p, p), flat[p * p : p * p + p], flat[-1]
-            kept = independent_columns(xx)
-            inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
-            beta = inverse @ xy[kept]
-            n = xx[0, 0]
-            rss = max(yy - beta @ xy[kept], 0.0)
-            centred = xx - np.outer(xx[0], xx[0]) / n
-            own = np.einsum("ij,ik,kj->j", expansion, centred, expansion)
-            solved[key] = (kept, beta, inverse, n, rss, yy - xy[0] ** 2 / n, own)
-
-        def meat(key: str, rows: pd.DataFrame) -> np.ndarray:
-            kept, beta, inverse = solved[key][:3]
-            x = design.matrix(rows)[:, kept]
-            n, s, q = (rows[c].to_numpy() for c in ("_n", "_s", "_q"))
-            fitted = x @ beta
-            squares = q - 2 * fitted * s + n * fitted**2
-            room = 1 - np.einsum("ij,jk,ik->i", x, inverse, x)
-            # a row that is fitted exactly has no residual to weigh
-            weight = np.where(room > 1e-12, squares / np.where(room > 1e-12, room, 1.0) ** 2, 0.0)
-            return (x.T @ (x * weight[:, None])).ravel()
-
-        meats = _summed(cells, meat) if vcov == "HC3" else {}
-    finally:
-        if vcov == "HC3":
-            cells.unpersist()
+    solved = {}
+    for key, flat in _summed(cells, gram).items():
+        xx, xy, yy = flat[: p * p].reshape(p, p), flat[p * p : p * p + p], flat[-1]
+        kept = independent_columns(xx)
+        inverse = np.linalg.inv(xx[np.ix_(kept, kept)])
+        beta = inverse @ xy[kept]
+        n = xx[0, 0]
+        rss = max(yy - beta @ xy[kept], 0.0)
+        centred = xx - np.outer(xx[0], xx[0]) / n
+        own = np.einsum("ij,ik,kj->j", expansion, centred, expansion)
+        solved[key] = (kept, beta, inverse, n, rss, yy - xy[0] ** 2 / n, own)
+
+    def meat(key: str, rows: pd.DataFrame) -> np.ndarray:
+        kept, beta, inverse = solved[key][:3]
+        x = design.matrix(rows)[:, kept]
+        n, s, q = (rows[c].to_numpy() for c in ("_n", "_s", "_q"))
+        fitted = x @ beta
+        squares = q - 2 * fitted * s + n * fitted**2
+        room = 1 - np.einsum("ij,jk,ik->i", x, inverse, x)
+        # a row that is fitted exactly has no residual to weigh
+        weight = np.where(room > 1e-12, squares / np.where(room > 1e-12, room, 1.0) ** 2, 0.0)
+        return (x.T @ (x * weight[:, None])).ravel()
+
+    meats = _summed(cells, meat) if vcov == "HC3" else {}
     fits = {}
     for key, (kept, beta, inverse, n, rss, tss, column_ss) in solved.items():
         if vcov == "HC3":
@@ -370,23 +366,39 @@ def ols(
         else:
             cov = inverse * (rss / (n - len(kept)) if n > len(kept) else math.nan)
         plain = np.linalg.inv(expansion[np.ix_(kept, kept)])
-        fits[key] = Fit(tuple(kept), beta, inverse, cov, plain, means[key], n, rss, tss, column_ss, vcov == "HC3")
-    return Model(df.sparkSession, design, y, by, fits)
+        fits[key] = Fit(tuple(kept), beta, inverse, cov, plain, centre.get(key, 0.0), n, rss, tss, column_ss, vcov == "HC3")
+    return Model(df.sparkSession, design, y, by, fits, cells.select("_model", *design.variables))
+
+
+def _scale(cells: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of numbers over all rows of the cells."""
+
+    def average(values: dict) -> dict:
+        found = cells.agg(*[F.try_divide(F.sum(F.col("_n") * x), F.sum("_n")).alias(v) for v, x in values.items()]).first()
+        return {v: found[v] or 0.0 for v in values}
+
+    if not numeric:
+        return {}
+    means = average({v: F.col(v) for v in numeric})
+    spreads = average({v: F.pow(F.col(v) - means[v], 2) for v in numeric})
+    return {v: (means[v], math.sqrt(spreads[v]) or 1.0) for v in numeric}
 
 
-def influence(model: Model, df: DataFrame) -> DataFrame:
+def influence(model: Model, df: DataFrame, fitted: bool = False) -> DataFrame:
     """Add fitted value, residual, leverage and Cook's distance to each row.
 
     Rows with a null outcome or regressor were not fitted and are left out. Fitted value and
-    leverage depend on the regressors alone: they are computed once per cell and joined back.
-    A row that is fitted exactly has a null distance.
+    leverage depend on the regressors alone: they are computed once per cell and joined back; up to
+    BROADCAST_VALUES cells go to every executor, so that the rows stay where they are.
+    A row that is fitted exactly has a null distance. ``fitted``: the rows are the model's own or
+    some of them, so that no pass is needed to find their cells.
     """
     design, y, by, fits = model.design, model.y, model.by, model.fits
     usable = df.na.drop(subset=[*design.variables, y] + ([by] if by else []))
     names = [f"_x{i}" for i in range(len(design.variables))]
     text = {n: F.col(v).cast("string" if v in design.levels else "double") for n, v in zip(names, design.variables)}
     keyed = usable.withColumns({"_model": F.col(by).cast("string") if by else F.lit(""), **text})
-    cells = keyed.select("_model", *names).distinct()
+    cells = model.cells.toDF("_model", *names) if fitted else keyed.select("_model", *names).distinct()
 
     def run(batches):
         for batch in batches:
@@ -399,7 +411,10 @@ def influence(model: Model, df: DataFrame) -> DataFrame:
 
     schema = ", ".join(["_model string", *(f"{n} {keyed.schema[n].dataType.simpleString()}" for n in names), "fitted double", "leverage double"])
     scale = F.create_map(*[F.lit(x) for key, fit in fits.items() for x in (key, float(len(fit.kept) * fit.rss / fit.dof) if fit.dof > 0 else math.nan)])
-    found = keyed.join(cells.mapInPandas(run, schema), ["_model", *names]).withColumn("residual", F.col(y).cast("double") - F.col("fitted"))
+    known = durable(cells.mapInPandas(run, schema))
+    if known.count() <= BROADCAST_VALUES:
+        known = F.broadcast(known)
+    found = keyed.join(known, ["_model", *names]).withColumn("residual", F.col(y).cast("double") - F.col("fitted"))
     room = 1 - F.col("leverage")
     cooks = F.when(room > 1e-12, F.try_divide(F.col("residual") * F.col("residual"), scale[F.col("_model")]) * F.col("leverage") / (room * room))
     return found.select(*usable.columns, "fitted", "residual", "leverage", cooks.alias("cooks_d"))
@@ -409,7 +424,8 @@ def breusch_pagan(model: Model, with_residuals: DataFrame) -> DataFrame:
     """Studentised test of constant variance: n R^2 of squared residuals on X."""
     squared = with_residuals.withColumn("_e2", F.col("residual") * F.col("residual"))
     plain = Design(model.design.levels, model.design.numeric, model.design.interactions)
-    auxiliary = ols(squared, "_e2", (), by=model.by, design=plain)
+    centre = {key: float(fit.rss / fit.n) for key, fit in model.fits.items()}
+    auxiliary = ols(squared, "_e2", (), by=model.by, design=plain, centre=centre)
     rows = []
     for key, fit in sorted(auxiliary.fits.items()):
         statistic, dof = fit.n * fit.r_squared, len(fit.kept) - 1

@@ -8,7 +8,7 @@ from cohortspan.functions import bands as b
 from cohortspan.operators import association, cohort, did, matching, regress, survival
 from cohortspan.plans import solve, use
 from cohortspan.plans.base import case_sql, chi2_p_sql, query, unpivot_sql, with_ctes
-from cohortspan.session import durable
+from cohortspan.session import durable, stored
 from cohortspan.sources import mapping as m
 
 SIX = m.CHARACTERISTICS[1:]
@@ -227,8 +227,10 @@ def cox_ph(spark, sf_dir):
 # --- regression -------------------------------------------------------------------
 
 
-def _ols_rows(spark, sf_dir):
-    return use.ols_panel(spark, sf_dir).withColumn("time_period", F.col("time_period").cast("string"))
+def _ols_rows(panel, *covariates):
+    """Outcome and regressors of a panel, stored."""
+    rows = panel.withColumn("time_period", F.col("time_period").cast("string"))
+    return stored(rows.select("activity", "group", "time_period", *covariates, "avg_weekly_use"), "panel")
 
 
 _MEANS = """means AS (SELECT activity, avg(y) FILTER (g = 0 AND t = 0) AS a, avg(y) FILTER (g = 0 AND t = 1) AS b,
@@ -256,7 +258,7 @@ FROM terms JOIN spread USING (activity)""",
 )
 def did_ols_base(spark, sf_dir):
     """Saturated group x period regression: differences of the four cell means."""
-    rows = durable(_ols_rows(spark, sf_dir).select("activity", "group", "time_period", "avg_weekly_use"))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir))
     fit = regress.ols(rows, "avg_weekly_use", ["group", "time_period"], interactions=[("group", "time_period")], by="activity")
     return fit.table().select("model", "term", "estimate", "se")
 
@@ -306,7 +308,7 @@ def _rounded(table):
 )
 def did_ols(spark, sf_dir):
     """Group x period with covariates, classical errors, all activities."""
-    rows = durable(_ols_rows(spark, sf_dir))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir), *COVARIATES)
     return _rounded(regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS, by="activity").table())
 
 
@@ -322,7 +324,7 @@ FROM (SELECT m.*, 1 - rss / t.tss AS r2 FROM fit_model m JOIN (SELECT activity,
 )
 def did_ols_summary(spark, sf_dir):
     """Observations, degrees of freedom and explained variance of each model."""
-    rows = durable(_ols_rows(spark, sf_dir))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir), *COVARIATES)
     return regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS, by="activity").summary()
 
 
@@ -344,9 +346,9 @@ def did_ols_explicit(spark, sf_dir):
     return _rounded(regress.ols(panel, "avg_weekly_use", COVARIATES, ["post", "treated", "post_treatment"], by="activity").table())
 
 
-def _interacted(rows, vcov="HC3", design=None):
+def _interacted(rows, centre=None):
     return regress.ols(
-        rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=_FULL_PAIRS, by="activity", vcov=vcov, design=design
+        rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=_FULL_PAIRS, by="activity", vcov="HC3", centre=centre
     )
 
 
@@ -360,7 +362,7 @@ def _interacted(rows, vcov="HC3", design=None):
 )
 def did_ols_hc3(spark, sf_dir):
     """Group interacted with period and covariates, HC3 errors."""
-    return _rounded(_interacted(durable(_ols_rows(spark, sf_dir))).table())
+    return _rounded(_interacted(_ols_rows(use.ols_panel(spark, sf_dir), *COVARIATES)).table())
 
 
 _TERM_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_PLAIN_DESIGN[0]))
@@ -379,7 +381,7 @@ JOIN (VALUES {_TERM_VALUES}) t(i, term) ON t.i = f.i WHERE f.i = f.j""",
 )
 def vif(spark, sf_dir):
     """All activities share the regressors, so all rows go into one design."""
-    rows = durable(_ols_rows(spark, sf_dir))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir), *COVARIATES)
     return regress.vif(regress.ols(rows, "avg_weekly_use", ["group", "time_period", *COVARIATES], interactions=INTERACTIONS))
 
 
@@ -396,11 +398,14 @@ def _refit_sql(source):
 
 
 def _refit(rows):
-    """Fit, drop influential rows, fit again: the first model with its residuals, the second with its rows."""
+    """Fit, drop influential rows, fit again: the first model with its residuals, the second with its rows.
+
+    Marks need only the row and its cell, so they are made anew where they are read.
+    """
     first = _interacted(rows)
-    marked = durable(regress.influence(first, rows))
-    kept = durable(regress.drop_influential(first, marked).drop("fitted", "residual", "leverage", "cooks_d"))
-    return first, marked, kept, _interacted(kept)
+    marked = regress.influence(first, rows, fitted=True)
+    kept = regress.drop_influential(first, marked).drop("fitted", "residual", "leverage", "cooks_d")
+    return first, marked, kept, _interacted(kept, {key: fit.mean for key, fit in first.fits.items()})
 
 
 @query(
@@ -414,10 +419,10 @@ UNION ALL SELECT 'without influential', * FROM ({solve.breusch_pagan("second")})
 )
 def ols_influence(spark, sf_dir):
     """Breusch-Pagan test before and after dropping rows with a large Cook's distance."""
-    rows = durable(_ols_rows(spark, sf_dir))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir), *COVARIATES)
     first, marked, kept, second = _refit(rows)
     before = regress.breusch_pagan(first, marked).withColumn("stage", F.lit("all rows"))
-    after = regress.breusch_pagan(second, regress.influence(second, kept)).withColumn("stage", F.lit("without influential"))
+    after = regress.breusch_pagan(second, regress.influence(second, kept, fitted=True)).withColumn("stage", F.lit("without influential"))
     sizes = {"all rows": first, "without influential": second}
     counts = spark.createDataFrame([(s, k, int(f.n)) for s, mod in sizes.items() for k, f in mod.fits.items()], "stage string, model string, n bigint")
     tests = before.unionByName(after).join(F.broadcast(counts), ["stage", "model"])
@@ -591,9 +596,8 @@ def matched_did(spark, sf_dir):
     facts = m.facts(spark, sf_dir)
     scored = matching.propensity(_units(spark, sf_dir, facts), "treated", _CELL)
     matches = durable(matching.nearest_match(scored.withColumn("propensity_score", F.round("propensity_score", 9))))
-    panel = use.ols_panel(spark, sf_dir, facts).withColumn("time_period", F.col("time_period").cast("string"))
-    rows = durable(matching.matched_cohort(panel, matches))
-    return _rounded(_refit(rows)[3].table())
+    panel = matching.matched_cohort(use.ols_panel(spark, sf_dir, facts), matches)
+    return _rounded(_refit(_ols_rows(panel, *COVARIATES))[3].table())
 
 
 # --- special cases with a closed form, so that SQL can check the solvers ------------
@@ -698,7 +702,7 @@ GROUP BY 1, 2""",
 )
 def did_ols_hc3_base(spark, sf_dir):
     """HC3 errors of the saturated group x period regression."""
-    rows = durable(_ols_rows(spark, sf_dir).select("activity", "group", "time_period", "avg_weekly_use"))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir))
     fit = regress.ols(
         rows, "avg_weekly_use", ["group", "time_period"], interactions=[("group", "time_period")], by="activity", vcov="HC3"
     )
@@ -719,9 +723,9 @@ FROM (SELECT *, count(*) OVER a AS total, e * e / (4 * (sum(e * e) OVER a / (cou
 )
 def ols_influence_base(spark, sf_dir):
     """Cook's distances and the Breusch-Pagan test of the saturated regression."""
-    rows = durable(_ols_rows(spark, sf_dir).select("activity", "group", "time_period", "avg_weekly_use"))
+    rows = _ols_rows(use.ols_panel(spark, sf_dir))
     model = regress.ols(rows, "avg_weekly_use", ["group", "time_period"], interactions=[("group", "time_period")], by="activity")
-    marked = durable(regress.influence(model, rows))
+    marked = durable(regress.influence(model, rows, fitted=True))
     kept = regress.drop_influential(model, marked).groupBy("activity").agg(F.count("*").alias("kept"))
     counts = marked.groupBy("activity").agg(F.count("*").alias("n"), F.max("cooks_d").alias("largest")).join(kept, "activity")
     tests = regress.breusch_pagan(model, marked).select("model", F.round("statistic", 4).alias("statistic"), "dof")

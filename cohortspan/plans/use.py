@@ -294,9 +294,11 @@ ols_panel AS (SELECT pid, "group", sex, region, ltc, time_period, activity, tota
 )
 
 
-def ols_panel(spark, sf_dir, facts=None):
+def ols_panel(spark, sf_dir, facts=None, chosen=None):
+    """Of the pathways ``chosen``, or of the whole threshold sample."""
     facts = m.facts(spark, sf_dir) if facts is None else facts
-    return did.did_ols_panel(threshold_sample(spark, sf_dir, facts), facts, MEASURES, ["sex", "region", "ltc"], (372, 372))
+    chosen = threshold_sample(spark, sf_dir, facts) if chosen is None else chosen
+    return did.did_ols_panel(chosen, facts, MEASURES, ["sex", "region", "ltc"], (372, 372))
 
 
 @query(

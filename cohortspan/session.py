@@ -60,6 +60,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """:func:`durable` for a long table that is read several times, a few columns at a time: Parquet files in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own for files that are read again, in the shared folder; it goes when the application ends."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
