@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspan.functions.bands import null_to_unknown
-from cohortspan.operators.ordered import dealt_in_order, join_values, ranks, running_count, with_ranges
+from cohortspan.operators.ordered import BROADCAST_VALUES, dealt_in_order, join_values, ranks, running_count, with_ranges
 from cohortspan.operators.tables import unpivot_variables
 from cohortspan.session import durable
 
@@ -117,6 +117,8 @@ def propensity(
     weights = F.array(*[F.lit(float(b)) for b in beta])
     eta = F.aggregate("_x", F.lit(0.0), lambda total, e: total + e["value"] * F.element_at(weights, e["column"] + 1))
     scores = cells.select(*[F.col(c).alias(f"_cell_{c}") for c in covariates], (1 / (1 + F.exp(-eta))).alias(name))
+    if cells.count() <= BROADCAST_VALUES:
+        scores = F.broadcast(scores)
     rows = df.withColumns({f"_cell_{c}": null_to_unknown(c) for c in covariates})
     return rows.join(scores, [f"_cell_{c}" for c in covariates]).select(*df.columns, name)
 
@@ -137,7 +139,7 @@ def nearest_match(
     or the first one above, so no pairs are formed. Null and NaN scores match nothing.
     """
     flag = F.col(treated) == 1
-    values = (
+    values = durable(
         scored.filter(F.col(score).isNotNull() & ~F.isnan(score))
         .groupBy(F.col(score).alias("_score"))
         .agg(F.min(F.when(flag, F.col(patient))).alias("_treated"), F.max((~flag).cast("int")).alias("_control"))

@@ -432,9 +432,10 @@ def ols_influence(spark, sf_dir):
 # --- matching ----------------------------------------------------------------------
 
 
-def _units(spark, sf_dir, facts=None):
+def _units(spark, sf_dir, chosen=None):
     """One row per pathway of the threshold design, treated when over 18 weeks."""
-    return use.threshold_sample(spark, sf_dir, facts).select(
+    chosen = use.threshold_sample(spark, sf_dir) if chosen is None else chosen
+    return chosen.select(
         "pathway_id", "pid", "group", *COVARIATES, "quintile", "balance", (F.col("group") != did.CONTROL).cast("int").alias("treated")
     )
 
@@ -594,9 +595,11 @@ matched AS MATERIALIZED (SELECT * FROM ols_panel WHERE pid IN (SELECT control_pi
 def matched_did(spark, sf_dir):
     """Propensity score, match, matched cohort, HC3 regression without influential rows."""
     facts = m.facts(spark, sf_dir)
-    scored = matching.propensity(_units(spark, sf_dir, facts), "treated", _CELL)
+    chosen = use.threshold_sample(spark, sf_dir, facts)
+    scored = matching.propensity(_units(spark, sf_dir, chosen), "treated", _CELL)
     matches = durable(matching.nearest_match(scored.withColumn("propensity_score", F.round("propensity_score", 9))))
-    panel = matching.matched_cohort(use.ols_panel(spark, sf_dir, facts), matches)
+    # pathways and facts of matched patients, before they grow by period and activity
+    panel = use.ols_panel(spark, sf_dir, matching.matched_cohort(facts, matches), matching.matched_cohort(chosen, matches))
     return _rounded(_refit(_ols_rows(panel, *COVARIATES))[3].table())
 
 

@@ -69,3 +69,23 @@ def test_influence_leaves_the_rows_where_they_are(spark, no_size_check, fitted):
     for r in marked.select("m", "g", "f", "fitted").distinct().collect():
         terms = ["Intercept", *([f"g[{r['g']}]"] if r["g"] != "a" else []), *([f"f[{r['f']}]"] if r["f"] != "x" else [])]
         assert math.isclose(r["fitted"], sum(want[r["m"], t] for t in terms), rel_tol=1e-9)
+
+
+def _patients(spark):
+    rows = [(k, "uvw"[k % 3], "st"[k // 3 % 2], int(k % 5 == 0 or k % 7 == 1)) for k in range(210)]
+    return spark.createDataFrame(rows, "pid long, u string, v string, treated int")
+
+
+def test_scores_of_few_cells_leave_the_rows_where_they_are(spark, no_size_check):
+    df = _patients(spark)
+    scored = matching.propensity(df, "treated", ["u", "v"])
+    assert "Exchange hashpartitioning" not in _plan(scored)
+    assert scored.count() == 210 and scored.select("u", "v", "propensity_score").distinct().count() == 6
+
+
+def test_nearest_match_reads_its_rows_twice(spark):
+    rows = [(k, float(k % 17) / 4, int(k % 3 == 0)) for k in range(90)]
+    df, reads = _counted(spark.createDataFrame(rows, "pid long, propensity_score double, treated int"))
+    got = {r["control_pid"]: (r["score_diff"], r["treated_pid"]) for r in matching.nearest_match(df).collect()}
+    assert reads() == 2
+    assert got == {p: min((abs(s - t), q) for q, t, on in rows if on) for p, s, on in rows if not on}
